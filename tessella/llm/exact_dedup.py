@@ -40,7 +40,8 @@ def _merge_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if batch.num_rows == 0:
             continue
         if carry is not None:
-            batch = pa.Table.from_batches([carry, batch]).combine_chunks().to_batches()[0]
+            joined = [pa.concat_arrays(pair) for pair in zip(carry.columns, batch.columns, strict=True)]
+            batch = pa.RecordBatch.from_arrays(joined, names=batch.schema.names)
         whole = _merged(batch)
         yield whole.slice(0, whole.num_rows - 1)
         carry = whole.slice(whole.num_rows - 1)

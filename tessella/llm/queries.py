@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import chat, exact_dedup, mixing
+from tessella.llm import chat, exact_dedup, language_crf, line_dedup, mixing, packing, piece_counts, simhash
 from tessella.session import table
 
 
@@ -15,10 +15,31 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_crf.identify_languages(table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.resolve_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     probe = spark.sql(
@@ -41,8 +62,13 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": op1_mix_sources,
+        "op2_language_id": op2_language_id,
         "op3_exact_dedup": op3_exact_dedup,
+        "op4_token_counts": op4_token_counts,
         "op6_chat_format": op6_chat_format,
+        "op7_packing": op7_packing,
+        "op9_line_dedup": op9_line_dedup,
+        "op10_simhash": op10_simhash,
     }
 
 
@@ -66,4 +92,15 @@ def oracle_sql() -> dict[str, str]:
                 sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
                 CAST(3 + sum(length(shown) + CASE WHEN prev IS NULL OR prev <> role THEN 13 + length(role) + 4 ELSE 5 END) AS BIGINT) AS formatted_chars
             FROM marked GROUP BY conv_id""",
+        "op9_line_dedup": r"""
+            WITH parts AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+            lines AS (SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS n FROM parts),
+            keyed AS (
+                SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+            owners AS (SELECT key, min(doc_id) AS owner FROM keyed WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2),
+            judged AS (SELECT k.*, o.owner IS NOT NULL AND o.owner <> k.doc_id AS lost FROM keyed k LEFT JOIN owners o USING (key))
+            SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE lost) AS n_dropped,
+                sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE NOT lost), '')) AS kept_sha256
+            FROM judged GROUP BY doc_id""",
     }
