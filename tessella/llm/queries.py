@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import chat, exact_dedup, language_crf, line_dedup, mixing, packing, piece_counts, simhash
+from tessella.llm import chat, exact_dedup, language_crf, line_dedup, logistic_mix, mixing, packing, piece_counts, simhash, syncmers
 from tessella.session import table
 
 
@@ -31,11 +31,20 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logistic_mix.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op5_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = syncmers.compare_with_edits(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -65,8 +74,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_language_id": op2_language_id,
         "op3_exact_dedup": op3_exact_dedup,
         "op4_token_counts": op4_token_counts,
+        "op5_syncmers": op5_syncmers,
         "op6_chat_format": op6_chat_format,
         "op7_packing": op7_packing,
+        "op8_lm_scores": op8_lm_scores,
         "op9_line_dedup": op9_line_dedup,
         "op10_simhash": op10_simhash,
     }
