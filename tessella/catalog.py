@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.plans import analytics
+from tessella.plans import analytics, retrieval
 
-_PLANS = (analytics,)
+_PLANS = (analytics, retrieval)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
