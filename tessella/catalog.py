@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.plans import analytics, retrieval
+from tessella.plans import analytics, duplicates, retrieval
 
-_PLANS = (analytics, retrieval)
+_PLANS = (analytics, retrieval, duplicates)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
