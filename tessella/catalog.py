@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.plans import analytics, duplicates, retrieval
+from tessella.plans import analytics, duplicates, retrieval, samples
 
-_PLANS = (analytics, retrieval, duplicates)
+_PLANS = (analytics, retrieval, duplicates, samples)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
