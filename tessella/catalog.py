@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.plans import analytics, duplicates, retrieval, samples
+from tessella.plans import analytics, duplicates, metrics, retrieval, samples
 
-_PLANS = (analytics, retrieval, duplicates, samples)
+_PLANS = (analytics, retrieval, duplicates, samples, metrics)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
