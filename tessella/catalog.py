@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.plans import analytics, duplicates, metrics, retrieval, samples
+from tessella.plans import analytics, duplicates, metrics, retrieval, samples, tables
 
-_PLANS = (analytics, retrieval, duplicates, samples, metrics)
+_PLANS = (analytics, retrieval, duplicates, samples, metrics, tables)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
