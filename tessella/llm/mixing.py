@@ -151,15 +151,13 @@ def mix_sources(
 
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it; rows taken 0 times are gone."""
-    taken = mix_sources(docs, **settings).where("copies > 0").select(F.col("doc_id").alias("_doc"), F.col("source").alias("_from"), "size", "copies")
+    taken = mix_sources(docs, **settings).where("copies > 0")
     # Rows that repeat a doc_id are told apart by source and size; among equal ones it doesn't matter which is which.
-    plain = docs.columns
-    keyed = docs.select(*plain, F.col("doc_id").alias("_doc"), F.col("source").alias("_from"), words_in(F.col("text")).alias("_size"))
+    plain, size = docs.columns, words_in(F.col("text"))
+    keyed = docs.select(*plain, F.col("doc_id").alias("_doc"), F.col("source").alias("_from"), size.alias("_size"))
     numbered = keyed.withColumn("_nth", F.row_number().over(Window.partitionBy("_doc", "_from", "_size").orderBy(F.lit(1))))
-    chosen = taken.withColumn("_nth2", F.row_number().over(Window.partitionBy("_doc", "_from", "size").orderBy(F.col("copies").desc())))
-    chosen = chosen.select(F.col("_doc").alias("_d"), F.col("_from").alias("_f"), F.col("size").alias("_s"), "copies", "_nth2")
-    same = (
-        F.col("_doc").eqNullSafe(F.col("_d")) & F.col("_from").eqNullSafe(F.col("_f")) & (F.col("_size") == F.col("_s")) & (F.col("_nth") == F.col("_nth2"))
-    )
+    nth = F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy(F.col("copies").desc()))
+    chosen = taken.select(F.col("doc_id").alias("_d"), F.col("source").alias("_f"), F.col("size").alias("_s"), F.col("copies").alias("_copies"), nth.alias("_n"))
+    same = F.col("_doc").eqNullSafe(F.col("_d")) & F.col("_from").eqNullSafe(F.col("_f")) & (F.col("_size") == F.col("_s")) & (F.col("_nth") == F.col("_n"))
     joined = numbered.join(chosen, same)
-    return joined.select(*plain, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).drop("_copy")
+    return joined.select(*plain, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")
