@@ -1,8 +1,8 @@
 """LM scoring by online logistic context mixing.
 
 A text is its tokens: words of lower-cased bytes, each closed by a space, then one end. Every bit of a
-token is predicted from several hashed contexts, the last one, two, three and five bytes and all of the
-word so far, some of them together with the text's drift, and always with the bit's place in its byte.
+token is predicted from several hashed contexts, the last two, three and five bytes and all of the word
+so far, some of them together with the text's drift, and always with the bit's place in its byte.
 A predictor holds how often a bit was 0 and 1 in its context; the predictions are mixed in the logistic
 domain with weights that a gate selects, the gate being how many contexts have been met before and how
 often the longest was, and refined by an adaptive map from (gate, prediction) to observed frequency. A
@@ -12,9 +12,9 @@ The drift is what adapts within a text: the most frequent words are clustered by
 share, and the drift of a token is the cluster most common among the ``WINDOW`` words before it.
 
 All counts come from the whole training part. Contexts end at word borders, so the corpus enters through
-its counts of (drift, word): one distributed aggregate, from which tasks add up the counters (tables of
-a fixed size, summed block by block) and train the mixer online, in small batches of words, each with
-its own occurrence left out of the counters. Every distinct pair is scored once. Documents look up the
+its counts of (drift, word): one shuffle by word, from which tasks add up the counters (tables of a
+fixed size, summed block by block) and train the mixer online, in small batches of words, each with its
+own occurrence left out of the counters. Every distinct pair is scored once. Documents look up the
 most frequent ones, at most ``HEAVY`` of at most ``HEAVY_BYTES`` bytes, in a shared table and the others
 by a join.
 """
@@ -39,12 +39,18 @@ HEAVY = 1 << 18
 HEAVY_BYTES = 64
 #: Slots of each predictor's table, as a power of two, and how many bytes of context it sees (None: the whole word so far).
 #: Last, whether the drift is part of it. The last table's counts feed the gate.
-TABLES = ((18, 1, True), (20, 2, True), (20, 3, False), (20, 5, True), (20, None, False), (20, None, True))
+TABLES = ((20, 2, True), (20, 3, True), (20, 5, True), (20, None, False), (20, None, True))
+#: Common words are chosen by document frequency in the whole training part, among the candidates that a
+#: sample of this many training documents suggests.
+SUGGESTING = 1000
+CANDIDATES = 256
 COMMON = 128
 CLUSTERS = 6
 WINDOW = 32
 BLOCK_BITS = 16
 TASK_WORDS = 1_000_000
+#: Learning carries little per task, so it takes this many times the tasks that add up counters.
+LEARNERS = 6
 CHUNK_BITS = 1_500_000
 COUNTED = 300_000
 PRIOR = 0.4
@@ -53,11 +59,12 @@ BATCH_BITS = 60_000
 #: Steps after which the refining map starts to count, with settled weights.
 SETTLED = 30
 LEVELS = 33
-SEEN_STEPS = (0, 1, 3, 8, 40)
+SEEN_STEPS = np.array([0, 1, 3, 8, 40], dtype=np.float32)
 GATES = (len(TABLES) + 1) * (len(SEEN_STEPS) + 1)
 STRETCH = 8.0
 END = b"\n"
 _UNIT_ROWS = "unit string, n long"
+_BLOCKS = "block long, counts binary"
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -89,12 +96,6 @@ def _counted(batches: Iterator[pa.RecordBatch], units) -> Iterator[pa.RecordBatc
     yield rows()
 
 
-def count_units(rows: DataFrame, units, name: str, label: str) -> DataFrame:
-    """Staged ``(name, n)`` over ``rows(text, training)``; units of held-out texts alone have n = 0."""
-    found = rows.mapInArrow(lambda batches: _counted(batches, units), _UNIT_ROWS)
-    return stage_table(found.groupBy(F.col("unit").alias(name)).agg(F.sum("n").alias("n")), label)
-
-
 class Drift:
     """Clusters of common words, and the drift of every token by them."""
 
@@ -109,10 +110,11 @@ class Drift:
         place = ragged_arange(lengths)
         at = np.arange(len(cluster))
         begin = at - np.minimum(place, WINDOW)
-        best, most = np.zeros(len(cluster), dtype=np.uint8), np.zeros(len(cluster), dtype=np.int64)
+        best, most = np.zeros(len(cluster), dtype=np.uint8), np.zeros(len(cluster), dtype=np.int32)
         for k in range(1, max(self.clusters.values(), default=0) + 1):
-            sums = np.concatenate([[0], np.cumsum(cluster == k)])
-            here = sums[at] - sums[begin]
+            sums = np.zeros(len(cluster) + 1, dtype=np.int32)
+            np.cumsum(cluster == k, out=sums[1:])
+            here = sums[:-1] - sums[begin]
             better = here > most
             best[better], most[better] = k, here[better]
         return best
@@ -126,27 +128,32 @@ class Drift:
             at += len(words)
 
 
-def find_drift(rows: DataFrame, words: DataFrame) -> Drift:
-    """Clusters of the ``COMMON`` most frequent words by average linkage over how often training documents share them."""
-    common = words.where((F.octet_length("word") <= HEAVY_BYTES) & (F.col("n") > 0) & (F.col("word") != END.decode()))
-    common = [r["word"].encode() for r in common.orderBy(F.col("n").desc(), "word").limit(COMMON).collect()]
-    index = {w: k for k, w in enumerate(common)}
+def find_drift(texts: DataFrame) -> Drift:
+    """Clusters of common words by average linkage over how often training documents of ``texts(text, training)`` share them."""
+    training = texts.where("training").select("text")
+    suggested: Counter[bytes] = Counter()
+    for row in training.limit(SUGGESTING).toLocalIterator():
+        suggested.update({w for w in row["text"].encode().lower().split() if len(w) <= HEAVY_BYTES})
+    names = sorted(suggested, key=lambda w: (-suggested[w], w))[:CANDIDATES]
+    index = {w: k for k, w in enumerate(names)}
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(index), len(index)))
         for part in slices(batches, 0):
-            texts = part.column(0).cast(pa.binary()).to_pylist()
-            seen = np.zeros((len(texts), len(index)), dtype=np.float32)
-            for k, text in enumerate(texts):
-                seen[k, [index[w] for w in set(text.lower().split()) & index.keys()]] = 1
+            found = part.column(0).cast(pa.binary()).to_pylist()
+            seen = np.zeros((len(found), len(index)), dtype=np.float32)
+            for k, text in enumerate(found):
+                seen[k, [index[w] for w in index.keys() & text.lower().split()]] = 1
             total += seen.T @ seen
-        i, j = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(total[i, j])], names=["i", "j", "n"])
-
-    pairs = rows.where("training").select("text").mapInArrow(shared, "i long, j long, n double").groupBy("i", "j").agg(F.sum("n").alias("n")).collect()
-    together = np.zeros((len(common), len(common)))
-    for r in pairs:
-        together[r["i"], r["j"]] = r["n"]
+        for k, row in enumerate(total):
+            yield _block(k, row)
+
+    together = np.zeros((len(names), len(names)))
+    summed = training.mapInArrow(shared, _BLOCKS).repartition(8, "block").sortWithinPartitions("block").mapInArrow(_sum_blocks, _BLOCKS)
+    for row in summed.collect():
+        together[row["block"]] = np.frombuffer(bytes(row["counts"]), dtype="<f4")
+    kept = np.argsort(-np.diag(together), kind="stable")[:COMMON]
+    common, together = [names[k] for k in kept], together[np.ix_(kept, kept)]
     scale = np.sqrt(np.maximum(np.diag(together), 1))
     alike = together / scale[:, None] / scale[None, :]
     groups = [[k] for k in range(len(common))]
@@ -269,39 +276,56 @@ def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _block(key, total)
 
 
+def _stretch(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    return np.clip(np.log((ones + np.float32(PRIOR)) / (zeros + np.float32(PRIOR))), -STRETCH, STRETCH)
+
+
 class Mixer:
     """Counters of all predictors, gated weights and the refining map."""
 
     def __init__(self, blocks: list[tuple[int, bytes]]) -> None:
-        self.zeros, self.ones = ([np.zeros(1 << bits, dtype=np.float32) for bits, *_ in TABLES] for _ in range(2))
+        #: Per table how often a bit was 0 and 1 in each slot.
+        self.counts = [np.zeros((1 << bits, 2), dtype=np.float32) for bits, *_ in TABLES]
         span = 1 << BLOCK_BITS
         for key, packed in blocks:
             k, b = key >> 32, key & 0xFFFFFFFF
-            both = np.frombuffer(packed, dtype="<f4")
-            self.zeros[k][b * span : (b + 1) * span], self.ones[k][b * span : (b + 1) * span] = both[:span], both[span:]
-        self.weights = np.full((GATES, len(TABLES) + 1), 0.25)
+            self.counts[k][b * span : (b + 1) * span] = np.frombuffer(packed, dtype="<f4").reshape(2, span).T
+        self.weights = np.full((GATES, len(TABLES) + 1), 0.25, dtype=np.float32)
         self.weights[:, -1] = 0
         self.refined: np.ndarray | None = None
+        self.stretched: list[np.ndarray] | None = None
 
     def inputs(self, found: Bits, leave_out: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Stretched predictions with a constant, one row per predictor, and the gate of each bit."""
+        """Stretched predictions with a constant, one row per predictor, and the gate of each bit.
+
+        A predictor counts as met if it leans either way.
+        """
         n = len(found.bit)
         x = np.ones((len(TABLES) + 1, n), dtype=np.float32)
         met = np.zeros(n, dtype=np.int64)
-        for k, slots in enumerate(found.slots):
-            up, down = self.ones[k][slots], self.zeros[k][slots]
-            if leave_out:
-                up = np.maximum(up - found.bit, 0)
-                down = np.maximum(down - (1 - found.bit.astype(np.float32)), 0)
-            x[k] = np.log((up + PRIOR) / (down + PRIOR))
-            met += up + down > 0
-        np.clip(x, -STRETCH, STRETCH, out=x)
-        return x, met * (len(SEEN_STEPS) + 1) + np.searchsorted(SEEN_STEPS, up + down)
+        if leave_out:
+            bit = found.bit.astype(np.float32)
+            for k, slots in enumerate(found.slots):
+                # Both numbers of a slot in one look-up.
+                both = self.counts[k].view(np.uint64).ravel().take(slots).view(np.float32).reshape(-1, 2)
+                down, up = np.maximum(both[:, 0] - (1 - bit), 0), np.maximum(both[:, 1] - bit, 0)
+                x[k] = _stretch(down, up)
+                met += x[k] != 0
+            often = down + up
+        else:
+            if self.stretched is None:
+                self.stretched = [_stretch(c[:, 0], c[:, 1]) for c in self.counts]
+                self.often = self.counts[-1].sum(axis=1)
+            for k, slots in enumerate(found.slots):
+                x[k] = self.stretched[k].take(slots)
+                met += x[k] != 0
+            often = self.often.take(found.slots[-1])
+        return x, met * (len(SEEN_STEPS) + 1) + np.searchsorted(SEEN_STEPS, often)
 
     def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        out = np.zeros(x.shape[1])
+        out = np.zeros(x.shape[1], dtype=np.float32)
         for k in range(len(x)):
-            out += self.weights[gate, k] * x[k]
+            out += self.weights[:, k].astype(np.float32).take(gate) * x[k]
         return np.clip(out, -STRETCH, STRETCH)
 
     def learn(self, found: Bits, numbers: np.ndarray, step: int, state: np.ndarray, tally: np.ndarray) -> None:
@@ -328,7 +352,7 @@ class Mixer:
     def refine(self, tally: np.ndarray) -> None:
         """Observed frequency by (gate, level), pulled to the level's own probability where little was seen."""
         own = 1 / (1 + np.exp(-np.tile(np.linspace(-STRETCH, STRETCH, LEVELS), GATES)))
-        self.refined = (tally[0] + 20 * own) / (tally[1] + 20)
+        self.refined = ((tally[0] + 20 * own) / (tally[1] + 20)).astype(np.float32)
 
     def scores(self, units: list[bytes]) -> np.ndarray:
         """log10 probability of each unit's token."""
@@ -342,18 +366,18 @@ class Mixer:
             part = at - low
             cell = gate * LEVELS + low
             p = (p + (1 - part) * self.refined[cell] + part * self.refined[cell + 1]) / 2
-        p = np.clip(p, 1e-6, 1 - 1e-6)
-        return np.bincount(found.owner, np.log10(np.where(found.bit == 1, p, 1 - p)), minlength=len(units))
+        own = np.clip(np.where(found.bit == 1, p, 1 - p), 1e-6, 1)
+        return np.bincount(found.owner, np.log10(own), minlength=len(units))
 
 
 def train_mixer(units: DataFrame) -> Mixer:
     """Fit to ``units(unit, n)``: counters summed over all tasks, weights and map learned online in each and averaged."""
     context = units.sparkSession.sparkContext
-    known = units.where("n > 0")
+    known = units.where("n > 0").select("unit", "n")
     tasks = max(1, min(256, -(-known.count() // TASK_WORDS)))
-    dealt = known.repartition(tasks, F.xxhash64("unit"))
-    parts = dealt.mapInArrow(_add_counters, "block long, counts binary")
-    summed = parts.repartition(min(tasks, 32), "block").sortWithinPartitions("block").mapInArrow(_sum_blocks, "block long, counts binary")
+    dealt = known.coalesce(tasks)
+    parts = dealt.mapInArrow(_add_counters, _BLOCKS)
+    summed = parts.repartition(min(tasks, 32), "block").sortWithinPartitions("block").mapInArrow(_sum_blocks, _BLOCKS)
     # As many blocks as the tables have, whatever the corpus.
     mixer = Mixer([(r["block"], bytes(r["counts"])) for r in summed.collect()])
     shared = context.broadcast(mixer)
@@ -373,7 +397,7 @@ def train_mixer(units: DataFrame) -> Mixer:
             values = np.concatenate([own.weights.ravel() * seen, tally.ravel(), [seen]])
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), pa.array(values)], names=["at", "value"])
 
-    learned = dealt.mapInArrow(learn, "at long, value double").groupBy("at").agg(F.sum("value").alias("value")).collect()
+    learned = known.coalesce(LEARNERS * tasks).mapInArrow(learn, "at long, value double").groupBy("at").agg(F.sum("value").alias("value")).collect()
     if learned:
         total = np.zeros(mixer.weights.size + 2 * GATES * LEVELS + 1)
         total[[r["at"] for r in learned]] = [r["value"] for r in learned]
@@ -394,21 +418,26 @@ def score_documents(docs: DataFrame, held_out_of: int = 10) -> DataFrame:
     held_out = remainder(F.col("doc_id"), held_out_of) == 0
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), held_out.alias("held_out"))
     texts = rows.select("text", (~F.col("held_out")).alias("training"))
-    words = count_units(texts, lambda found: found, "word", "lm-words")
-    sums = words.agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
+    drift = find_drift(texts)
+    counted = texts.mapInArrow(lambda batches: _counted(batches, drift.units), _UNIT_ROWS).withColumn("word", F.substring("unit", 2, 2147483647))
+    # One shuffle by word serves the counts of units and of words.
+    dealt = counted.repartition(F.col("word")).groupBy("word", "unit").agg(F.sum("n").alias("n"))
+    own = Window.partitionBy("word")
+    units = dealt.select("unit", "n", F.sum("n").over(own).alias("c"), (F.col("unit") == F.min("unit").over(own)).alias("first"))
+    # In the order of a hash: online learning should meet words as they come, not by their spelling.
+    units = stage_table(units.sortWithinPartitions(F.xxhash64("unit")), "lm-units")
+    sums = units.agg(F.sum("n").alias("n"), F.count_if(F.col("first") & (F.col("c") > 0)).alias("v")).first()
     total, distinct = sums["n"] or 0, sums["v"]
     below = log10(total + 0.1 * (distinct + 1))
-    drift = find_drift(texts, words)
-    units = count_units(texts, drift.units, "unit", "lm-units")
     shared = context.broadcast(train_mixer(units))
 
     def score_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for own, numbers in _unit_batches(batches):
-            columns = [pa.array(own, pa.binary()).cast(pa.string()), pa.array(numbers), pa.array(shared.value.scores(own))]
-            yield pa.RecordBatch.from_arrays(columns, names=["unit", "n", "lm"])
+        for batch in batches:
+            found = batch.column(0).cast(pa.binary()).to_pylist()
+            scores = [shared.value.scores(part) for part, _ in _chunks(found, np.zeros(len(found)))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(scores or [np.zeros(0)]))], names=["unit", "n", "c", "lm"])
 
-    scored = units.mapInArrow(score_units, _UNIT_ROWS + ", lm double").select(F.substring("unit", 2, 2147483647).alias("word"), "unit", "n", "lm")
-    scored = stage_table(scored.join(words.withColumnRenamed("n", "c"), "word").select("unit", "n", "c", "lm"), "lm-scored")
+    scored = stage_table(units.select("unit", "n", "c").mapInArrow(score_units, "unit string, n long, c long, lm double"), "lm-scored")
     # The most frequent units: those from a power of two up, the least one that at most HEAVY units reach.
     short = scored.where(F.octet_length("unit") <= HEAVY_BYTES)
     digits = F.length(F.bin("n"))
