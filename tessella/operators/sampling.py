@@ -173,3 +173,53 @@ def stratified_folds(rows: list[tuple[object, frozenset]], folds: int, limit: in
             room[fold] -= 1
             out[key] = fold
     return out
+
+
+def fold_counts(sets: dict[frozenset, int], folds: int) -> dict[frozenset, list[int]]:
+    """How many rows of each label set go to each fold: iterative stratification of the histogram of label sets.
+
+    The rarest open label first, each row of its sets to the fold that wants the label most. Rows of a set are
+    alike, so all but the last few are dealt evenly and only those that level the folds are placed one by one.
+    """
+    room = [sum(sets.values()) / folds] * folds
+    totals: dict = {}
+    for own, n in sets.items():
+        for label in own:
+            totals[label] = totals.get(label, 0) + n
+    wants = [{label: n / folds for label, n in totals.items()} for _ in range(folds)]
+    left, out = dict(sorted(sets.items(), key=lambda kv: sorted(map(str, kv[0])))), {}
+    while left:
+        open_counts: dict = {}
+        for own, n in left.items():
+            for label in own:
+                open_counts[label] = open_counts.get(label, 0) + n
+        label = min(open_counts, key=lambda x: (open_counts[x], str(x))) if open_counts else None
+        for own in [s for s in left if label is None or label in s]:
+            n = left.pop(own)
+            even = max(0, n // folds - folds)
+            given = [even] * folds
+            for f in range(folds):
+                room[f] -= even
+                for x in own:
+                    wants[f][x] -= even
+            for _ in range(n - even * folds):
+                f = max(range(folds), key=lambda f: (wants[f].get(label, 0), room[f], -f))
+                given[f] += 1
+                room[f] -= 1
+                for x in own:
+                    wants[f][x] -= 1
+            out[own] = given
+    return out
+
+
+def label_set_folds(rows: DataFrame, labels: Sequence[str], digest: str, key: str, folds: int) -> DataFrame:
+    """``(key, fold)`` for every row: the driver sees the label sets' numbers, rows are dealt by hash rank within a set."""
+    named = rows.select(key, digest, F.concat_ws(",", *[F.when(F.col(x).cast("boolean"), x) for x in labels]).alias("_set"))
+    found = {r["_set"]: r["n"] for r in named.groupBy("_set").agg(F.count(F.lit(1)).alias("n")).collect()}
+    dealt = fold_counts({frozenset(filter(None, s.split(","))): n for s, n in found.items()}, folds)
+    fold = F.lit(None).cast("int")
+    for s in found:
+        ends = [sum(dealt[frozenset(filter(None, s.split(",")))][: f + 1]) for f in range(folds)]
+        before = F.size(F.filter(F.array(*[F.lit(e).cast("long") for e in ends]), lambda e: e < F.col("rank")))
+        fold = F.when(F.col("_set") == s, before).otherwise(fold)
+    return hash_rank(named, ["_set"], digest, key).select(key, fold.alias("fold"))

@@ -187,11 +187,9 @@ def f12_greedy_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def f18_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Folds of the labelled documents, the first ones by hash up to the driver's bound."""
-    labels = table(spark, sf_dir, "labels").withColumn("digest", seeded_hash("folds", F.col("doc_id"))).orderBy("digest").limit(10_000)
-    rows = [(r["doc_id"], frozenset(k for k in ("quality", "toxic") if r[k])) for r in labels.collect()]
-    found = sorted(sampling.stratified_folds(rows, 10).items())
-    return spark.createDataFrame(found, "doc_id long, fold int")
+    """Folds of all labelled documents."""
+    labels = table(spark, sf_dir, "labels").withColumn("digest", seeded_hash("folds", F.col("doc_id")))
+    return sampling.label_set_folds(labels, ["quality", "toxic"], "digest", "doc_id", 10)
 
 
 QUERIES = {

@@ -2,12 +2,14 @@
 
 import json
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import scalars
 from tessella.operators import canonical, components, decode, dedup, enrich, evaluation, lexical, near_dup, ranks, ratio, sampling, series, triage
+from tessella.plans import samples
 from tessella.sources import records, sinks
 from tessella.streaming import ingest
 
@@ -221,3 +223,26 @@ def test_folds_are_balanced():
     sizes = [sum(f == k for f in folds.values()) for k in range(5)]
     assert sizes == [20] * 5
     assert all(sum(folds[k] == f for k in range(1, 100, 2)) == 10 for f in range(5))
+
+
+def test_every_labelled_row_gets_a_fold(spark, tmp_path):
+    labels = spark.range(12_007).select(F.col("id").alias("doc_id"), (F.col("id") % 3 > 0).cast("long").alias("quality"), (F.col("id") % 50 == 0).cast("long").alias("toxic"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    out = samples.f18_folds(spark, str(tmp_path)).join(labels, "doc_id").collect()
+    assert len({r["doc_id"] for r in out}) == len(out) == 12_007
+    for of in (lambda r: True, lambda r: r["quality"], lambda r: r["toxic"]):
+        sizes = Counter(r["fold"] for r in out if of(r))
+        assert sorted(sizes) == list(range(10)) and max(sizes.values()) - min(sizes.values()) <= 2
+
+
+def test_fold_counts_equal_the_row_by_row_deal():
+    rnd = random.Random(3)
+    for _ in range(20):
+        sets = {frozenset(s): rnd.randrange(1, 300) for s in ([], ["a"], ["b"], ["a", "b"])}
+        rows = [(f"{''.join(sorted(s))}{k}", s) for s, n in sets.items() for k in range(n)]
+        dealt = sampling.fold_counts(sets, 5)
+        for label in ("a", "b", None):
+            of = lambda s: label is None or label in s
+            rowwise = Counter(f for k, f in sampling.stratified_folds(rows, 5).items() if of(dict(rows)[k]))
+            assert max(abs(sum(g[f] for s, g in dealt.items() if of(s)) - rowwise[f]) for f in range(5)) <= 1
+        assert all(sum(dealt[s]) == n for s, n in sets.items())
