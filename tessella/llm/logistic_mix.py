@@ -1,15 +1,15 @@
 """LM scoring by online logistic context mixing.
 
 A text is its tokens: words of lower-cased bytes, each closed by a space, then one end. Every bit of a
-token is predicted from several hashed contexts, the last two, three and five bytes and all of the word
-so far, some of them together with the text's drift, and always with the bit's place in its byte.
+token is predicted from several hashed contexts, the last one, two, three and five bytes and all of the
+word so far, some of them together with the text's drift, and always with the bit's place in its byte.
 A predictor holds how often a bit was 0 and 1 in its context; the predictions are mixed in the logistic
 domain with weights that a gate selects, the gate being how many contexts have been met before and how
 often the longest was, and refined by an adaptive map from (gate, prediction) to observed frequency. A
 text's score is the sum of its tokens' log10 probabilities, and bits per byte follow.
 
-The drift is what adapts within a text: the most frequent words are clustered by the documents they
-share, and the drift of a token is the cluster most common among the ``WINDOW`` words before it.
+The drift is what adapts within a text: the words found in most training documents, by exact counts over
+the whole training part, are clustered by the documents they share, and the drift of a token is the cluster most common among the ``WINDOW`` words before it.
 
 All counts come from the whole training part. Contexts end at word borders, so the corpus enters through
 its counts of (drift, word): one shuffle by word, from which tasks add up the counters (tables of a
@@ -24,7 +24,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from copy import copy
-from math import log10
+from math import ceil, log10
 
 import numpy as np
 import pyarrow as pa
@@ -39,12 +39,10 @@ HEAVY = 1 << 18
 HEAVY_BYTES = 64
 #: Slots of each predictor's table, as a power of two, and how many bytes of context it sees (None: the whole word so far).
 #: Last, whether the drift is part of it. The last table's counts feed the gate.
-TABLES = ((20, 2, True), (20, 3, True), (20, 5, True), (20, None, False), (20, None, True))
-#: Common words are chosen by document frequency in the whole training part, among the candidates that a
-#: sample of this many training documents suggests.
-SUGGESTING = 1000
-CANDIDATES = 256
+TABLES = ((18, 1, True), (20, 2, True), (20, 3, True), (20, 5, True), (20, None, False), (20, None, True))
 COMMON = 128
+#: A word is reported from a stretch of documents if at least this share of them has it, at first.
+SHARE = 1 / 64
 CLUSTERS = 6
 WINDOW = 32
 BLOCK_BITS = 16
@@ -128,13 +126,60 @@ class Drift:
             at += len(words)
 
 
+def _reported(batches: Iterator[pa.RecordBatch], share: float, held: int) -> Iterator[pa.RecordBatch]:
+    """Of each stretch of texts, with about ``held`` distinct words, the words that at least ``share`` of them have.
+
+    ``error`` is the most texts a word that isn't reported can have; a row without word carries it too.
+    """
+    counts: Counter[bytes] = Counter()
+    texts = 0
+
+    def rows() -> pa.RecordBatch:
+        error = max(0, ceil(share * texts) - 1)
+        found = [w for w, n in counts.items() if n > error and len(w) <= HEAVY_BYTES]
+        words = pa.array([b"", *found], pa.binary()).cast(pa.string())
+        numbers = pa.array([0, *map(counts.__getitem__, found)], pa.int64())
+        return pa.RecordBatch.from_arrays([words, numbers, pa.array([error] * len(words), pa.int64())], names=["word", "n", "error"])
+
+    for part in slices(batches, 0):
+        for text in part.column(0).cast(pa.binary()).to_pylist():
+            counts.update(set(text.lower().split()))
+            texts += 1
+            if len(counts) > held:
+                yield rows()
+                counts.clear()
+                texts = 0
+    yield rows()
+
+
+def common_words(training: DataFrame, most: int, share: float = SHARE, held: int = COUNTED) -> list[bytes]:
+    """In order, words that surely hold the ``most`` words of at most ``HEAVY_BYTES`` bytes in the most ``training(text)``, ties by word.
+
+    What stretches report bounds each word's number from below and, with the errors of the others, from above.
+    Words that can't reach the bound of the last place are left out; if words never reported could reach it or
+    too many remain, a smaller share is reported. Without errors the numbers are exact.
+    """
+    while True:
+        found = training.mapInArrow(lambda batches, share=share: _reported(batches, share, held), "word string, n long, error long")
+        found = stage_table(found.groupBy("word").agg(F.sum("n").alias("n"), F.sum("error").alias("error")), "lm-common")
+        errors = found.where("word = ''").first()
+        missed = errors["error"] if errors else 0
+        found = found.where("word <> ''")
+        first = [(r["word"], r["n"]) for r in found.orderBy(F.col("n").desc(), "word").limit(most).collect()]
+        if not missed:
+            return sorted(w.encode() for w, _ in first)
+        last = first[-1][1] if len(first) == most else 0
+        if missed < last:
+            able = found.where(F.col("n") + F.lit(missed) - F.col("error") >= last).limit(4 * most + 1).collect()
+            if len(able) <= 4 * most:
+                return sorted(r["word"].encode() for r in able)
+        share /= 4
+
+
 def find_drift(texts: DataFrame) -> Drift:
     """Clusters of common words by average linkage over how often training documents of ``texts(text, training)`` share them."""
     training = texts.where("training").select("text")
-    suggested: Counter[bytes] = Counter()
-    for row in training.limit(SUGGESTING).toLocalIterator():
-        suggested.update({w for w in row["text"].encode().lower().split() if len(w) <= HEAVY_BYTES})
-    names = sorted(suggested, key=lambda w: (-suggested[w], w))[:CANDIDATES]
+    names = common_words(training, COMMON)
     index = {w: k for k, w in enumerate(names)}
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

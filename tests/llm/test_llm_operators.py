@@ -322,6 +322,26 @@ def test_bits_keep_to_the_word():
         assert same != drifts
 
 
+def test_common_words_come_from_all_documents(spark):
+    rnd = random.Random(21)
+    texts = ["early words"] * 1500 + [f"late Others x{rnd.randrange(9)} y{k}" for k in range(4000)]
+    rows = spark.createDataFrame([(t, True) for t in texts] + [("heldout", False)] * 2000, "text string, training boolean").coalesce(1)
+    clusters = logistic_mix.find_drift(rows).clusters
+    assert {b"late", b"others", b"early", b"words", *(b"x%d" % k for k in range(9))} <= clusters.keys()
+    assert b"heldout" not in clusters and len(clusters) == logistic_mix.COMMON
+
+
+def test_common_words_hold_the_exact_first_ones(spark):
+    rnd = random.Random(22)
+    texts = [" ".join(f"w{min(int(rnd.paretovariate(0.5)), 300 + k % 7)}" for _ in range(rnd.randrange(30))) for k in range(3000)]
+    exact = Counter(w for t in texts for w in set(t.encode().split()))
+    wanted = sorted(exact, key=lambda w: (-exact[w], w))[:20]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    for parts, share, held in ((3, 1 / 64, 300_000), (7, 1 / 2, 100), (2, 1 / 512, 50)):
+        found = logistic_mix.common_words(rows.repartition(parts), 20, share, held)
+        assert set(wanted) <= set(found) and len(found) <= 80
+
+
 # 9 lines
 
 
