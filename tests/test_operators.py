@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import scalars
 from tessella.operators import canonical, components, decode, dedup, enrich, evaluation, lexical, near_dup, ranks, ratio, sampling, series, triage
-from tessella.plans import samples
+from tessella.plans import duplicates, samples
 from tessella.sources import records, sinks
 from tessella.streaming import ingest
 
@@ -246,3 +246,19 @@ def test_fold_counts_equal_the_row_by_row_deal():
             rowwise = Counter(f for k, f in sampling.stratified_folds(rows, 5).items() if of(dict(rows)[k]))
             assert max(abs(sum(g[f] for s, g in dealt.items() if of(s)) - rowwise[f]) for f in range(5)) <= 1
         assert all(sum(dealt[s]) == n for s, n in sets.items())
+
+
+def documents(spark, folder, rows):
+    made = [(d, t, "en", s, len(t)) for d, t, s in rows]
+    spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(folder / "documents.parquet"))
+    return str(folder)
+
+
+def test_jaccard_pairs_see_late_copies_and_long_words(spark, tmp_path):
+    long, rnd = " ".join(f"word{k}" for k in range(40)), random.Random(4)
+    letters = "".join(rnd.choice("abcdefghijklmnop") for _ in range(60))
+    rows = [(1, long, "src1"), (2, long, "src16"), (3, long + " more", "src1"), (4, letters, "src1"), (5, letters + " b", "src17")]
+    rows += [(6, "short one", "src1"), (7, "short ones", "src17")]
+    got = {(r["a"], r["b"]) for r in duplicates.c20_jaccard_pairs(spark, documents(spark, tmp_path, rows)).collect()}
+    # 1 and 2 are one class with a member on either side, so 3 meets it on the right.
+    assert got == {(3, 1), (4, 5)}
