@@ -8,7 +8,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -38,6 +38,19 @@ def simhash(surfaces: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield part.map(simhash_of).astype("int64")
 
 
+def is_near(print_a: Column, chars_a: Column, print_b: Column, chars_b: Column) -> Column:
+    """The near-duplicate rule for two prints and lengths."""
+    long_enough = (chars_a >= MIN_CHARS) & (chars_b >= MIN_CHARS)
+    return long_enough & (F.bit_count(print_a.bitwiseXOR(print_b)) <= MAX_BITS) & (chars_a / chars_b).between(RATIO_LOW, RATIO_HIGH)
+
+
+def prints_near(a: tuple[int, int], b: tuple[int, int]) -> bool:
+    """The same rule for (print, chars) on the driver."""
+    if min(a[1], b[1]) < MIN_CHARS or not RATIO_LOW <= a[1] / b[1] <= RATIO_HIGH:
+        return False
+    return ((a[0] ^ b[0]) & ((1 << 64) - 1)).bit_count() <= MAX_BITS
+
+
 def near_pairs(rows: DataFrame, blocks: int = 6) -> DataFrame:
     """Pairs ``(a, b)``, a < b, within ``MAX_BITS`` of each other, from ``rows(id, print, chars)``.
 

@@ -5,13 +5,15 @@ Every draw orders rows by a seeded hash, so a sample depends on ids alone, never
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.scalars import first_uint64, seeded_hash
+from tessella.operators.near_dup import is_near, prints_near
 from tessella.operators.ranks import hash_rank
+from tessella.staging import stage_table
 
 
 def largest_remainder(strata: DataFrame, total: int, minimum: int = 0, tie: str = "stratum") -> DataFrame:
@@ -80,24 +82,28 @@ def greedy_buckets(pool: DataFrame, buckets: Sequence[tuple[str, str, int]], key
     return taken
 
 
-def greedy_accept(rows: DataFrame, near: DataFrame, cell: str, rank: str, key: str, quotas: dict[str, int], reserve: int = 12) -> DataFrame:
-    """Rows of each cell in rank order unless near one accepted before, up to the cell's quota.
+def greedy_accept(
+    rows: DataFrame, prints: Callable[[DataFrame], DataFrame], cell: str, rank: str, key: str, quotas: dict[str, int], reserve: int = 12, reference: DataFrame | None = None
+) -> DataFrame:
+    """Rows of each cell in rank order unless near a ``reference(print, chars)`` row or one accepted before, up to the cell's quota.
 
-    Order decides, so the loop runs in one place over the bounded reserve, ``quota + reserve`` rows of each cell.
+    ``prints`` gives rows their own ``print`` and ``chars``; equal texts are near like any others. Order decides,
+    so the loop runs in one place over the bounded reserve, ``quota + reserve`` rows of each cell.
     """
     limits = F.create_map(*[F.lit(x) for kv in quotas.items() for x in kv])
-    held = rows.where(F.col(rank) <= F.element_at(limits, F.col(cell)) + reserve)
-    pairs = near.join(F.broadcast(held.select(F.col(key).alias("a"))), "a", "left_semi").join(F.broadcast(held.select(F.col(key).alias("b"))), "b", "left_semi")
-    links: dict = {}
-    for r in pairs.collect():
-        links.setdefault(r["a"], set()).add(r["b"])
-        links.setdefault(r["b"], set()).add(r["a"])
+    held = stage_table(prints(rows.where(F.col(rank) <= F.element_at(limits, F.col(cell)) + reserve)).select(key, cell, rank, "print", "chars"), "reserve")
+    barred: set = set()
+    if reference is not None:
+        own = held.select(F.col(key).alias("_key"), F.col("print").alias("_print"), F.col("chars").alias("_chars"))
+        near = is_near(F.col("_print"), F.col("_chars"), F.col("print"), F.col("chars"))
+        barred = {r["_key"] for r in reference.join(F.broadcast(own), near).select("_key").distinct().collect()}
     accepted, counts = [], dict.fromkeys(quotas, 0)
-    done: set = set()
-    for r in held.select(key, cell, rank).orderBy(rank, cell, key).collect():
-        if counts[r[cell]] < quotas[r[cell]] and not links.get(r[key], set()) & done:
+    done: list[tuple[int, int]] = []
+    for r in held.orderBy(rank, cell, key).collect():
+        own = (r["print"], r["chars"])
+        if counts[r[cell]] < quotas[r[cell]] and r[key] not in barred and not any(prints_near(own, other) for other in done):
             counts[r[cell]] += 1
-            done.add(r[key])
+            done.append(own)
             accepted.append((r[key], r[cell], counts[r[cell]]))
     kinds = dict(rows.dtypes)
     return rows.sparkSession.createDataFrame(accepted, f"{key} {kinds[key]}, {cell} {kinds[cell]}, place int")

@@ -120,11 +120,28 @@ def c18_near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_pairs(_prints(spark, sf_dir))
 
 
+def c18_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the class that stands for it in ``c18_near_dup_pairs``."""
+    docs = _docs(spark, sf_dir).select("doc_id", F.sha2("surface", 256).alias("digest"))
+    classes = docs.groupBy("digest").agg(F.min("doc_id").alias("id"))
+    return docs.join(classes, "digest").select("doc_id", "id")
+
+
 def c19_near_dup_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = _prints(spark, sf_dir)
     return near_dup.near_clusters(prints, near_dup.near_pairs(prints), "order")
 
 
+def c19_document_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document: of its cluster, all copies included, the document that is first by hash."""
+    prints = _prints(spark, sf_dir)
+    clusters = near_dup.near_clusters(prints, near_dup.near_pairs(prints), "order").withColumnRenamed("representative", "cluster")
+    rows = stage_table(c18_members(spark, sf_dir).join(clusters, "id").select("doc_id", "cluster"), "members")
+    ordered = rows.withColumn("order", seeded_hash(SEED, F.col("doc_id")))
+    best = ordered.groupBy("cluster").agg(F.min_by("doc_id", F.struct("order", "doc_id")).alias("representative"))
+    return rows.join(best, "cluster").select("doc_id", "representative")
+
+
 def _shingled(rows: DataFrame, key: str, text: Column) -> DataFrame:
     words = F.split(surface(text), " ")
     n = F.size("words")
@@ -167,7 +184,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         e1_thread_representative, e2_surface_representative, e3_rank_and_population, c21_duplicate_groups, c21_split_overlap, c11_semi, c13_triple_anti, c14_or_anti,
-        c15_excluded_groups, c16_identity_mismatch, c17_exposure_filter, c18_near_dup_pairs, c19_near_dup_clusters, c20_jaccard_pairs,
+        c15_excluded_groups, c16_identity_mismatch, c17_exposure_filter, c18_near_dup_pairs, c18_members, c19_near_dup_clusters, c19_document_clusters, c20_jaccard_pairs,
     )
 }
 

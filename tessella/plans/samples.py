@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.functions.scalars import dot, seeded_hash
-from tessella.operators import ranks, sampling
+from tessella.functions.scalars import dot, seeded_hash, surface
+from tessella.operators import near_dup, ranks, sampling
 from tessella.session import table
 
 SEED = "sample-v1"
@@ -175,15 +175,17 @@ def f19_length_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def f12_greedy_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of each language in hash order unless near one accepted before."""
-    from tessella.operators import near_dup
-    from tessella.plans.duplicates import _prints
+    """Documents of each language in hash order unless near a benchmark text or one accepted before."""
+
+    def prints(rows: DataFrame) -> DataFrame:
+        return rows.select("*", near_dup.simhash("surface").alias("print"), F.length("surface").alias("chars"))
 
     docs = _rows(spark, sf_dir).withColumn("cell", F.split("stratum", "/")[0])
-    ranked = ranks.hash_rank(docs, ["cell"], "digest", "doc_id")
-    prints = _prints(spark, sf_dir)
-    pairs = near_dup.near_pairs(prints)
-    return sampling.greedy_accept(ranked, pairs, "cell", "rank", "doc_id", {"en": 40, "de": 15, "fr": 15, "es": 10})
+    ranked = ranks.hash_rank(docs, ["cell"], "digest", "doc_id").select("doc_id", "cell", "rank")
+    texts = table(spark, sf_dir, "documents").select("doc_id", surface(F.col("text")).alias("surface"))
+    reference = prints(table(spark, sf_dir, "benchmark").select(surface(F.col("text")).alias("surface")))
+    own = lambda held: prints(texts.join(F.broadcast(held), "doc_id"))
+    return sampling.greedy_accept(ranked, own, "cell", "rank", "doc_id", {"en": 40, "de": 15, "fr": 15, "es": 10}, reference=reference)
 
 
 def f18_folds(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -262,3 +262,21 @@ def test_jaccard_pairs_see_late_copies_and_long_words(spark, tmp_path):
     got = {(r["a"], r["b"]) for r in duplicates.c20_jaccard_pairs(spark, documents(spark, tmp_path, rows)).collect()}
     # 1 and 2 are one class with a member on either side, so 3 meets it on the right.
     assert got == {(3, 1), (4, 5)}
+
+
+def test_greedy_accept_sees_copies_and_the_reference(spark, tmp_path):
+    text = lambda seed: " ".join(random.Random(seed).choice("lorem ipsum dolor sit amet elit sed do".split()) + str(seed) for _ in range(30))
+    rows = [(k, text(0), "src1") for k in range(4)] + [(9, text(1), "src2"), (10, text(2), "src2"), (11, "tiny", "src2"), (12, "tiny", "src2")]
+    folder = documents(spark, tmp_path, rows)
+    spark.createDataFrame([(1, text(2).upper())], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    taken = {r["doc_id"] for r in samples.f12_greedy_accept(spark, folder).collect()}
+    # Under 80 characters nothing is near, not even a copy.
+    assert len(taken & set(range(4))) == 1 and taken - set(range(4)) == {9, 11, 12}
+
+
+def test_members_and_clusters_have_a_row_per_document(spark, tmp_path):
+    base = " ".join(f"word{k}" for k in range(60))
+    folder = documents(spark, tmp_path, [(1, base, "src1"), (2, base.upper(), "src2"), (3, base, "src3"), (4, "alone", "src1")])
+    assert {(r["doc_id"], r["id"]) for r in duplicates.c18_members(spark, folder).collect()} == {(1, 1), (2, 1), (3, 1), (4, 4)}
+    got = {r["doc_id"]: r["representative"] for r in duplicates.c19_document_clusters(spark, folder).collect()}
+    assert got.keys() == {1, 2, 3, 4} and got[4] == 4 and got[1] == got[2] == got[3] in {1, 2, 3}
