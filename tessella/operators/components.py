@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.staging import stage_table
+from tessella.staging import stage_table, unstage
 
 MAX_ROUNDS = 60
 
@@ -30,17 +30,21 @@ def connected_components(edges: DataFrame) -> DataFrame:
             return labels
         both = links.unionAll(links.select("b", "a"))
         parents = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("parent"))
+        parents = stage_table(parents, "parents")
         for _ in range(2):
-            parents = stage_table(parents, "parents")
             above = parents.select(F.col("node").alias("n"), F.col("parent").alias("p"))
-            parents = parents.join(above, F.col("parent") == F.col("n"), "left").select("node", F.coalesce("p", "parent").alias("parent"))
-        parents = stage_table(parents, "parents")
+            shorter = parents.join(above, F.col("parent") == F.col("n"), "left").select("node", F.coalesce("p", "parent").alias("parent"))
+            longer, parents = parents, stage_table(shorter, "parents")
+            unstage(longer)
         above = parents.select(F.col("node").alias("n"), F.col("parent").alias("p"))
-        if labels is None:
-            labels = parents.select("node", F.col("parent").alias("root"))
+        before = labels
+        if before is None:
+            labels = stage_table(parents.select("node", F.col("parent").alias("root")), "labels")
         else:
-            labels = stage_table(labels.join(above, F.col("root") == F.col("n"), "left").select("node", F.coalesce("p", "root").alias("root")), "labels")
+            labels = stage_table(before.join(above, F.col("root") == F.col("n"), "left").select("node", F.coalesce("p", "root").alias("root")), "labels")
+            unstage(before)
         moved = links.join(above, F.col("a") == F.col("n")).select(F.col("p").alias("a"), "b")
         moved = moved.join(above, F.col("b") == F.col("n")).select("a", F.col("p").alias("b")).where("a <> b")
-        links = stage_table(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+        old, links = links, stage_table(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+        unstage(old, parents)
     raise RuntimeError("components did not settle")

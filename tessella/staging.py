@@ -7,11 +7,16 @@ never recomputes what stands before it. Nothing here uses executor-local storage
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 from uuid import uuid4
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_roots: dict[str, str] = {}
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+#: The tables staged inside each running ``stage_result``.
+_scopes: list[list[str]] = []
 
 
 def staging_root(spark: SparkSession) -> str:
@@ -28,9 +33,48 @@ def staging_root(spark: SparkSession) -> str:
     return _own_roots[app]
 
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def stage_table(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet under the shared folder and return a reader of what was written."""
+    """Write ``df`` as Parquet under the shared folder and return a reader of what was written.
+
+    The table goes when the application ends, or before that with ``unstage`` or ``stage_result``.
+    """
     spark = df.sparkSession
     path = f"{staging_root(spark)}/{label}-{uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    system, at = _file_system(spark, path)
+    system.deleteOnExit(at)
+    if _scopes:
+        _scopes[-1].append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more, as returned by ``stage_table``; others stay."""
+    for table in tables:
+        path = _paths.pop(table, None)
+        if path:
+            system, at = _file_system(table.sparkSession, path)
+            system.delete(at, True)
+
+
+def stage_result(make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """Stage what ``make`` returns and delete all tables staged on the way."""
+    _scopes.append([])
+    try:
+        out = stage_table(make(), label)
+    finally:
+        inner = _scopes.pop()
+    if _scopes:
+        _scopes[-1].append(_paths[out])
+    for path in inner:
+        if path != _paths[out]:
+            system, at = _file_system(out.sparkSession, path)
+            system.delete(at, True)
+    return out
