@@ -6,8 +6,8 @@ length goes to the open packing pattern that is shortest, all equal packs at onc
 their counts stay few however many pieces there are. Pieces are then ranked within their length and
 a rank says which pattern slot, and so which sequence and offset, a piece has.
 
-Ranking doesn't gather a length in one task: pieces are dealt by hash into blocks, numbered within
-(length, block), and moved up by the number of pieces in the blocks before.
+Ranking doesn't gather a length in one task: the pieces of a length are dealt by hash into as many blocks
+as their number asks for, numbered within a block, and moved up by the number of pieces in the blocks before.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -60,7 +61,8 @@ class UnitIds:
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
+        #: A unit in the middle of a text is a string; a first one or a whole text is a pair, so no text can look like one.
+        self.index: dict[str | tuple[bool, str], int] = {}
         self.pool = np.zeros(0, dtype="<u4")
         self.starts = self.lengths = self.hits = np.zeros(0, dtype=np.int64)
 
@@ -72,7 +74,7 @@ class UnitIds:
         self.starts, self.lengths, self.hits = np.cumsum(lengths) - lengths, lengths, self.hits[keep] // 2
         self.index = {units[k]: at for at, k in enumerate(keep.tolist())}
 
-    def _add(self, units: list[str], ids: list[list[int]]) -> None:
+    def _add(self, units: list[str | tuple[bool, str]], ids: list[list[int]]) -> None:
         lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
         fresh = np.fromiter(chain.from_iterable(ids), dtype="<u4", count=int(lengths.sum()))
         self.index.update(zip(units, range(len(self.index), len(self.index) + len(units)), strict=True))
@@ -81,21 +83,22 @@ class UnitIds:
         self.hits = np.concatenate([self.hits, np.zeros(len(units), dtype=np.int64)])
         self.pool = np.concatenate([self.pool, fresh])
 
-    def units(self, text: str) -> list[str]:
-        """Units in order; all but the first stand without the space in front of them."""
+    def units(self, text: str) -> list[str | tuple[bool, str]]:
+        """Units in order: first ``(False, unit)``, then units without the space in front of them; or only ``(True, text)``."""
         if any(s in text for s in self.special):
-            return ["\0whole\0" + text]
+            return [(True, text)]
         if _PLAIN.search(text):
             first, *rest = _BOUNDARY.split(text)
             first, rest = ("", [first[1:], *(r[1:] for r in rest)]) if first[:1] == " " and first[1:] and not first[1].isspace() else (first, [r[1:] for r in rest])
         else:
             first, *rest = text.split(" ")
-        return ["\0first\0" + first, *rest]
+        return [(False, first), *rest]
 
-    def _marked(self, unit: str) -> list[int]:
-        if unit.startswith("\0whole\0"):
-            return self.whole.encode(unit[7:], add_special_tokens=False).ids
-        return self.encode(unit[7:] if unit.startswith("\0first\0") else " " + unit)
+    def _encoded(self, unit: str | tuple[bool, str]) -> list[int]:
+        if isinstance(unit, str):
+            return self.encode(" " + unit)
+        whole, text = unit
+        return self.whole.encode(text, add_special_tokens=False).ids if whole else self.encode(text)
 
     def batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and how many each text has."""
@@ -106,7 +109,7 @@ class UnitIds:
         for units in cut:
             new.update(units)
         new = list(new.difference(self.index))
-        self._add(new, [self.encode(" " + u) if u[:1] != "\0" else self._marked(u) for u in new])
+        self._add(new, [self._encoded(u) for u in new])
         get = self.index.__getitem__
         at = np.array([k for units in cut for k in map(get, units)], dtype=np.int64)
         self.hits += np.bincount(at, minlength=len(self.hits))
@@ -154,32 +157,33 @@ def document_pieces(docs: DataFrame, vocabulary: str = VOCABULARY, sequence: int
 def pack_histogram(counts: dict[int, int], sequence: int = SEQUENCE) -> list[tuple[list[int], int]]:
     """Packing patterns, as the lengths in them, with the number of sequences of each.
 
-    Longest lengths first; each goes into the patterns with the most room, and a new pattern is opened
-    when no open one has room for it.
+    Longest lengths first; each piece goes into the shortest pack with room for it, also one that just took
+    its like, and a new pack is opened when none has room. Packs with equal room move together.
     """
     room: dict[int, list[tuple[list[int], int]]] = defaultdict(list)
+    shortest: list[int] = []
     done: list[tuple[list[int], int]] = []
 
     def put(pattern: list[int], count: int, left: int) -> None:
-        (room[left] if left else done).append((pattern, count))
+        if not left:
+            done.append((pattern, count))
+            return
+        if not room[left]:
+            heappush(shortest, -left)
+        room[left].append((pattern, count))
 
     for length in sorted(counts, reverse=True):
         waiting = counts[length]
-        fresh: list[tuple[list[int], int, int]] = []
-        for left in sorted((k for k in room if k >= length), reverse=True):
-            while waiting and room[left]:
-                pattern, count = room[left].pop()
-                if count > waiting:
-                    room[left].append((pattern, count - waiting))
-                    count = waiting
-                fresh.append(([*pattern, length], count, left - length))
-                waiting -= count
-            if not room[left]:
-                del room[left]
-            if not waiting:
-                break
-        for pattern, count, left in fresh:
-            put(pattern, count, left)
+        while waiting and shortest and -shortest[0] >= length:
+            left = -shortest[0]
+            pattern, count = room[left].pop()
+            moved = min(count, waiting)
+            if count > moved:
+                room[left].append((pattern, count - moved))
+            elif not room[left]:
+                heappop(shortest)
+            put([*pattern, length], moved, left - length)
+            waiting -= moved
         if waiting:
             fits = min(sequence // length, waiting)
             many, over = divmod(waiting, fits)
@@ -206,19 +210,24 @@ def pack_documents(docs: DataFrame, vocabulary: str = VOCABULARY, sequence: int
     """One row per piece of ``docs(doc_id, text)``: the piece, its ``sequence_id`` and its ``offset`` there.
 
     Sequence ids count from 0 without gaps. A null text is empty, and an empty text is a document of its
-    end id alone; rows that repeat are packed each; an empty table gives an empty result; other columns
-    are not read.
+    end id alone; a text of any length is cut into pieces; rows that repeat, and pieces of equal length, are packed
+    each, in the order of a hash; an empty table gives an empty result; other columns are not read.
     """
     pieces = stage_table(document_pieces(docs, vocabulary, sequence, end_id, with_ids), "pack-pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     lengths, ranks, firsts, offsets = _slots(pack_histogram(histogram, sequence))
-    blocks = max(1, -(-sum(histogram.values()) // BLOCK_ROWS))
     span = max(histogram.values(), default=0) + 1
     keys = lengths * span + ranks
-    dealt = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "start", F.lit(7)), F.lit(blocks)))
-    before = Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    bases = dealt.groupBy("length", "block").agg(F.count(F.lit(1)).alias("n"))
-    bases = bases.select(F.col("length").alias("_length"), F.col("block").alias("_block"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    # At most one entry per length: how many blocks its pieces are dealt over.
+    blocks = F.array(*[F.lit(-(-histogram.get(n, 1) // BLOCK_ROWS)) for n in range(1, sequence + 1)])
+    dealt = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "start", F.lit(7)), F.get(blocks, F.col("length").cast("int") - 1)))
+    counted = dealt.groupBy("length", "block").agg(F.count(F.lit(1)).alias("n")).withColumn("part", F.floor(F.col("block") / BLOCK_ROWS))
+    # Pieces before a block: those in the parts before its part, then those in the blocks before it there.
+    before = lambda order, *by: F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = counted.groupBy("length", "part").agg(F.sum("n").alias("n"))
+    parts = parts.select(F.col("length").alias("_l"), F.col("part").alias("_p"), before("part", "length").alias("above"))
+    within = counted.withColumn("base", before("block", "length", "part")).join(parts, (F.col("length") == F.col("_l")) & (F.col("part") == F.col("_p")))
+    bases = within.select(F.col("length").alias("_length"), F.col("block").alias("_block"), (F.col("above") + F.col("base")).alias("base"))
     numbered = dealt.join(bases, (F.col("length") == F.col("_length")) & (F.col("block") == F.col("_block")))
     local = F.row_number().over(Window.partitionBy("_length", "_block").orderBy("doc_id", "start", "ids_crc32"))
     ranked = numbered.select(*pieces.columns, (F.col("base") + local - 1).alias("rank"))
