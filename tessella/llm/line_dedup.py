@@ -34,7 +34,6 @@ PROBES = 400_000
 #: Rows of two integers that may be broadcast; beyond that the table of copies is joined by a shuffle.
 BROADCAST_ROWS = 10_000
 _STRIP = SPACE_CHARS.encode()
-_NO_ID = (1 << 63) - 1
 _GAMMA = 2
 _COUNT_MAX = 255
 
@@ -131,11 +130,11 @@ class _Shard:
         self.owners = np.frombuffer(packed, "<i8", n, at + 4 * n)
         self.counts = np.frombuffer(packed, "u1", n, at + 12 * n)
 
-    def loses(self, high: np.ndarray, low: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        """Whether each document loses its lines of this key: others hold it and the owner is another one."""
+    def loses(self, high: np.ndarray, low: np.ndarray, doc: np.ndarray, unnamed: np.ndarray) -> np.ndarray:
+        """Whether each document loses its lines of this key: others hold it and the owner, which has an id then, is another one."""
         at = self.index(high, low)
         known = (at >= 0) & (self.prints[at] == (low.astype(np.uint64) >> np.uint64(32)))
-        return known & (self.counts[at] > 1) & (self.owners[at] != doc)
+        return known & (self.counts[at] > 1) & (unnamed | (self.owners[at] != doc))
 
 
 def _build_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +143,7 @@ def _build_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
     def packed() -> pa.RecordBatch:
         whole = pa.Table.from_batches(held)
-        shard, high, low, owner, count = (whole.column(k).to_numpy() for k in range(5))
+        shard, high, low, owner, count = (pc.fill_null(whole.column(k), 0).to_numpy() for k in range(5))
         return pa.RecordBatch.from_arrays([pa.array(shard[:1]), pa.array([_pack_shard(high, low, owner, count)], pa.binary())], names=["shard", "packed"])
 
     for batch in batches:
@@ -166,13 +165,15 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shard: _Shard | None = None
     for batch in batches:
         packed, doc, high, low = batch.column("packed"), *(pc.fill_null(batch.column(c), 0).to_numpy() for c in ("id", "high", "low"))
+        unnamed = batch.column("id").is_null().to_numpy(zero_copy_only=False)
         arrays = np.flatnonzero(packed.is_valid().to_numpy(zero_copy_only=False)).tolist()
         for a, b in zip([-1, *arrays], [*arrays, len(doc)], strict=True):
             if a >= 0:
                 shard = _Shard(packed[a].as_py())
             if b - a <= 1:
                 continue
-            drop = pa.array(np.flatnonzero(shard.loses(high[a + 1 : b], low[a + 1 : b], doc[a + 1 : b])) + a + 1)
+            lost = shard.loses(high[a + 1 : b], low[a + 1 : b], doc[a + 1 : b], unnamed[a + 1 : b])
+            drop = pa.array(np.flatnonzero(lost) + a + 1)
             yield pa.RecordBatch.from_arrays([batch.column(c).take(drop) for c in ("id", "row", "lines")], names=["id", "row", "lines"])
 
 
@@ -181,18 +182,19 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
     A text splits at newlines. Lines whose key has at least ``MIN_CHARS`` code points and is found in at
     least two documents go, except in the document with the smallest id that holds it. Rows that repeat a
-    doc_id are one document in this, a null doc_id is one that comes last. A null or empty text is one
-    empty line; an empty table gives an empty result; other columns are not read.
+    doc_id, an integer, are one document in this, a null doc_id is one that comes last. A null or empty text is one
+    empty line; texts and lines may have any length; an empty table gives an empty result; other columns are not read.
     """
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), text.alias("text"), F.xxhash64(text).alias("row"))
+    rows = docs.select("doc_id", F.col("doc_id").cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("row"))
     lines = stage_table(rows.select("id", "text", "row").mapInArrow(_hash_lines, "id long, row long, high long, low long, lines array<int>"), "lines")
-    per_key = lines.groupBy("high", "low").agg(F.min("id").alias("owner"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n"))
+    per_key = lines.groupBy("high", "low").agg(F.min("id").alias("owner"), F.max("id").alias("last"), F.count("id").alias("named"), F.count(F.lit(1)).alias("n"))
     per_key = stage_table(per_key, "line-keys")
     shards = max(1, -(-per_key.count() // SHARD_KEYS))
     shard = F.pmod(F.col("high"), F.lit(shards)).alias("shard")
     # An entry of one document, even if its rows repeat, counts 1.
-    count = F.when(F.col("owner") == F.col("last"), 1).otherwise(F.greatest(F.col("n"), F.lit(2)))
+    one = (F.col("named") == 0) | ((F.col("named") == F.col("n")) & (F.col("owner") == F.col("last")))
+    count = F.when(one, 1).otherwise(F.greatest(F.col("n"), F.lit(2)))
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     entries = per_key.select(shard, "high", "low", "owner", count.alias("count"))
     packed = entries.repartition(partitions, "shard").sortWithinPartitions("shard").mapInArrow(_build_shards, "shard long, packed binary")
@@ -208,7 +210,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     stream = stream.sortWithinPartitions("shard", "copy", F.col("packed").isNull())
     lost = stream.mapInArrow(_probe, "id long, row long, lines array<int>").groupBy(F.col("id").alias("_id"), F.col("row").alias("_row"))
     lost = lost.agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("lost"))
-    joined = rows.join(lost, (F.col("id") == F.col("_id")) & (F.col("row") == F.col("_row")), "left")
+    joined = rows.join(lost, F.col("id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")), "left")
     joined = joined.select("doc_id", F.split("text", "\n", -1).alias("lines"), F.coalesce("lost", F.array().cast("array<int>")).alias("lost"))
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("lost"))
     return joined.select(

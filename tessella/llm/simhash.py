@@ -24,12 +24,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.arrow import ragged_arange, slices
+from tessella.llm.text import free_names
 from tessella.operators.components import connected_components
 from tessella.staging import stage_table
 
 SHINGLE = 4
 SEED = 42
 DISTANCE = 4
+#: Shingles whose bits are unpacked at a time.
+STRETCH = 1 << 16
 #: First bit and width of each third; 15 bits of each carry the Hamming code.
 THIRDS = ((0, 22), (22, 21), (43, 21))
 PAIRS = 1 << 21
@@ -47,21 +50,26 @@ def fingerprint(text: bytes) -> int:
     stops = ends[size - 1 :].tolist()
     begins = [0, *(ends[: len(words) - size] + 1).tolist()]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(begins, stops, strict=True)], dtype="<u8")
-    bits = np.unpackbits(hashes.view("u1"), bitorder="little").reshape(-1, 64)
-    return int(np.packbits(bits.sum(axis=0, dtype=np.int32) * 2 > len(hashes), bitorder="little").view("<u8")[0])
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(stops), STRETCH):
+        spans = zip(begins[at : at + STRETCH], stops[at : at + STRETCH], strict=True)
+        hashes = np.array([digest(joined[a:b], SEED) for a, b in spans], dtype="<u8")
+        ones += np.unpackbits(hashes.view("u1"), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(stops), bitorder="little").view("<u8")[0])
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches, 1):
         prints = [fingerprint(t) for t in part.column(1).cast(pa.binary()).to_pylist()]
-        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.array(prints, dtype="<u8").view("<i8"))], names=["doc_id", "print"])
+        found = pa.array(np.array(prints, dtype="<u8").view("<i8"))
+        yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), found], names=["doc_id", "mark", "print"])
 
 
 def document_fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, print`` for each row of ``docs(doc_id, text)``; the 64 bits as a signed long."""
+    """``doc_id, mark, print`` for each row of ``docs(doc_id, text)``: a hash of the text and the 64 bits, as signed longs."""
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_fingerprints, f"doc_id {kind}, print long")
+    text = F.coalesce("text", F.lit(""))
+    return docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("mark")).mapInArrow(_fingerprints, f"doc_id {kind}, mark long, print long")
 
 
 class AnchorCode:
@@ -203,15 +211,8 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id, fingerprint, component_id`` for each row of ``docs(doc_id, text)``.
-
-    Texts link if their fingerprints differ in at most ``DISTANCE`` bits; ``component_id`` is the smallest
-    doc_id that links reach. Words are lower-cased A-Z only; texts of fewer than ``SHINGLE`` words hash as
-    one shingle; null texts and texts without words have fingerprint 0, which links like any other. A null
-    doc_id is no smallest id unless a component has no other. Rows that repeat are returned each; an
-    empty table gives an empty result; other columns are not read.
-    """
+def _grouped(docs: DataFrame) -> DataFrame:
+    """``doc_id, mark, print, root, component_id`` for each row; the root is a fingerprint and tells components apart."""
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     prints = stage_table(document_fingerprints(docs), "simhash-prints")
     distinct = stage_table(prints.groupBy("print").agg(F.min("doc_id").alias("first")), "simhash-distinct")
@@ -220,15 +221,36 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     roots = connected_components(met.mapInArrow(_compare, "a long, b long"))
     labelled = distinct.join(roots, F.col("print") == F.col("node"), "left").select("print", "first", F.coalesce("root", "print").alias("root"))
     smallest = labelled.groupBy(F.col("root").alias("of")).agg(F.min("first").alias("component_id"))
-    by_print = labelled.join(smallest, F.col("root") == F.col("of")).select(F.col("print").alias("of_print"), "component_id")
-    joined = prints.join(by_print, F.col("print") == F.col("of_print"))
-    return joined.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+    by_print = labelled.join(smallest, F.col("root") == F.col("of")).select(F.col("print").alias("of_print"), "root", "component_id")
+    return prints.join(by_print, F.col("print") == F.col("of_print")).select("doc_id", "mark", "print", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """``doc_id, fingerprint, component_id`` for each row of ``docs(doc_id, text)``.
+
+    Texts, of any length, link if their fingerprints differ in at most ``DISTANCE`` bits; ``component_id`` is the
+    smallest doc_id that links reach. Words are lower-cased A-Z only; texts of fewer than ``SHINGLE`` words hash as
+    one shingle; null texts and texts without words have fingerprint 0, which links like any other. A null
+    doc_id is no smallest id unless a component has no other. Rows that repeat are returned each; an
+    empty table gives an empty result; other columns are not read.
+    """
+    return _grouped(docs).select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stand for their component: the one with the smallest doc_id of each."""
-    found = near_duplicates(docs)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.lit(1)))
-    joined = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return joined.select("*", nth.alias("_nth")).where("_nth = 1").select(*[F.col(c) for c in docs.columns])
+    """The rows of ``docs`` that stand for their component: one row, with the smallest doc_id, of each.
+
+    Null texts and texts without words are one component; a null doc_id is larger than any other, a component of
+    null ids keeps one row; of rows that repeat a component's smallest doc_id the one whose text hashes lowest
+    stays; texts may have any length; an empty table gives an empty result. All columns come back as they are,
+    whatever their names.
+    """
+    key_name, nth_name = free_names(docs, "key", "nth")
+    named = lambda mark: F.concat_ws("|", F.col("doc_id").cast("string"), mark)
+    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("best")
+    kept = _grouped(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(best)
+    kept = kept.select(F.concat_ws("|", F.col("best.doc_id").cast("string"), F.col("best.mark")).alias(key_name))
+    keyed = docs.withColumn(key_name, named(F.xxhash64(F.coalesce("text", F.lit("")))))
+    # One key column serves the join and the numbering of repeated rows, so texts are dealt once.
+    nth = F.row_number().over(Window.partitionBy(key_name).orderBy(F.lit(1)))
+    return keyed.join(kept, key_name, "left_semi").withColumn(nth_name, nth).where(F.col(nth_name) == 1).select(*docs.columns)

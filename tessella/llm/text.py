@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but the six ASCII white-space characters.
@@ -20,3 +20,16 @@ def words_in(text: Column) -> Column:
 def unit_interval(*columns: Column) -> Column:
     """A reproducible number in [0, 1) drawn from the hash of the columns."""
     return F.pmod(F.xxhash64(*columns), F.lit(1 << 53)) / F.lit(float(1 << 53))
+
+
+def free_names(rows: DataFrame, *wanted: str) -> list[str]:
+    """A column name for each of ``wanted`` that ``rows`` doesn't have, whatever its case."""
+    taken = {c.lower() for c in rows.columns}
+    found = []
+    for name in wanted:
+        name = f"_{name}"
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
