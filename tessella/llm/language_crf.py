@@ -1,26 +1,26 @@
 """Language ID by a linear-chain conditional random field over words.
 
-Words are runs of letters, lower-cased. A word's score for each language sums the weights of its
+Words are letters with the letters and marks that follow them, lower-cased. A word's score for each language sums the weights of its
 affixes and character n-grams (hashed) and of the lexicons it is in, those being the frequent words of
 each language in the training sample. Learned transitions tie neighbouring words together, so a word
 that several languages share takes the language of its surroundings and code-switched text is labelled
 piece by piece. Forward-backward gives every word's posterior over the languages; a text's language has
 the largest sum, and the score is its share.
 
-Training is bounded: at most ``PER_LANGUAGE`` labelled rows of each language and ``SAMPLE`` in all, those
-with the smallest hash of their id. To learn transitions, spans of words from all parts of several
-texts, of equal or different languages, are joined into sequences.
+Training is bounded: at most ``PER_LANGUAGE`` different labelled rows of each language and ``SAMPLE`` in all,
+those with the smallest hash of their id, each with its whole text. To learn transitions, all texts are cut into
+spans of words and spans of several texts, of equal or different languages, are joined into sequences.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,8 +28,6 @@ from tessella.llm.arrow import ragged_arange, slices
 
 PER_LANGUAGE = 300
 SAMPLE = 3000
-#: Words of a sampled text beyond this are thinned out evenly over its whole length, span by span.
-SPANS = 12
 SPAN = 8
 STEPS = 60
 RATE = 0.1
@@ -39,11 +37,11 @@ LEXICON = 300
 REMEMBERED = 500_000
 UNDETERMINED = "und"
 SLICE = 8 << 20
-_LETTERS = re.compile(r"[^\W\d_]+")
+_WORDS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
 def words_of(text: str) -> list[str]:
-    return _LETTERS.findall(text.lower())
+    return _WORDS.findall(text.lower())
 
 
 def hash_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -179,9 +177,7 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Crf:
     for text, lang in rows:
         words = words_of(text)
         counts[code[lang]].update(words)
-        for a in np.unique(np.linspace(0, max(0, len(words) - SPAN), SPANS).astype(int)).tolist():
-            if words[a : a + SPAN]:
-                spans.append((code[lang], words[a : a + SPAN]))
+        spans += [(code[lang], words[a : a + SPAN]) for a in range(0, len(words), SPAN)]
     lexicon: dict[str, int] = {}
     for k, own in enumerate(counts):
         for word, _ in sorted(own.items(), key=lambda x: (-x[1], x[0]))[:LEXICON]:
@@ -209,17 +205,16 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Crf:
     member = (lists[:, None] >> np.arange(n) & 1).astype(np.float64)
     weights = [model.grams, model.listed, model.moves, model.first]
     means, squares = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
-    truth = np.zeros((len(at), n))
-    truth[np.arange(len(at)), gold] = 1
+    truth = np.stack([np.bincount(word[gold == k], minlength=len(vocabulary)) for k in range(n)], axis=1)
     gold_moves, gold_first = np.zeros((n, n)), np.bincount(gold[: active[0]], minlength=n).astype(float)
     for t in range(1, len(active)):
         np.add.at(gold_moves, (gold[offsets[t - 1] : offsets[t - 1] + active[t]], gold[offsets[t] : offsets[t] + active[t]]), 1)
     steps = offsets.tolist(), active.tolist()
     for step in range(1, STEPS + 1):
         emitted = np.stack([np.bincount(of, model.grams[features, k], minlength=len(vocabulary)) for k in range(n)], axis=1) + member @ model.listed
-        score = emitted[word].astype(np.float32)
+        score = emitted.astype(np.float32)[word]
         joint, first_moves = _expectations(score, *steps, model.moves, model.first)
-        error = np.stack([np.bincount(word, (truth - joint)[:, k], minlength=len(vocabulary)) for k in range(n)], axis=1)
+        error = truth - np.stack([np.bincount(word, joint[:, k], minlength=len(vocabulary)) for k in range(n)], axis=1)
         slopes = [
             np.stack([np.bincount(features, error[of, k], minlength=WIDTH) for k in range(n)], axis=1),
             member.T @ error,
@@ -235,11 +230,11 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Crf:
 
 
 def _expectations(score: np.ndarray, offsets: list[int], active: list[int], moves: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word posteriors and the expected number of each transition."""
-    local = np.exp(score - score.max(axis=1, keepdims=True)).astype(np.float64)
-    step = np.exp(moves)
+    """Word posteriors, as precise as the scores, and the expected number of each transition."""
+    local = np.exp(score - score.max(axis=1, keepdims=True))
+    step = np.exp(moves).astype(score.dtype)
     ahead, behind = np.empty_like(local), np.ones_like(local)
-    a = local[: active[0]] * np.exp(first)
+    a = local[: active[0]] * np.exp(first).astype(score.dtype)
     ahead[: active[0]] = a = a / a.sum(axis=1, keepdims=True)
     for o, n in zip(offsets[1:], active[1:], strict=True):
         a = (a[:n] @ step) * local[o : o + n]
@@ -253,8 +248,9 @@ def _expectations(score: np.ndarray, offsets: list[int], active: list[int], move
         total = (ahead[o : o + after] * b).sum(axis=1, keepdims=True)
         expected += step * (ahead[o : o + after].T @ (right / total))
         behind[o : o + after] = b / b.sum(axis=1, keepdims=True)
-    joint = ahead * behind
-    return joint / joint.sum(axis=1, keepdims=True), expected
+    ahead *= behind
+    ahead /= ahead.sum(axis=1, keepdims=True)
+    return ahead, expected
 
 
 def remainder(doc_id: Column, divisor: int) -> Column:
@@ -263,22 +259,25 @@ def remainder(doc_id: Column, divisor: int) -> Column:
 
 
 def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE, sample: int = SAMPLE) -> list[tuple[str, str]]:
-    """The bounded sample of (text, lang) from ``docs(doc_id, text, lang)``: ids are chosen first, then their texts are read."""
-    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("order", "doc_id"))
-    ids = usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("order")).withColumn("nth", nth).where(F.col("nth") <= per_language)
-    ids = ids.orderBy("nth", "lang").limit(sample).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct()
-    chosen = usable.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("lang") == F.col("_lang")))
-    found = chosen.select("doc_id", "lang", "text").limit(2 * sample).collect()
-    return [(r["text"], r["lang"]) for r in sorted(found, key=lambda r: (r["lang"], r["doc_id"] is None, r["doc_id"] or 0, r["text"]))][:sample]
+    """The bounded sample of (text, lang) from ``docs(doc_id, text, lang)``: rows are chosen by their ids, then their texts are read."""
+    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text", F.xxhash64("text").alias("mark"))
+    # Rows that repeat are one.
+    rows = usable.groupBy("lang", "doc_id", "mark").agg(F.first(F.xxhash64("doc_id")).alias("order"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("order", "doc_id", "mark"))
+    rows = rows.withColumn("nth", nth).where(F.col("nth") <= per_language).orderBy("nth", "lang").limit(sample)
+    rows = rows.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), F.col("mark").alias("_mark"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("lang") == F.col("_lang")) & (F.col("mark") == F.col("_mark"))
+    found = usable.join(F.broadcast(rows), same).groupBy("lang", "doc_id", "mark").agg(F.min("text").alias("text")).collect()
+    return [(r["text"], r["lang"]) for r in sorted(found, key=lambda r: (r["lang"], r["doc_id"] is None, r["doc_id"] or 0, r["text"]))]
 
 
 def identify_languages(docs: DataFrame, held_out_of: int = 5, model: Crf | None = None) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` for each row of ``docs(doc_id, text, lang)``.
 
     Rows whose id hashes to 0 modulo ``held_out_of`` are held out of training. A text that is null or has no
-    letter is ``und`` with score 0, as all are if there is nothing to train on. Rows that repeat are predicted
-    each; an empty table gives an empty result; other columns are not read.
+    letter (Unicode category L) is ``und`` with score 0, as all are if there is nothing to train on; of languages
+    with equal shares the first by name is predicted. Texts of any length are read whole; rows that repeat are
+    predicted each; an empty table gives an empty result; other columns are not read.
     """
     held_out = remainder(F.col("doc_id"), held_out_of) == 0
     model = model or train(training_rows(docs.where(~held_out)))
@@ -298,7 +297,9 @@ def identify_languages(docs: DataFrame, held_out_of: int = 5, model: Crf | None
 def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
     """The rows of ``docs`` whose text has a language, by the score at least in ``least`` of it; the others go.
 
-    Code-switched text stays: half of it in either of two languages is enough.
+    Code-switched text stays: half of it in either of two languages is enough. Null texts and texts without letters
+    go; texts of any length are read whole; rows that repeat are judged each; an empty table gives an empty result.
+    All columns come back as they are, whatever their names.
     """
     held_out = remainder(F.col("doc_id"), 5) == 0
     shared = docs.sparkSession.sparkContext.broadcast(train(training_rows(docs.where(~held_out))))
