@@ -1,10 +1,15 @@
 """Document fingerprints from closed syncmers, in Spark expressions only.
 
-Words hash to longs. Of every ``K`` = 5 consecutive words the hashes of the four inner pairs are
-compared; the five words are a closed syncmer if the smallest pair stands first or last. Whether they
-are one depends on nothing around them, so an edit disturbs only the anchors it touches and all others
-match by content at their places. The fingerprint is the sketch of a text's syncmers: the ``SKETCH``
-smallest of their distinct hashes. Likeness is the Jaccard index that two sketches estimate.
+A text's units are its words; a character of a script that is written without spaces is a unit of its own. Units
+hash to longs, with ``K`` - 1 blanks in front of the first. Of every ``K`` = 5 consecutive units the hashes of
+the four inner pairs are compared; the five are a closed syncmer if the smallest pair stands first or last.
+Whether they are one depends on nothing around them, so an edit disturbs only the anchors it touches and all
+others match by content at their places. The fingerprint is the distinct anchors of a text, each with the
+place of its first occurrence and the number of them; as a string it is their digest.
+
+Matching is positional: an anchor that two texts share is upheld if it has the same place in both or is
+displaced as far as the shared anchor next to it. Likeness is twice the upheld anchors over the anchors of both,
+each counted as often as both texts have it.
 
 For edited texts every document needs its neighbour in the order of doc_id. Documents are dealt into
 ranges of ids whose borders come from one approximate quantile aggregate; each range also gets the
@@ -19,24 +24,26 @@ from pyspark.sql import functions as F
 from tessella.llm.text import SPACES
 
 K = 5
-SHORT = 16
-SKETCH = 64
 RANGE_ROWS = 2000
 MAX_RANGES = 1 << 16
+#: Scripts written without spaces between words.
+UNSPACED = ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar")
+_ALONE = "([" + "".join(rf"\p{{Is{script}}}" for script in UNSPACED) + "])"
 
 
 def _hashes(text: Column) -> Column:
-    words = F.split(text, SPACES)
-    return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
+    """Hashes of the units behind ``K`` - 1 zeros; none for a text without units."""
+    units = F.filter(F.split(F.regexp_replace(text, _ALONE, " $1 "), SPACES), lambda w: w != "")
+    own = F.transform(units, lambda w: F.xxhash64(w))
+    return F.concat(F.array_repeat(F.lit(0).cast("long"), K - 1), own)
 
 
 def _pairs(hashes: Column) -> Column:
-    ends = F.slice(hashes, 2, F.greatest(F.size(hashes) - 1, F.lit(0)))
-    return F.zip_with(F.slice(hashes, 1, F.greatest(F.size(hashes) - 1, F.lit(0))), ends, lambda a, b: F.xxhash64(a, b))
+    return F.zip_with(F.slice(hashes, 1, F.size(hashes) - 1), F.slice(hashes, 2, F.size(hashes) - 1), lambda a, b: F.xxhash64(a, b))
 
 
 def _places(pairs: Column) -> Column:
-    """Indexes of the closed syncmers: the first word of each."""
+    """Indexes of the closed syncmers: their last unit, or the first as counted with the blanks."""
 
     def closed(i: Column) -> Column:
         a, b, c, d = (F.get(pairs, i + k) for k in range(4))
@@ -47,47 +54,60 @@ def _places(pairs: Column) -> Column:
     return F.when(last >= 0, F.filter(F.sequence(F.lit(0), last), closed)).otherwise(F.array().cast("array<int>"))
 
 
-def with_anchors(rows: DataFrame, text: str) -> DataFrame:
-    """``rows`` with ``places`` and ``anchors``: where each closed syncmer begins, in words, and its hash.
+def with_anchors(rows: DataFrame, text: str, name: str = "anchors") -> DataFrame:
+    """``rows`` with the distinct closed syncmers of a text as ``array<struct<hash, place, n>>``, sorted.
 
-    A short text, of fewer than ``SHORT`` words, has every single word as an anchor too, as an edit may leave
-    no five words in a row; a text without words has none.
+    The place is that of the first of n occurrences, in units. A text without units has none.
     """
     plain = rows.columns
     hashed = rows.select(*plain, _hashes(F.col(text)).alias("_hashes"))
     paired = hashed.select("*", _pairs(F.col("_hashes")).alias("_pairs"))
     placed = paired.select("*", _places(F.col("_pairs")).alias("_places"))
-    syncmer = F.transform("_places", lambda i: F.xxhash64(F.get("_pairs", i), F.get("_pairs", i + 2), F.get("_hashes", i + 4)))
-    short = (F.size("_hashes") < SHORT) & (F.size("_hashes") > 0)
-    singles = F.sequence(F.lit(0), F.size("_hashes") - 1)
-    return placed.select(
-        *plain,
-        F.when(short, F.concat("_places", singles)).otherwise(F.col("_places")).alias("places"),
-        F.when(short, F.concat(syncmer, "_hashes")).otherwise(syncmer).alias("anchors"),
+    syncmer = lambda i: F.xxhash64(F.get("_pairs", i), F.get("_pairs", i + 2), F.get("_hashes", i + 4))
+    found = placed.select(*plain, F.sort_array(F.transform("_places", lambda i: F.struct(syncmer(i).alias("hash"), i.alias("place")))).alias("_found"))
+    size = F.size("_found")
+    fresh = lambda i: (i == 0) | (F.get("_found", i - 1)["hash"] != F.get("_found", i)["hash"])
+    starts = F.when(size > 0, F.filter(F.sequence(F.lit(0), size - 1), fresh)).otherwise(F.array().cast("array<int>"))
+    begun = found.select("*", starts.alias("_starts"))
+    many = lambda i, k: F.coalesce(F.get("_starts", k + 1), size) - i
+    entry = lambda i, k: F.struct(*[F.get("_found", i)[c].alias(c) for c in ("hash", "place")], many(i, k).alias("n"))
+    return begun.select(*plain, F.transform("_starts", entry).alias(name))
+
+
+def with_likeness(rows: DataFrame, a: str, b: str, name: str) -> DataFrame:
+    """``rows`` with the likeness of two of its columns of anchors, from 0 to 1; two empty ones are alike."""
+    plain = rows.columns
+    side = lambda c, k: F.transform(c, lambda x: F.struct(x["hash"].alias("hash"), F.lit(k).alias("side"), x["place"].alias("place"), x["n"].alias("n")))
+    # Two sorted arrays one after the other: the sort merges them, and equal anchors come to stand together.
+    merged = rows.select(*plain, F.sort_array(F.concat(side(a, 0), side(b, 1))).alias("_merged"))
+    after = lambda i: F.get("_merged", i + 1)
+    both = lambda x, y: F.struct(x["place"].alias("place"), (y["place"] - x["place"]).alias("shift"), F.least(x["n"], y["n"]).alias("n"))
+    pair = lambda x, i: F.when(after(i)["hash"] == x["hash"], both(x, after(i)))
+    paired = merged.select(*plain, F.sort_array(F.filter(F.transform("_merged", pair), lambda m: m.isNotNull())).alias("_shared"))
+    shift = lambda i: F.get("_shared", i)["shift"]
+    no = F.lit(False)
+    upheld = F.filter(
+        "_shared", lambda m, i: (m["shift"] == 0) | F.coalesce(shift(i - 1) == m["shift"], no) | F.coalesce(shift(i + 1) == m["shift"], no)
     )
+    total = lambda of: F.aggregate(of, F.lit(0), lambda n, x: n + x["n"])
+    every = total(a) + total(b)
+    return paired.select(*plain, F.when(every == 0, F.lit(1.0)).otherwise(total(upheld) * 2 / every).alias(name))
 
 
-def sketch(anchors: Column, size: int = SKETCH) -> Column:
-    """The smallest distinct anchors in order."""
-    return F.slice(F.sort_array(F.array_distinct(anchors)), 1, size)
-
-
-def likeness(a: Column, b: Column, size: int = SKETCH) -> Column:
-    """Jaccard index that two sketches estimate; exact if both hold all anchors. Two empty ones are alike."""
-    both = F.slice(F.sort_array(F.array_union(a, b)), 1, size)
-    shared = F.size(F.array_intersect(both, F.array_intersect(a, b)))
-    return F.when(F.size(both) == 0, F.lit(1.0)).otherwise(shared / F.size(both))
-
-
-def as_text(sketched: Column) -> Column:
-    """The sketch as a string of 16 hex digits for each anchor."""
-    return F.lower(F.array_join(F.transform(sketched, lambda x: F.lpad(F.hex(x), 16, "0")), ""))
+def digest(anchors: Column) -> Column:
+    """The fingerprint as a string: SHA-256 over all anchors, their places and numbers."""
+    each = F.transform(anchors, lambda x: F.concat_ws("@", F.hex(x["hash"]), x["place"].cast("string"), x["n"].cast("string")))
+    return F.sha2(F.array_join(each, " "), 256)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, places, anchors, fingerprint`` for each row of ``docs(doc_id, text)``; null texts are empty."""
+    """``doc_id, anchors, fingerprint`` for each row of ``docs(doc_id, text)``.
+
+    Null texts are empty, and empty ones have no anchor; texts may have any length and equal texts have equal
+    fingerprints; rows that repeat are returned each; an empty table gives an empty result; other columns are not read.
+    """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return with_anchors(rows, "text").select("doc_id", "places", "anchors", as_text(sketch(F.col("anchors"))).alias("fingerprint"))
+    return with_anchors(rows, "text").select("doc_id", "anchors", digest(F.col("anchors")).alias("fingerprint"))
 
 
 def _range_of(doc_id: Column, borders: list[int]) -> Column:
@@ -112,7 +132,8 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
     doc_id follow each other in the order of their texts, a null doc_id comes last. The edited text has the
     last third of the code points replaced by as many from the front of the next text, or all it has.
     Returns ``doc_id, n_chars, edited, fingerprint, edited_fingerprint, near_edited, near_next``. Null texts
-    are empty; a lone row is its own next; an empty table gives an empty result; other columns are not read.
+    are empty; texts may have any length; a lone row is its own next; an empty table gives an empty result; other
+    columns are not read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     ranges = min(MAX_RANGES, -(-docs.count() // RANGE_ROWS))
@@ -123,27 +144,30 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
         borders = sorted(set(found or []))
     ranged = rows.select(_range_of(F.col("doc_id"), borders).alias("range"), "doc_id", "text")
     heads = ranged.groupBy("range").agg(F.max("doc_id").alias("head"))
-    order = Window.orderBy("range")
-    first = F.first("head").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    last = F.lead("range").over(order).isNull()
+    up = Window.orderBy("range")
+    first = F.first("head").over(up.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    last = F.lead("range").over(up).isNull()
     # One row per range, at most MAX_RANGES of two numbers.
-    follows = heads.select(F.col("range").alias("for"), F.when(last, first).otherwise(F.lead("head").over(order)).alias("head"))
+    follows = heads.select(F.col("range").alias("for"), F.when(last, first).otherwise(F.lead("head").over(up)).alias("head"))
     tails = ranged.select("doc_id", "text").join(F.broadcast(follows), F.col("doc_id").eqNullSafe(F.col("head")))
     tails = tails.groupBy("for").agg(F.min("text").alias("text")).select(F.col("for").alias("range"), F.lit(None).cast("long").alias("doc_id"), "text", F.lit(1).alias("tail"))
-    marked = with_anchors(ranged.withColumn("tail", F.lit(0)).unionByName(tails), "text")
-    marked = marked.select("range", "doc_id", "text", "tail", sketch(F.col("anchors")).alias("own"))
-    down = Window.partitionBy("range").orderBy("tail", F.col("doc_id").desc_nulls_last(), "text")
+    order = ["range", "tail", F.col("doc_id").desc_nulls_last(), "text"]
+    # Anchors are made of texts where they were dealt to, so only texts travel.
+    dealt = ranged.withColumn("tail", F.lit(0)).unionByName(tails).repartition("range").sortWithinPartitions(*order)
+    down = Window.partitionBy("range").orderBy(*order[1:])
+    marked = with_anchors(dealt, "text", "own")
     pairs = marked.select("*", F.lead("text").over(down).alias("next_text"), F.lead("own").over(down).alias("next_own")).where("tail = 0")
     cut = F.floor(F.length("text") / 3).cast("int")
     edited = F.concat(F.left("text", F.length("text") - cut), F.left("next_text", cut))
-    pairs = pairs.select("doc_id", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"), "own", likeness(F.col("own"), F.col("next_own")).alias("near_next"))
-    both = with_anchors(pairs, "edited").withColumn("changed", sketch(F.col("anchors")))
+    pairs = pairs.select("doc_id", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"), "own", "next_own")
+    near = with_likeness(pairs, "own", "next_own", "near_next").drop("next_own")
+    both = with_likeness(with_anchors(near, "edited", "changed"), "own", "changed", "near_edited")
     return both.select(
         "doc_id",
         "n_chars",
         "edited",
-        as_text(F.col("own")).alias("fingerprint"),
-        as_text(F.col("changed")).alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("changed")).alias("near_edited"),
+        digest(F.col("own")).alias("fingerprint"),
+        digest(F.col("changed")).alias("edited_fingerprint"),
+        "near_edited",
         "near_next",
     )
