@@ -20,6 +20,8 @@ BEGIN, END, ROLE, ROLE_END, SEP = "<s>", "</s>", "[ROLE]", "[/ROLE]", "[SEP]"
 # What is escaped: the marks above and those of common instruction templates.
 _TAIL = r"(/?(?:s>|ROLE\]|SEP\]|INST\]))"
 LOSS_ROLE = "assistant"
+#: Where a head, a text or a mark ends and another begins.
+_BORDER = r"(?<=<s>|</s>|\[/ROLE\]|\[SEP\])|(?=</s>|\[ROLE\]|\[SEP\])"
 
 
 def escape(text: Column) -> Column:
@@ -31,18 +33,20 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"([<\[])\\(\\*)" + _TAIL, r"$1$2$3")
 
 
-def _messages(turns: Column) -> Column:
-    """Runs of adjacent turns of one role as ``array<struct<role, texts>>``."""
-    n = F.size(turns)
-    index = F.sequence(F.lit(1), n)
-    starts = F.filter(index, lambda i: (i == 1) | (F.get(turns, i - 1)["role"] != F.get(turns, F.greatest(i - 2, F.lit(0)))["role"]))
+def _with_messages(grouped: DataFrame) -> DataFrame:
+    """``grouped(conv_id, turns)`` with runs of adjacent turns of one role as ``messages: array<struct<role, texts>>``."""
+    n = F.size("turns")
+    role = lambda i: F.get("turns", i)["role"]
+    first = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (role(i - 1) != role(i)))
+    # A column of its own: inside the expression below it would be found anew for every message.
+    begun = grouped.select("conv_id", "turns", first.alias("starts"))
 
     def message(start: Column, k: Column) -> Column:
-        stop = F.coalesce(F.get(starts, k + 1), n + 1)
-        run = F.slice(turns, start, stop - start)
-        return F.struct(F.get(turns, start - 1)["role"].alias("role"), F.transform(run, lambda t: t["text"]).alias("texts"))
+        stop = F.coalesce(F.get("starts", k + 1), n)
+        run = F.slice("turns", start + 1, stop - start)
+        return F.struct(role(start).alias("role"), F.transform(run, lambda t: t["text"]).alias("texts"))
 
-    return F.transform(starts, message)
+    return begun.select("conv_id", F.transform("starts", message).alias("messages"))
 
 
 def format_chats(conversations: DataFrame, loss_role: str = LOSS_ROLE) -> DataFrame:
@@ -51,11 +55,12 @@ def format_chats(conversations: DataFrame, loss_role: str = LOSS_ROLE) -> DataFr
     ``mask`` has the runs of ``formatted`` in order as ``array<struct<n_chars, loss>>`` in code points;
     a run is under the loss if it is one text of ``loss_role``. Turns sort by turn, role, text; null
     roles and texts count as empty, a null turn comes first, the null conv_id is a conversation of its
-    own, rows that repeat stay as turns, and an empty table gives no row. Extra columns are not read.
+    own, rows that repeat stay as turns, texts may have any length, and an empty table gives no row. Extra
+    columns are not read. Work grows with the text and the number of turns.
     """
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     grouped = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    merged = grouped.select("conv_id", _messages(F.col("turns")).alias("messages"))
+    merged = _with_messages(grouped)
     piece = lambda text, loss: F.struct(text.alias("text"), loss.alias("loss"))
     no = F.lit(False)
 
@@ -89,11 +94,15 @@ def read_turns(formatted: Column) -> Column:
 
 
 def loss_text(formatted: Column, mask: Column) -> Column:
-    """All text under the mask, unescaped, in order."""
-    start = F.struct(F.lit(1).cast("long").alias("at"), F.array().cast("array<string>").alias("texts"))
+    """All text under the mask, unescaped, in order. A mask that doesn't fit the text is an error.
 
-    def walk(s: Column, run: Column) -> Column:
-        own = unescape(F.substr(formatted, s["at"].cast("int"), run["n_chars"].cast("int")))
-        return F.struct((s["at"] + run["n_chars"]).alias("at"), F.when(run["loss"], F.concat(s["texts"], F.array(own))).otherwise(s["texts"]).alias("texts"))
+    Texts hold no control string, so the places where runs of the mask meet are those at the marks.
+    """
+    pieces = F.filter(F.split(formatted, _BORDER), lambda p: p != "")
+    runs = F.filter(mask, lambda run: run["n_chars"] > 0)
+
+    def under(piece: Column, run: Column) -> Column:
+        fits = F.length(piece) == run["n_chars"]
+        return F.when(fits, F.when(run["loss"], unescape(piece)).otherwise(F.lit(""))).otherwise(F.raise_error(F.lit("the mask doesn't fit the text")))
 
-    return F.aggregate(mask, start, walk, lambda s: F.array_join(s["texts"], ""))
+    return F.array_join(F.zip_with(pieces, runs, under), "")
