@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -12,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import pytest
+import regex
 import sentencepiece
 import xxhash
 from pyspark.sql import functions as F
@@ -19,6 +21,7 @@ from tokenizers import Tokenizer
 
 from tessella.llm import chat, exact_dedup, language_crf, line_dedup, logistic_mix, mixing, packing, piece_counts, simhash, syncmers
 
+CLASHING = ["_id", "_lang", "_sha", "_nth", "_kept", "_size", "_copy", "_KEY", "_key_", "_copies", "_total", "_times", "_row", "_d", "anchor"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, copies string, row string, print double, range int"
 WORDS = {
     "en": "the of and to in that was his with for thing nothing other there weather".split(),
@@ -48,6 +51,28 @@ def words(text):
     return re.findall(r"[^\x20\x09-\x0D]+", text or "")
 
 
+def clashing_rows(spark):
+    """Rows whose other columns bear names that an operator may want for itself, with values to find again."""
+    rows = [(k, t, lang, f"s{k % 2}", *[100 * k + c for c in range(len(CLASHING))]) for k, (_, t, lang, _) in enumerate(odd_rows(17, 20)[:20])]
+    rows += [((1 << 63) - 1, "the weather of the last id", "en", "s1", *range(len(CLASHING)))]
+    fields = "doc_id long, text string, lang string, source string, " + ", ".join(f"{c} long" for c in CLASHING)
+    return rows, spark.createDataFrame(rows, fields)
+
+
+def test_callers_columns_come_back(spark):
+    rows, docs = clashing_rows(spark)
+    by_id = {r[0]: r for r in rows}
+    for operator in (language_crf.keep_identified, exact_dedup.drop_exact_duplicates, simhash.drop_near_duplicates, mixing.mixed_documents):
+        out = operator(docs)
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert {tuple(r) for r in got} <= {by_id[r["doc_id"]] for r in got}
+        assert operator is mixing.mixed_documents or len(got) == len(rows)
+    for operator in (language_crf.identify_languages, exact_dedup.resolve_duplicates, simhash.near_duplicates, mixing.mix_sources, line_dedup.dedup_lines, logistic_mix.score_documents):
+        assert sorted(r["doc_id"] for r in operator(docs).collect()) == sorted(by_id)
+    assert {r["keep_id"] for r in exact_dedup.resolve_duplicates(docs).collect()} == set(by_id)
+
+
 # 1 mixing
 
 
@@ -133,6 +158,55 @@ def test_language_of_held_out_and_switched_text(spark):
     assert not kept & {101, 102, 103} and set(truth) <= kept
 
 
+def test_words_are_letters_with_their_marks(spark):
+    assert language_crf.words_of("½ ② Ⅷ ٣ x́y हिन्दी, l'été_2") == ["x́y", "हिन्दी", "l", "été"]
+    rows = [(k, prose(random.Random(k), "en", 20), "en", "s") for k in range(1, 30)] + [(40, "½ ②", "en", "s"), (41, "\u0301", "en", "s")]
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_crf.identify_languages(frame(spark, rows)).collect()}
+    assert got[40] == got[41] == ("und", 0) and got[1] == ("en", 1)
+
+
+def test_training_rows_are_bounded_and_whole(spark):
+    rows = [(k, f"text {k} " * 400, lang, "s") for k in range(50) for lang in ("en", "de")] + [(3, "text 3 " * 400, "en", "s")] * 30
+    found = language_crf.training_rows(frame(spark, rows), per_language=10, sample=15)
+    assert len(found) == len(set(found)) == 15 and all(len(t) >= 2800 for t, _ in found)
+    assert Counter(lang for _, lang in found) == {"de": 8, "en": 7}
+
+
+def brute_posterior(model, text):
+    """The share of each language by enumerating all label sequences."""
+    own = language_crf.words_of(text)
+    emit = []
+    for w in own:
+        total = [0.0] * len(model.languages)
+        marked = f"^{w}$"
+        features = [marked[i : i + n] for n in (2, 3) for i in range(len(marked) - n + 1)]
+        features += {0: marked[:4], len(marked) - 4: marked[-4:]}.values() if len(marked) >= 4 else []
+        for gram in features:
+            value = 0
+            for n, point in enumerate(map(ord, gram), 1):
+                value = (value * 0x100000001B3 + point + n) % (1 << 64)
+            slot = (value * 0x9E3779B97F4A7C15 % (1 << 64) >> 48) % language_crf.WIDTH
+            total = [t + g for t, g in zip(total, model.grams[slot], strict=True)]
+        for k in range(len(model.languages)):
+            if model.lexicon.get(w, 0) >> k & 1:
+                total = [t + g for t, g in zip(total, model.listed[k], strict=True)]
+        emit.append(total)
+    mass = np.zeros(len(model.languages))
+    for path in itertools.product(range(len(model.languages)), repeat=len(own)):
+        s = model.first[path[0]] + sum(emit[t][y] for t, y in enumerate(path)) + sum(model.moves[a, b] for a, b in itertools.pairwise(path))
+        mass += math.exp(s) * np.bincount(path, minlength=len(mass))
+    return mass / mass.sum()
+
+
+def test_prediction_matches_enumeration():
+    rnd = random.Random(43)
+    model = language_crf.train([(prose(rnd, lang, 12), lang) for lang in ("en", "de") * 15])
+    for text in ("the und", "a", "nicht straße of weather zu", "xyz the der", "in war was"):
+        wanted = brute_posterior(model, text)
+        lang, score = model.predict([text])[0]
+        assert lang == model.languages[int(wanted.argmax())] and score == pytest.approx(wanted.max(), abs=1e-3)
+
+
 # 3 exact dedup
 
 
@@ -156,16 +230,32 @@ def test_exact_dedup_matches_brute_force(spark):
     assert sorted(r["doc_id"] if r["doc_id"] is not None else -1 for r in left.collect()) == sorted(min((m for m in v if m is not None), default=-1) for v in groups.values())
 
 
-def test_merge_refuses_colliding_digests():
-    def batch(second):
-        columns = [[0, 0], [0, 0], [b"x" * 32] * 2, [5, 5], second, [1, 2], [1, 1]]
-        kinds = [pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * 4]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=list("abcdefg"))
+def runs_of(rows):
+    """(digest, n_bytes, second, id, row) rows as a run."""
+    run = np.zeros(len(rows), exact_dedup._ENTRY)
+    for k, (digest, n_bytes, second, keep_id, row) in enumerate(sorted(rows, key=lambda r: r[0])):
+        run[k] = (np.frombuffer(digest, ">u8"), n_bytes, second, keep_id is None, keep_id or 0, row, 1)
+    return run
+
+
+def test_runs_merge_in_order():
+    rnd = random.Random(31)
+    digest = lambda: bytes([rnd.randrange(3)]) + b"x" * 7 + bytes([rnd.randrange(4)]) * 24
+    rows = [(digest(), 5, 9, rnd.choice([None, 3, -4, 8]), k) for k in range(200)]
+    whole = exact_dedup.merge_runs([runs_of(rows[k::5]) for k in range(5)])
+    best = {}
+    for d, _, _, i, row in rows:
+        best[d] = min(best.get(d, (2, 0, 0)), (i is None, i or 0, row))
+    assert [bytes(e["digest"].astype(">u8").tobytes()) for e in whole] == sorted(best)
+    assert [(e["unnamed"], e["keep_id"], e["keep_row"]) for e in whole] == [best[d] for d in sorted(best)]
+    assert whole["n_rows"].sum() == 200
 
-    whole = list(exact_dedup._merge_runs(iter([batch([9, 9]), batch([9, 9])])))
-    assert sum(b.num_rows for b in whole) == 1 and whole[-1].column(6)[0].as_py() == 4
+
+def test_merge_refuses_colliding_digests():
+    one, other = ([(b"x" * 32, 5, second, 1, 1)] for second in (9, 8))
+    assert exact_dedup.merge_runs([runs_of(one)] * 4)["n_rows"].tolist() == [4]
     with pytest.raises(ValueError, match="same SHA-256"):
-        list(exact_dedup._merge_runs(iter([batch([9, 8])])))
+        exact_dedup.merge_runs([runs_of(one), runs_of(other)])
 
 
 # 4 token counts
@@ -187,38 +277,51 @@ def test_piece_counts_match_the_library(spark):
 # 5 syncmers
 
 
-def brute_sketch(text):
-    long = lambda x, seed: xxhash.xxh64_intdigest(x.to_bytes(8, "little", signed=x < 0) if x < 0 else x.to_bytes(8, "little"), seed)
+ALONE = regex.compile("([" + "".join(rf"\p{{Script={x}}}" for x in syncmers.UNSPACED) + "])")
+
+
+def brute_anchors(text):
+    """First place and number of each closed syncmer."""
+    long = lambda x, seed: xxhash.xxh64_intdigest(x.to_bytes(8, "little"), seed)
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    own = [xxhash.xxh64_intdigest(w.encode(), 42) for w in words(text)]
+    own = [0] * 4 + [xxhash.xxh64_intdigest(w.encode(), 42) for w in words(ALONE.sub(r" \1 ", text))]
     pairs = [long(b, long(a, 42)) for a, b in itertools.pairwise(own)]
-    anchors = [] if len(own) >= 16 else list(own)
+    found = {}
     for i in range(len(own) - 4):
         inner = [signed(x) for x in pairs[i : i + 4]]
         if min(inner) in (inner[0], inner[-1]):
-            anchors.append(long(own[i + 4], long(pairs[i + 2], long(pairs[i], 42))))
-    return sorted(set(map(signed, anchors)))[:64]
+            found.setdefault(signed(long(own[i + 4], long(pairs[i + 2], long(pairs[i], 42)))), []).append(i)
+    return {h: (places[0], len(places)) for h, places in found.items()}
 
 
 def brute_likeness(a, b):
-    both = sorted(set(a) | set(b))[:64]
-    return 1.0 if not both else len(set(both) & set(a) & set(b)) / len(both)
+    shared = sorted((a[h][0], b[h][0] - a[h][0], min(a[h][1], b[h][1])) for h in a.keys() & b.keys())
+    shifts = [None, *(s for _, s, _ in shared), None]
+    upheld = sum(n for k, (_, s, n) in enumerate(shared) if s == 0 or s in (shifts[k], shifts[k + 2]))
+    return 1.0 if not a and not b else 2 * upheld / sum(n for side in (a, b) for _, n in side.values())
 
 
 def test_fingerprints_match_brute_force(spark, monkeypatch):
     monkeypatch.setattr(syncmers, "RANGE_ROWS", 9)
-    rows = odd_rows(8)
+    rnd = random.Random(8)
+    rows = odd_rows(8) + [(200 + k, "".join(rnd.choice("天地玄黄宇宙洪荒日月盈昃。かなのไทยข้อ") for _ in range(80)), None, None) for k in range(6)]
+    rows += [(300, rows[7][1] + " " + rows[8][1], None, None), (299, rows[8][1] + " " + rows[7][1], None, None)]
     order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
     wanted = []
     for k, (d, t, _, _) in enumerate(order):
         t, after = t or "", order[(k + 1) % len(order)][1] or ""
         cut = len(t) // 3
         edited = t[: len(t) - cut] + after[:cut]
-        a, b, c = map(brute_sketch, (t, edited, after))
-        text = lambda s: "".join(f"{x & (1 << 64) - 1:016x}" for x in s)
+        a, b, c = map(brute_anchors, (t, edited, after))
+        text = lambda s: hashlib.sha256(" ".join(f"{x & (1 << 64) - 1:X}@{s[x][0]}@{s[x][1]}" for x in sorted(s)).encode()).hexdigest()
         wanted.append((d, len(t), edited, text(a), text(b), brute_likeness(a, b), brute_likeness(a, c)))
     got = syncmers.compare_with_edits(frame(spark, rows)).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, wanted))
+    for r in got:
+        if r["doc_id"] is not None and 200 <= r["doc_id"] < 206:
+            assert 0.5 < r["near_edited"] < 0.85
+        if r["doc_id"] == 300:  # the next document has its halves the other way round
+            assert r["near_next"] > 0.5
 
 
 def test_a_lone_row_follows_itself(spark):
@@ -249,11 +352,30 @@ def test_chats_read_back(spark):
     assert chat.format_chats(said.limit(0)).count() == 0
 
 
+def test_long_conversation(spark):
+    said = spark.range(20_000).select(
+        F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 3 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("é [SEP] "), "id").alias("text")
+    )
+    began = time.time()
+    chats = chat.format_chats(said)
+    out = chats.select(chat.read_turns(F.col("formatted")).alias("turns"), chat.loss_text(F.col("formatted"), F.col("mask")).alias("loss")).first()
+    assert [t["text"] for t in out["turns"]] == [f"é [SEP] {k}" for k in range(20_000)]
+    assert out["loss"] == "".join(f"é [SEP] {k}" for k in range(20_000) if k % 3)
+    assert time.time() - began < 30
+
+
+def test_a_mask_of_another_text_is_refused(spark):
+    wrong = spark.sql("select '<s>[ROLE]user[/ROLE]ab</s>' as formatted, array(struct(3L as n_chars, false as loss)) as mask")
+    with pytest.raises(Exception, match="mask"):
+        wrong.select(chat.loss_text(F.col("formatted"), F.col("mask"))).collect()
+
+
 # 7 packing
 
 
 def test_packing_is_a_partition_of_the_ids(spark):
     rows = odd_rows(10) + [(300, "a <|endoftext|> b", None, None), (301, "  x \n y ", None, None)]
+    rows += [(302, "a \0first\0b", None, None), (303, "a \0whole\0b", None, None), (304, "\0whole\0b", None, None)]
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     out = packing.pack_documents(frame(spark, rows), sequence=64, with_ids=True).collect()
     wanted = Counter((d, tuple([*library.encode(t or "", add_special_tokens=False).ids, 1])) for d, t, _, _ in rows)
@@ -274,7 +396,11 @@ def test_packing_is_a_partition_of_the_ids(spark):
         assert [a for a, _ in sorted(spans)] == [sum(n for _, n in sorted(spans)[:k]) for k in range(len(spans))]
         assert sum(n for _, n in spans) <= 64
     assert set(places) == set(range(len(places)))
-    assert sum(len(s) for s in wanted for s in [s[1]]) and len(places) * 64 < 1.1 * sum(n * len(s) for (_, s), n in wanted.items()) + 64
+    by_length = Counter(r["length"] for r in out)
+    assert Counter(tuple(sorted((n for _, n in spans), reverse=True)) for spans in places.values()) == Counter(
+        tuple(lengths) for lengths, count in packing.pack_histogram(by_length, 64) for _ in range(count)
+    )
+    assert len(places) * 64 < 1.1 * sum(n * len(s) for (_, s), n in wanted.items()) + 64
 
 
 def test_histogram_packing_places_all():
@@ -288,6 +414,23 @@ def test_histogram_packing_places_all():
     assert placed == counts
 
 
+def test_histogram_packs_like_one_piece_at_a_time():
+    rnd = random.Random(41)
+    assert packing.pack_histogram({1000: 1, 400: 2}, 2000) == [([1000, 400, 400], 1)]
+    for _ in range(300):
+        room = rnd.choice([20, 64, 100])
+        counts = {n: rnd.randrange(1, 9) for n in rnd.sample(range(1, room + 1), rnd.randrange(1, 12))}
+        packs = []
+        for n in sorted(counts, reverse=True):
+            for _ in range(counts[n]):
+                fits = [k for k, used in enumerate(packs) if used + n <= room]
+                if fits:
+                    packs[min(fits, key=packs.__getitem__)] += n
+                else:
+                    packs.append(n)
+        assert sorted(sum(lengths) for lengths, count in packing.pack_histogram(counts, room) for _ in range(count)) == sorted(packs)
+
+
 # 8 scoring
 
 
