@@ -1,7 +1,9 @@
 """From raw documents to packed training sequences in five stages.
 
 Every stage takes all rows that the one before kept and its decisions take effect. All but the last
-return the columns of ``documents``; mixing returns a document as often as the mix takes it.
+return the columns of ``documents``, whatever their names; mixing returns a document as often as the mix
+takes it. Null and empty texts go in the first stage, as do those without letters; a null doc_id is larger
+than any other; of rows that repeat one stays; an empty table passes through all stages.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm import exact_dedup, language_crf, mixing, packing, simhash
 from tessella.session import table
-from tessella.staging import stage_table
+from tessella.staging import stage_result, unstage
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,8 +47,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each staged before the next reads it."""
+    """All stages over ``documents``, each staged before the next reads it and deleted when that is done."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stage_table(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, stage_result(lambda docs=docs, stage=stage: stage(spark, docs, sf_dir), f"pipeline-{name}")
+        unstage(before)
     return STAGES[-1][1](spark, docs, sf_dir)
