@@ -34,9 +34,9 @@ RATE = 0.1
 SHRINK = 1e-5
 WIDTH = 1 << 16
 LEXICON = 300
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 UNDETERMINED = "und"
-SLICE = 8 << 20
+SLICE = 3 << 20
 _WORDS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
