@@ -4,12 +4,12 @@ A text's units are its words; a character of a script that is written without sp
 hash to longs, with ``K`` - 1 blanks in front of the first. Of every ``K`` = 5 consecutive units the hashes of
 the four inner pairs are compared; the five are a closed syncmer if the smallest pair stands first or last.
 Whether they are one depends on nothing around them, so an edit disturbs only the anchors it touches and all
-others match by content at their places. The fingerprint is the distinct anchors of a text, each with the
-place of its first occurrence and the number of them; as a string it is their digest.
+others match by content at their places. The fingerprint is the sequence of a text's anchors, each hashed with
+its place; as a string it is their digest.
 
-Matching is positional: an anchor that two texts share is upheld if it has the same place in both or is
-displaced as far as the shared anchor next to it. Likeness is twice the upheld anchors over the anchors of both,
-each counted as often as both texts have it.
+Matching is positional, in two ways: by place, anchors that stand at the same place of both texts; and by
+distance, anchors that follow the same anchor at the same distance, wherever that is. Likeness is the larger
+share that matches: twice the matches over the entries of both.
 
 For edited texts every document needs its neighbour in the order of doc_id. Documents are dealt into
 ranges of ids whose borders come from one approximate quantile aggregate; each range also gets the
@@ -26,9 +26,9 @@ from tessella.llm.text import SPACES
 K = 5
 RANGE_ROWS = 2000
 MAX_RANGES = 1 << 16
-#: Scripts written without spaces between words.
-UNSPACED = ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar")
-_ALONE = "([" + "".join(rf"\p{{Is{script}}}" for script in UNSPACED) + "])"
+#: Blocks of scripts written without spaces between words: Thai, Lao; Myanmar; Khmer; kana; Han.
+UNSPACED = ("\u0e00-\u0eff", "\u1000-\u109f", "\u1780-\u17ff", "\u3040-\u30ff", "\u3400-\u4dbf", "\u4e00-\u9fff", "\uf900-\ufaff", "\U00020000-\U0003ffff")
+_ALONE = "([" + "".join(UNSPACED) + "])"
 
 
 def _hashes(text: Column) -> Column:
@@ -55,59 +55,48 @@ def _places(pairs: Column) -> Column:
 
 
 def with_anchors(rows: DataFrame, text: str, name: str = "anchors") -> DataFrame:
-    """``rows`` with the distinct closed syncmers of a text as ``array<struct<hash, place, n>>``, sorted.
+    """``rows`` with a text's closed syncmers as ``struct<places, anchors, at, after>``.
 
-    The place is that of the first of n occurrences, in units. A text without units has none.
+    ``places`` are in units and ``anchors`` the hashes, in order; ``at`` has each anchor hashed with its place and
+    ``after`` the distinct ones hashed with the anchor before and the distance to it. A text without units has none.
     """
     plain = rows.columns
     hashed = rows.select(*plain, _hashes(F.col(text)).alias("_hashes"))
     paired = hashed.select("*", _pairs(F.col("_hashes")).alias("_pairs"))
     placed = paired.select("*", _places(F.col("_pairs")).alias("_places"))
-    syncmer = lambda i: F.xxhash64(F.get("_pairs", i), F.get("_pairs", i + 2), F.get("_hashes", i + 4))
-    found = placed.select(*plain, F.sort_array(F.transform("_places", lambda i: F.struct(syncmer(i).alias("hash"), i.alias("place")))).alias("_found"))
-    size = F.size("_found")
-    fresh = lambda i: (i == 0) | (F.get("_found", i - 1)["hash"] != F.get("_found", i)["hash"])
-    starts = F.when(size > 0, F.filter(F.sequence(F.lit(0), size - 1), fresh)).otherwise(F.array().cast("array<int>"))
-    begun = found.select("*", starts.alias("_starts"))
-    many = lambda i, k: F.coalesce(F.get("_starts", k + 1), size) - i
-    entry = lambda i, k: F.struct(*[F.get("_found", i)[c].alias(c) for c in ("hash", "place")], many(i, k).alias("n"))
-    return begun.select(*plain, F.transform("_starts", entry).alias(name))
-
-
-def with_likeness(rows: DataFrame, a: str, b: str, name: str) -> DataFrame:
-    """``rows`` with the likeness of two of its columns of anchors, from 0 to 1; two empty ones are alike."""
-    plain = rows.columns
-    side = lambda c, k: F.transform(c, lambda x: F.struct(x["hash"].alias("hash"), F.lit(k).alias("side"), x["place"].alias("place"), x["n"].alias("n")))
-    # Two sorted arrays one after the other: the sort merges them, and equal anchors come to stand together.
-    merged = rows.select(*plain, F.sort_array(F.concat(side(a, 0), side(b, 1))).alias("_merged"))
-    after = lambda i: F.get("_merged", i + 1)
-    both = lambda x, y: F.struct(x["place"].alias("place"), (y["place"] - x["place"]).alias("shift"), F.least(x["n"], y["n"]).alias("n"))
-    pair = lambda x, i: F.when(after(i)["hash"] == x["hash"], both(x, after(i)))
-    paired = merged.select(*plain, F.sort_array(F.filter(F.transform("_merged", pair), lambda m: m.isNotNull())).alias("_shared"))
-    shift = lambda i: F.get("_shared", i)["shift"]
-    no = F.lit(False)
-    upheld = F.filter(
-        "_shared", lambda m, i: (m["shift"] == 0) | F.coalesce(shift(i - 1) == m["shift"], no) | F.coalesce(shift(i + 1) == m["shift"], no)
-    )
-    total = lambda of: F.aggregate(of, F.lit(0), lambda n, x: n + x["n"])
-    every = total(a) + total(b)
-    return paired.select(*plain, F.when(every == 0, F.lit(1.0)).otherwise(total(upheld) * 2 / every).alias(name))
+    syncmer = F.transform("_places", lambda i: F.xxhash64(F.get("_pairs", i), F.get("_pairs", i + 2), F.get("_hashes", i + 4)))
+    found = placed.select(*plain, "_places", syncmer.alias("_anchors"))
+    distance = lambda k: F.get("_places", k) - F.get("_places", k - 1)
+    after = F.transform("_anchors", lambda h, k: F.xxhash64(h, F.get("_anchors", k - 1), distance(k)))
+    rest = F.slice(after, 2, F.greatest(F.size("_anchors") - 1, F.lit(0)))
+    at = F.zip_with("_anchors", "_places", lambda h, p: F.xxhash64(h, p))
+    parts = [F.col("_places").alias("places"), F.col("_anchors").alias("anchors"), at.alias("at"), F.array_distinct(rest).alias("after")]
+    return found.select(*plain, F.struct(*parts).alias(name))
+
+
+def _shared(a: Column, b: Column) -> Column:
+    """Twice the common entries over all; null if there are none."""
+    return F.try_divide(2 * F.size(F.array_intersect(a, b)), F.size(a) + F.size(b))
+
+
+def likeness(a: Column, b: Column) -> Column:
+    """From 0 to 1, for two columns that ``with_anchors`` made; two without anchors are alike."""
+    return F.coalesce(F.greatest(_shared(a["at"], b["at"]), _shared(a["after"], b["after"])), F.lit(1.0))
 
 
 def digest(anchors: Column) -> Column:
-    """The fingerprint as a string: SHA-256 over all anchors, their places and numbers."""
-    each = F.transform(anchors, lambda x: F.concat_ws("@", F.hex(x["hash"]), x["place"].cast("string"), x["n"].cast("string")))
-    return F.sha2(F.array_join(each, " "), 256)
+    """The fingerprint as a string: SHA-256 over all anchors with their places, in order."""
+    return F.sha2(F.array_join(anchors["at"].cast("array<string>"), " "), 256)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, anchors, fingerprint`` for each row of ``docs(doc_id, text)``.
+    """``doc_id, places, anchors, fingerprint`` for each row of ``docs(doc_id, text)``.
 
     Null texts are empty, and empty ones have no anchor; texts may have any length and equal texts have equal
     fingerprints; rows that repeat are returned each; an empty table gives an empty result; other columns are not read.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return with_anchors(rows, "text").select("doc_id", "anchors", digest(F.col("anchors")).alias("fingerprint"))
+    return with_anchors(rows, "text", "own").select("doc_id", "own.places", "own.anchors", digest(F.col("own")).alias("fingerprint"))
 
 
 def _range_of(doc_id: Column, borders: list[int]) -> Column:
@@ -155,19 +144,19 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
     # Anchors are made of texts where they were dealt to, so only texts travel.
     dealt = ranged.withColumn("tail", F.lit(0)).unionByName(tails).repartition("range").sortWithinPartitions(*order)
     down = Window.partitionBy("range").orderBy(*order[1:])
-    marked = with_anchors(dealt, "text", "own")
+    marked = with_anchors(dealt, "text", "own").withColumn("own", F.struct("own.at", "own.after"))
     pairs = marked.select("*", F.lead("text").over(down).alias("next_text"), F.lead("own").over(down).alias("next_own")).where("tail = 0")
     cut = F.floor(F.length("text") / 3).cast("int")
     edited = F.concat(F.left("text", F.length("text") - cut), F.left("next_text", cut))
-    pairs = pairs.select("doc_id", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"), "own", "next_own")
-    near = with_likeness(pairs, "own", "next_own", "near_next").drop("next_own")
-    both = with_likeness(with_anchors(near, "edited", "changed"), "own", "changed", "near_edited")
+    near = likeness(F.col("own"), F.col("next_own")).alias("near_next")
+    pairs = pairs.select("doc_id", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"), "own", near)
+    both = with_anchors(pairs, "edited", "changed")
     return both.select(
         "doc_id",
         "n_chars",
         "edited",
         digest(F.col("own")).alias("fingerprint"),
         digest(F.col("changed")).alias("edited_fingerprint"),
-        "near_edited",
+        likeness(F.col("own"), F.col("changed")).alias("near_edited"),
         "near_next",
     )

@@ -13,7 +13,6 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import pytest
-import regex
 import sentencepiece
 import xxhash
 from pyspark.sql import functions as F
@@ -277,28 +276,34 @@ def test_piece_counts_match_the_library(spark):
 # 5 syncmers
 
 
-ALONE = regex.compile("([" + "".join(rf"\p{{Script={x}}}" for x in syncmers.UNSPACED) + "])")
+ALONE = re.compile(r"([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff])")
 
 
 def brute_anchors(text):
-    """First place and number of each closed syncmer."""
-    long = lambda x, seed: xxhash.xxh64_intdigest(x.to_bytes(8, "little"), seed)
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    """(place, hash) of each closed syncmer."""
     own = [0] * 4 + [xxhash.xxh64_intdigest(w.encode(), 42) for w in words(ALONE.sub(r" \1 ", text))]
-    pairs = [long(b, long(a, 42)) for a, b in itertools.pairwise(own)]
-    found = {}
-    for i in range(len(own) - 4):
-        inner = [signed(x) for x in pairs[i : i + 4]]
-        if min(inner) in (inner[0], inner[-1]):
-            found.setdefault(signed(long(own[i + 4], long(pairs[i + 2], long(pairs[i], 42)))), []).append(i)
-    return {h: (places[0], len(places)) for h, places in found.items()}
+    pairs = [brute_hash(a, b) for a, b in itertools.pairwise(own)]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    inner = [[signed(x) for x in pairs[i : i + 4]] for i in range(len(own) - 4)]
+    return [(i, brute_hash(pairs[i], pairs[i + 2], own[i + 4])) for i, p in enumerate(inner) if min(p) in (p[0], p[3])]
+
+
+def brute_hash(*values):
+    """Chained XXH64: of longs, and of an int where the last value is an int in a list."""
+    seed = 42
+    for v in values:
+        seed = xxhash.xxh64_intdigest(v[0].to_bytes(4, "little") if isinstance(v, list) else v.to_bytes(8, "little"), seed)
+    return seed
+
+
+def brute_entries(anchors):
+    at = [brute_hash(h, [p]) for p, h in anchors]
+    return at, {(g, h, q - p) for (p, g), (q, h) in itertools.pairwise(anchors)}
 
 
 def brute_likeness(a, b):
-    shared = sorted((a[h][0], b[h][0] - a[h][0], min(a[h][1], b[h][1])) for h in a.keys() & b.keys())
-    shifts = [None, *(s for _, s, _ in shared), None]
-    upheld = sum(n for k, (_, s, n) in enumerate(shared) if s == 0 or s in (shifts[k], shifts[k + 2]))
-    return 1.0 if not a and not b else 2 * upheld / sum(n for side in (a, b) for _, n in side.values())
+    shares = [2 * len(set(x) & set(y)) / (len(x) + len(y)) for x, y in zip(brute_entries(a), brute_entries(b), strict=True) if x or y]
+    return max(shares, default=1.0)
 
 
 def test_fingerprints_match_brute_force(spark, monkeypatch):
@@ -313,7 +318,7 @@ def test_fingerprints_match_brute_force(spark, monkeypatch):
         cut = len(t) // 3
         edited = t[: len(t) - cut] + after[:cut]
         a, b, c = map(brute_anchors, (t, edited, after))
-        text = lambda s: hashlib.sha256(" ".join(f"{x & (1 << 64) - 1:X}@{s[x][0]}@{s[x][1]}" for x in sorted(s)).encode()).hexdigest()
+        text = lambda s: hashlib.sha256(" ".join(str(x - (1 << 64) if x >> 63 else x) for x in brute_entries(s)[0]).encode()).hexdigest()
         wanted.append((d, len(t), edited, text(a), text(b), brute_likeness(a, b), brute_likeness(a, c)))
     got = syncmers.compare_with_edits(frame(spark, rows)).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, wanted))
