@@ -1,56 +1,63 @@
 """LM scoring by online logistic context mixing.
 
-A text is its tokens: words of lower-cased bytes, each closed by a space, then one end. Every bit of a
-token is predicted from several hashed contexts, the last one, two, three and five bytes and all of the
-word so far, some of them together with the text's drift, and always with the bit's place in its byte.
-A predictor holds how often a bit was 0 and 1 in its context; the predictions are mixed in the logistic
-domain with weights that a gate selects, the gate being how many contexts have been met before and how
-often the longest was, and refined by an adaptive map from (gate, prediction) to observed frequency. A
-text's score is the sum of its tokens' log10 probabilities, and bits per byte follow.
-
-The drift is what adapts within a text: the words found in most training documents, by exact counts over
-the whole training part, are clustered by the documents they share, and the drift of a token is the cluster most common among the ``WINDOW`` words before it.
-
-All counts come from the whole training part. Contexts end at word borders, so the corpus enters through
-its counts of (drift, word): one shuffle by word, from which tasks add up the counters (tables of a
-fixed size, summed block by block) and train the mixer online, in small batches of words, each with its
-own occurrence left out of the counters. Every distinct pair is scored once. Documents look up the
-most frequent ones, at most ``HEAVY`` of at most ``HEAVY_BYTES`` bytes, in a shared table and the others
-by a join.
+A text is its tokens: words of lower-cased bytes, each closed by a space, then one end. A token is either
+spelled or repeated from its word context. Spelled, every bit is predicted from several hashed contexts: the
+last one, two, three and four bytes and all of the word so far, always with the bit's place in its byte. A
+predictor holds how often a bit was 0 and 1 in its context; the predictions are mixed in the logistic domain
+with weights that a gate selects, the gate being how many contexts have been met before and how often the
+longest was, and refined by an adaptive map from (gate, prediction) to observed frequency. The word context is
+the token before: a token follows it as often as it did in the training part. Which of the two ways a text's
+tokens take is learned online while the text is read, by adaptive counters that a gate selects: how often the
+token before is known and how many tokens in a row the word context foretold. A text's score is the sum of its
+tokens' log10 probabilities, and bits per byte follow.
+
+All counts come from the whole training part, and what a training text adds to the counts that predict it is left
+out, token by token, so training and held-out texts compare. Nothing that grows with the corpus is held in one
+place. Texts become leaves: rows of about ``LEAF_BYTES`` of text as numbers into the leaf's own words. A leaf
+asks shards about its words and its pairs of neighbours, as packed arrays:
+
+- pair shards, by hash, count a pair over all leaves and answer with its number;
+- word shards, by the first ``DEEP`` bytes, count words and hold the predictor of longer prefixes, which only such
+  words share, in a table of their own size; they spell each distinct word once and answer with its count and
+  probabilities.
+
+Only the predictors of at most four bytes are common tables, whose contexts language bounds rather than the corpus.
+The mixer is trained online in small batches in every shard, each bit with its own occurrence left out, and averaged.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+import zlib
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 from copy import copy
-from math import ceil, log10
+from dataclasses import dataclass
+from math import log10
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from tessella.llm.arrow import ragged_arange, slices
+from tessella.llm.arrow import ragged_arange
 from tessella.llm.language_crf import remainder
 from tessella.staging import stage_table
 
-HEAVY = 1 << 18
-HEAVY_BYTES = 64
-#: Slots of each predictor's table, as a power of two, and how many bytes of context it sees (None: the whole word so far).
-#: Last, whether the drift is part of it. The last table's counts feed the gate.
-TABLES = ((18, 1, True), (20, 2, True), (20, 3, True), (20, 5, True), (20, None, False), (20, None, True))
-COMMON = 128
-#: A word is reported from a stretch of documents if at least this share of them has it, at first.
-SHARE = 1 / 64
-CLUSTERS = 6
-WINDOW = 32
+LEAF_BYTES = 12 << 20
+#: Leaf entries that a shard answers, about.
+PAIRS_PER_SHARD = 4 << 20
+WORDS_PER_SHARD = 1 << 18
+#: Bits of each common table and how many bytes of context it sees; the prefixes of a word up to ``DEEP`` bytes have one more.
+TABLES = ((16, 1), (18, 2), (20, 3), (21, 4))
+SHORT_BITS = 18
+DEEP = 4
 BLOCK_BITS = 16
-TASK_WORDS = 1_000_000
-#: Learning carries little per task, so it takes this many times the tasks that add up counters.
-LEARNERS = 6
-CHUNK_BITS = 1_500_000
-COUNTED = 300_000
+#: Shards whose counters one task adds up, and that one task learns from.
+COUNTED_SHARDS, LEARNED_SHARDS = 16, 4
 PRIOR = 0.4
 RATE = 0.02
 BATCH_BITS = 60_000
@@ -58,11 +65,20 @@ BATCH_BITS = 60_000
 SETTLED = 30
 LEVELS = 33
 SEEN_STEPS = np.array([0, 1, 3, 8, 40], dtype=np.float32)
-GATES = (len(TABLES) + 1) * (len(SEEN_STEPS) + 1)
+PREDICTORS = len(TABLES) + 1
+GATES = (PREDICTORS + 1) * (len(SEEN_STEPS) + 1)
 STRETCH = 8.0
+#: The gates between spelling and word context: steps of how often the token before is known, and of the run of foretold tokens.
+KNOWN_STEPS = np.array([2, 4, 16, 256], dtype=np.int64)
+RUNS = 4
+#: How many tokens an adaptive counter's first estimate is worth.
+WORTH = 4.0
 END = b"\n"
-_UNIT_ROWS = "unit string, n long"
+_BEGIN = np.uint64(0x9E3779B97F4A7C15)
 _BLOCKS = "block long, counts binary"
+_ASKED = "shard long, leaf string, payload binary"
+_ANSWER = "leaf string, kind int, shard long, payload binary"
+_WORDS, _PAIRS = 1, 2
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -70,187 +86,238 @@ def tokens(text: bytes) -> list[bytes]:
     return [*text.lower().split(), END]
 
 
-def _counted(batches: Iterator[pa.RecordBatch], units) -> Iterator[pa.RecordBatch]:
-    """(text, training) to units with their number in training texts; emitted when enough distinct ones are held."""
-    counts: Counter[bytes] = Counter()
-    other: set[bytes] = set()
+def _packed(values: bytes | np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(values if isinstance(values, bytes) else values.tobytes())
 
-    def rows() -> pa.RecordBatch:
-        found = [*counts, *other.difference(counts)]
-        numbers = [*counts.values(), *([0] * (len(found) - len(counts)))]
-        return pa.RecordBatch.from_arrays([pa.array(found, pa.binary()).cast(pa.string()), pa.array(numbers, pa.int64())], names=["unit", "n"])
 
-    for part in slices(batches, 0):
-        texts = [tokens(t) for t in part.column(0).cast(pa.binary()).to_pylist()]
-        for own, training in zip(units(texts), part.column(1).to_pylist(), strict=True):
-            if training:
-                counts.update(own)
-            else:
-                other.update(own)
-        if len(counts) + len(other) > COUNTED:
-            yield rows()
-            counts.clear()
-            other.clear()
-    yield rows()
+def _unpacked(payload: bytes, kind: str | None = None) -> bytes | np.ndarray:
+    data = zstandard.ZstdDecompressor().decompress(payload)
+    return data if kind is None else np.frombuffer(data, kind)
 
 
-class Drift:
-    """Clusters of common words, and the drift of every token by them."""
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    def __init__(self, clusters: dict[bytes, int]) -> None:
-        self.clusters = clusters
 
-    def of(self, texts: list[list[bytes]]) -> np.ndarray:
-        """For all tokens one after the other, the cluster most common among the words before it; 0 for none."""
-        get = self.clusters.get
-        cluster = np.array([k for words in texts for k in (get(w, 0) for w in words)], dtype=np.int8)
-        lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-        place = ragged_arange(lengths)
-        at = np.arange(len(cluster))
-        begin = at - np.minimum(place, WINDOW)
-        best, most = np.zeros(len(cluster), dtype=np.uint8), np.zeros(len(cluster), dtype=np.int32)
-        for k in range(1, max(self.clusters.values(), default=0) + 1):
-            sums = np.zeros(len(cluster) + 1, dtype=np.int32)
-            np.cumsum(cluster == k, out=sums[1:])
-            here = sums[:-1] - sums[begin]
-            better = here > most
-            best[better], most[better] = k, here[better]
-        return best
-
-    def units(self, texts: list[list[bytes]]) -> Iterator[list[bytes]]:
-        """The tokens of each text with their drift, a digit, in front."""
-        digits = [bytes([48 + k]) for k in range(max(self.clusters.values(), default=0) + 1)]
-        drift, at = self.of(texts).tolist(), 0
-        for words in texts:
-            yield [digits[k] + w for k, w in zip(drift[at : at + len(words)], words, strict=True)]
-            at += len(words)
-
-
-def _reported(batches: Iterator[pa.RecordBatch], share: float, held: int) -> Iterator[pa.RecordBatch]:
-    """Of each stretch of texts, with about ``held`` distinct words, the words that at least ``share`` of them have.
-
-    ``error`` is the most texts a word that isn't reported can have; a row without word carries it too.
-    """
-    counts: Counter[bytes] = Counter()
-    texts = 0
-
-    def rows() -> pa.RecordBatch:
-        error = max(0, ceil(share * texts) - 1)
-        found = [w for w, n in counts.items() if n > error and len(w) <= HEAVY_BYTES]
-        words = pa.array([b"", *found], pa.binary()).cast(pa.string())
-        numbers = pa.array([0, *map(counts.__getitem__, found)], pa.int64())
-        return pa.RecordBatch.from_arrays([words, numbers, pa.array([error] * len(words), pa.int64())], names=["word", "n", "error"])
-
-    for part in slices(batches, 0):
-        for text in part.column(0).cast(pa.binary()).to_pylist():
-            counts.update(set(text.lower().split()))
-            texts += 1
-            if len(counts) > held:
-                yield rows()
-                counts.clear()
-                texts = 0
-    yield rows()
-
-
-def common_words(training: DataFrame, most: int, share: float = SHARE, held: int = COUNTED) -> list[bytes]:
-    """In order, words that surely hold the ``most`` words of at most ``HEAVY_BYTES`` bytes in the most ``training(text)``, ties by word.
-
-    What stretches report bounds each word's number from below and, with the errors of the others, from above.
-    Words that can't reach the bound of the last place are left out; if words never reported could reach it or
-    too many remain, a smaller share is reported. Without errors the numbers are exact.
-    """
-    while True:
-        found = training.mapInArrow(lambda batches, share=share: _reported(batches, share, held), "word string, n long, error long")
-        found = stage_table(found.groupBy("word").agg(F.sum("n").alias("n"), F.sum("error").alias("error")), "lm-common")
-        errors = found.where("word = ''").first()
-        missed = errors["error"] if errors else 0
-        found = found.where("word <> ''")
-        first = [(r["word"], r["n"]) for r in found.orderBy(F.col("n").desc(), "word").limit(most).collect()]
-        if not missed:
-            return sorted(w.encode() for w, _ in first)
-        last = first[-1][1] if len(first) == most else 0
-        if missed < last:
-            able = found.where(F.col("n") + F.lit(missed) - F.col("error") >= last).limit(4 * most + 1).collect()
-            if len(able) <= 4 * most:
-                return sorted(r["word"].encode() for r in able)
-        share /= 4
-
-
-def find_drift(texts: DataFrame) -> Drift:
-    """Clusters of common words by average linkage over how often training documents of ``texts(text, training)`` share them."""
-    training = texts.where("training").select("text")
-    names = common_words(training, COMMON)
-    index = {w: k for k, w in enumerate(names)}
-
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(index), len(index)))
-        for part in slices(batches, 0):
-            found = part.column(0).cast(pa.binary()).to_pylist()
-            seen = np.zeros((len(found), len(index)), dtype=np.float32)
-            for k, text in enumerate(found):
-                seen[k, [index[w] for w in index.keys() & text.lower().split()]] = 1
-            total += seen.T @ seen
-        for k, row in enumerate(total):
-            yield _block(k, row)
-
-    together = np.zeros((len(names), len(names)))
-    summed = training.mapInArrow(shared, _BLOCKS).repartition(8, "block").sortWithinPartitions("block").mapInArrow(_sum_blocks, _BLOCKS)
-    for row in summed.collect():
-        together[row["block"]] = np.frombuffer(bytes(row["counts"]), dtype="<f4")
-    kept = np.argsort(-np.diag(together), kind="stable")[:COMMON]
-    common, together = [names[k] for k in kept], together[np.ix_(kept, kept)]
-    scale = np.sqrt(np.maximum(np.diag(together), 1))
-    alike = together / scale[:, None] / scale[None, :]
-    groups = [[k] for k in range(len(common))]
-    while len(groups) > CLUSTERS:
-        a, b = sorted(divmod(int(_linkage(alike, groups).argmax()), len(groups)))
-        groups[a] = groups[a] + groups.pop(b)
-    return Drift({common[k]: g + 1 for g, members in enumerate(groups) for k in members})
-
-
-def _linkage(alike: np.ndarray, groups: list[list[int]]) -> np.ndarray:
-    """Mean similarity of each pair of groups; -1 on the diagonal."""
-    member = np.zeros((len(groups), len(alike)))
-    for g, own in enumerate(groups):
-        member[g, own] = 1 / len(own)
-    means = member @ alike @ member.T
-    np.fill_diagonal(means, -1)
-    return means
+_ASKED_SCHEMA = pa.schema([("shard", pa.int64()), ("leaf", pa.string()), ("payload", pa.binary())])
+_ANSWER_SCHEMA = pa.schema([("leaf", pa.string()), ("kind", pa.int32()), ("shard", pa.int64()), ("payload", pa.binary())])
+
+
+# Leaves
+
+
+@dataclass
+class Leaf:
+    """Texts as token numbers: ``words`` has each distinct token once, ``ids`` all tokens of all texts in order."""
+
+    words: list[bytes]
+    ids: np.ndarray
+    sizes: np.ndarray
+    training: np.ndarray
+
+    @classmethod
+    def of(cls, row: dict) -> Leaf:
+        """From a row of the leaves' table."""
+        words = _unpacked(row["words"]).split(b" ")
+        return cls(words, _unpacked(row["ids"], "<u4").astype(np.int64), np.array(row["sizes"], dtype=np.int64), ~np.array(row["held"], dtype=bool))
+
+    def counts(self) -> np.ndarray:
+        """Number of each word in training texts."""
+        return np.bincount(self.ids[np.repeat(self.training, self.sizes)], minlength=len(self.words))
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct pairs' hashes in order, and which pair each token makes with the one before."""
+        hashed = np.fromiter(map(xxhash.xxh3_64_intdigest, self.words), dtype=np.uint64, count=len(self.words))
+        own = hashed[self.ids]
+        before = np.empty_like(own)
+        before[1:] = own[:-1]
+        before[np.cumsum(self.sizes) - self.sizes] = _BEGIN
+        with np.errstate(over="ignore"):
+            both = (before * np.uint64(0xC2B2AE3D27D4EB4F) ^ own) * np.uint64(0x9E3779B97F4A7C15)
+            both ^= both >> np.uint64(32)
+            both *= np.uint64(0xD6E8FEB86659FD93)
+        return np.unique(both, return_inverse=True)
+
+    def word_shards(self, shards: int) -> list[np.ndarray]:
+        """The numbers of the words that each shard answers."""
+        of = np.fromiter((zlib.crc32(w[:DEEP]) for w in self.words), dtype=np.int64, count=len(self.words)) % shards
+        order = np.argsort(of, kind="stable")
+        return np.split(order, np.searchsorted(of[order], np.arange(1, shards)))
+
+
+def _make_leaves(kind: str) -> tuple[Callable, str]:
+    names = ["leaf", "doc_ids", "held", "sizes", "n_bytes", "n_words", "n_tokens", "ids", "words"]
+    fields = f"leaf string, doc_ids array<{kind}>, held array<boolean>, sizes array<long>, n_bytes array<long>, n_words long, n_tokens long, ids binary, words binary"
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(doc_id, text, held_out) rows to leaves; a text longer than a leaf's is a leaf of its own."""
+        number: defaultdict[bytes, int] = defaultdict()
+        number.default_factory = number.__len__
+        ids: list[np.ndarray] = []
+        held: list[bool] = []
+        n_bytes: list[int] = []
+        doc_ids: list[pa.Scalar] = []
+        kept = 0
+
+        def leaf() -> pa.RecordBatch:
+            sizes = list(map(len, ids))
+            flat = np.concatenate(ids).astype("<u4")
+            values = [uuid4().hex, None, held, sizes, n_bytes, len(number), len(flat), _packed(flat), _packed(b" ".join(number))]
+            kinds = [pa.string(), None, pa.list_(pa.bool_()), *[pa.list_(pa.int64())] * 2, pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+            columns = [pa.array([v], t) if t is not None else None for v, t in zip(values, kinds, strict=True)]
+            columns[1] = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.concat_arrays(doc_ids))
+            return pa.RecordBatch.from_arrays(columns, names=names)
+
+        for batch in batches:
+            texts = batch.column(1).cast(pa.binary())
+            for k in range(batch.num_rows):
+                text = texts[k].as_py()
+                if ids and kept + len(text) > LEAF_BYTES:
+                    yield leaf()
+                    number.clear()
+                    for held_list in (ids, held, n_bytes, doc_ids):
+                        held_list.clear()
+                    kept = 0
+                own = tokens(text)
+                ids.append(np.fromiter(map(number.__getitem__, own), dtype=np.uint32, count=len(own)))
+                held.append(batch.column(2)[k].as_py())
+                n_bytes.append(sum(map(len, own)) + len(own) - 1)
+                doc_ids.append(batch.column(0).slice(k, 1))
+                kept += len(text)
+        if ids:
+            yield leaf()
+
+    return make, fields
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield {name: batch.column(c)[k].as_py() for c, name in enumerate(batch.schema.names)}
+
+
+# Pairs
+
+
+def _pair_cuts(pairs: np.ndarray, bits: int) -> np.ndarray:
+    """Where each shard's stretch of sorted hashes begins and the last one ends."""
+    inner = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits) if bits else np.zeros(0, np.uint64)
+    return np.concatenate([[0], np.searchsorted(pairs, inner), [len(pairs)]])
+
+
+def _ask_pairs(bits: int) -> Callable:
+    """Leaves to questions: the leading 40 bits of each distinct pair's hash behind the shard's, and its training number."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            leaf = Leaf.of(row)
+            pairs, at = leaf.pairs()
+            counts = np.bincount(at[np.repeat(leaf.training, leaf.sizes)], minlength=len(pairs))
+            keys = (pairs << np.uint64(bits)) >> np.uint64(24)
+            five = keys.astype("<u8").view("u1").reshape(-1, 8)[:, :5]
+            many = np.minimum(counts, 255).astype("u1")
+            cuts = _pair_cuts(pairs, bits)
+            out = []
+            for shard, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+                if a < b:
+                    over = np.flatnonzero(counts[a:b] >= 255)
+                    payload = [np.array([b - a, len(over)], "<u4"), five[a:b], many[a:b], over.astype("<u4"), counts[a:b][over].astype("<u4")]
+                    out.append((shard, row["leaf"], b"".join(p.tobytes() for p in payload)))
+            yield _batch(out, _ASKED_SCHEMA)
+
+    return ask
+
+
+def _read_pairs(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n, more = np.frombuffer(payload, "<u4", 2).tolist()
+    wide = np.zeros((n, 8), "u1")
+    wide[:, :5] = np.frombuffer(payload, "u1", 5 * n, 8).reshape(-1, 5)
+    counts = np.frombuffer(payload, "u1", n, 8 + 5 * n).astype(np.int64)
+    counts[np.frombuffer(payload, "<u4", more, 8 + 6 * n)] = np.frombuffer(payload, "<u4", more, 8 + 6 * n + 4 * more)
+    return wide.view("<u8").ravel(), counts
+
+
+def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[str, bytes]]]]:
+    """Questions sorted by shard, all of a shard together."""
+    shard, held = -1, []
+    for row in _rows(batches):
+        if held and row["shard"] != shard:
+            yield shard, held
+            held = []
+        shard = row["shard"]
+        held.append((row["leaf"], row["payload"]))
+    if held:
+        yield shard, held
+
+
+def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each leaf's answer, the number of each of its pairs; and without a leaf how many tokens repeat a pair, of how many."""
+    for shard, asked in _by_shard(batches):
+        parts = [_read_pairs(payload) for _, payload in asked]
+        keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+        total = np.bincount(at, np.concatenate([c for _, c in parts]), minlength=len(keys)).astype("<u4")
+        ends = np.cumsum([len(k) for k, _ in parts])[:-1]
+        out = [(leaf, _PAIRS, shard, _packed(total[own])) for (leaf, _), own in zip(asked, np.split(at, ends), strict=True)]
+        known = f"{total[total > 1].sum(dtype=np.int64)} {total.sum(dtype=np.int64)}"
+        yield _batch([*out, (None, _PAIRS, shard, known.encode())], _ANSWER_SCHEMA)
+
+
+# Spelling
 
 
 class Bits:
-    """All bits of a list of units, closed by a space but for the end, with the slot of each in every table."""
+    """All bits of a list of words, closed by a space but for the end, with the slot of each in every table.
 
-    def __init__(self, units: list[bytes]) -> None:
-        closed = [u[1:] + b" " if u[1:] != END else END for u in units]
-        drift = np.frombuffer(b"".join([u[:1] for u in units]), dtype=np.uint8).astype(np.uint64)
+    Words that begin alike share the bits of their beginning: a byte behind the same prefix is one edge, which
+    weighs as often as its words occur. The last slots are of the word so far: up to ``DEEP`` bytes in the common
+    table, longer ones each in one of their own, ``deep_size`` in all, that follow it.
+    """
+
+    def __init__(self, words: list[bytes], numbers: np.ndarray) -> None:
+        closed = [w if w == END else w + b" " for w in words]
         lengths = np.fromiter(map(len, closed), dtype=np.int64, count=len(closed))
         data = np.frombuffer(b"".join(closed), dtype=np.uint8).astype(np.uint64)
         place = ragged_arange(lengths)
-        self.owner = np.repeat(np.repeat(np.arange(len(closed)), lengths), 8)
+        self.words = len(words)
+        self.owner = np.repeat(np.arange(len(words)), lengths)
         shifts = np.arange(7, -1, -1, dtype=np.uint64)
-        self.bit = ((data[:, None] >> shifts[None, :]) & np.uint64(1)).astype(np.uint8).ravel()
-        node = ((np.uint64(256) + data)[:, None] >> (shifts + np.uint64(1))[None, :]).astype(np.uint64)
-        self.slots = []
         with np.errstate(over="ignore"):
             whole = _prefixes(data, place, lengths)
-            drift = np.repeat(drift, lengths) * np.uint64(0x2545F4914F6CDD1D)
-            for k, (bits, order, drifts) in enumerate(TABLES):
-                if order is None:
-                    context = whole
-                else:
-                    context = np.zeros(len(data), dtype=np.uint64)
-                    for back in range(order, 0, -1):
-                        byte = np.zeros(len(data), dtype=np.uint64)
-                        byte[back:] = data[:-back] + np.uint64(1)
-                        byte[place < back] = 0
-                        context = (context + byte + np.uint64(k + 1)) * np.uint64(0x9E3779B97F4A7C15)
-                        context ^= context >> np.uint64(29)
-                if drifts:
-                    context = (context ^ drift) * np.uint64(0x9FB21C651E98DF25)
-                    context ^= context >> np.uint64(35)
-                mixed = (context[:, None] + node * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0xFF51AFD7ED558CCD)
-                self.slots.append((mixed >> np.uint64(64 - bits)).astype(np.int64).ravel())
+            ends = (whole ^ (data + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0x9FB21C651E98DF25)
+            _, first, self.edge = np.unique(ends, return_index=True, return_inverse=True)
+            self.weight = np.repeat(np.bincount(self.edge, numbers[self.owner], minlength=len(first)), 8)
+            byte, at = data[first], place[first]
+            self.bit = ((byte[:, None] >> shifts[None, :]) & np.uint64(1)).astype(np.float32).ravel()
+            node = (np.uint64(256) + byte)[:, None] >> (shifts + np.uint64(1))[None, :]
+            node *= np.uint64(0xC2B2AE3D27D4EB4F)
+
+            hashed = lambda context: ((context[:, None] + node) * np.uint64(0xFF51AFD7ED558CCD)).ravel()
+            slots = lambda context, bits: (hashed(context) >> np.uint64(64 - bits)).astype(np.int64)
+            self.slots = []
+            for k, (bits, order) in enumerate(TABLES):
+                context = np.zeros(len(first), dtype=np.uint64)
+                for back in range(order, 0, -1):
+                    seen = np.where(at >= back, data[np.maximum(first - back, 0)] + np.uint64(1), np.uint64(0))
+                    context = (context + seen + np.uint64(k + 1)) * np.uint64(0x9E3779B97F4A7C15)
+                    context ^= context >> np.uint64(29)
+                self.slots.append(slots(context, bits))
+            self.deep = np.repeat(at >= DEEP, 8)
+            prefix = slots(whole[first], SHORT_BITS)
+            longer, prefix[self.deep] = np.unique(hashed(whole[first])[self.deep], return_inverse=True)
+            prefix[self.deep] += 1 << SHORT_BITS
+            self.slots.append(prefix)
+            self.deep_size = len(longer)
+
+    def per_word(self, values: np.ndarray) -> np.ndarray:
+        """Sums over the bits of each word."""
+        return np.bincount(self.owner, values.reshape(-1, 8).sum(axis=1)[self.edge], minlength=self.words)
+
+    def part(self, start: int, stop: int) -> Bits:
+        """Some of the bits, in the order of a hash."""
+        out = copy(self)
+        out.bit, out.weight = self.bit[start:stop], self.weight[start:stop]
+        out.slots = [s[start:stop] for s in self.slots]
+        return out
 
 
 def _prefixes(data: np.ndarray, place: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -264,41 +331,90 @@ def _prefixes(data: np.ndarray, place: np.ndarray, lengths: np.ndarray) -> np.nd
     return out ^ (out >> np.uint64(31))
 
 
-def _chunks(units: list[bytes], numbers: np.ndarray) -> Iterator[tuple[list[bytes], np.ndarray]]:
-    """Units in stretches of about ``CHUNK_BITS`` bits; a longer one stands alone."""
-    ends = np.cumsum(np.fromiter((8 * len(u) for u in units), dtype=np.int64, count=len(units)))
-    at = 0
-    while at < len(units):
-        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK_BITS, side="right")))
-        yield units[at:stop], numbers[at:stop]
-        at = stop
+def _deep(found: Bits) -> np.ndarray:
+    """The table of a shard's longer prefixes."""
+    return _counters(found.slots[-1] - (1 << SHORT_BITS), found, found.deep_size, found.deep).astype(np.float32)
 
 
-def _unit_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], np.ndarray]]:
-    for batch in batches:
-        if batch.num_rows:
-            yield from _chunks(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_numpy())
+def _counters(slots: np.ndarray, found: Bits, size: int, only: np.ndarray | None = None) -> np.ndarray:
+    """How often a bit was 0 and 1 in each slot."""
+    bit, weight = found.bit, found.weight
+    if only is not None:
+        slots, bit, weight = slots[only], bit[only], weight[only]
+    ones = np.bincount(slots, weight * bit, minlength=size)
+    return np.stack([np.bincount(slots, weight, minlength=size) - ones, ones], axis=1)
+
+
+@dataclass
+class Shard:
+    """The words of one shard in order, with their numbers in the training part."""
+
+    words: list[bytes]
+    numbers: np.ndarray
+
+    @classmethod
+    def of(cls, row: dict) -> Shard:
+        return cls(_unpacked(row["words"]).split(b" "), _unpacked(row["numbers"], "<i8"))
+
+    def bits(self) -> Bits:
+        return Bits(self.words, self.numbers)
+
+
+def _ask_words(shards: int) -> Callable:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            leaf = Leaf.of(row)
+            counts = leaf.counts()
+            out = []
+            for shard, own in enumerate(leaf.word_shards(shards)):
+                if len(own):
+                    listed = b" ".join(leaf.words[k] for k in own.tolist())
+                    out.append((shard, row["leaf"], _packed(np.uint32(len(own)).tobytes() + counts[own].astype("<u4").tobytes() + listed)))
+            yield _batch(out, _ASKED_SCHEMA)
+
+    return ask
+
+
+def _read_words(payload: bytes) -> tuple[list[bytes], np.ndarray]:
+    data = _unpacked(payload)
+    n = int(np.frombuffer(data, "<u4", 1)[0])
+    return data[4 + 4 * n :].split(b" "), np.frombuffer(data, "<u4", n, 4).astype(np.int64)
+
+
+_SHARD_FIELDS = "shard long, n long, tokens long, distinct long, words binary, numbers binary"
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All leaves' words to one row per shard."""
+    schema = pa.schema([("shard", pa.int64()), ("n", pa.int64()), ("tokens", pa.int64()), ("distinct", pa.int64()), ("words", pa.binary()), ("numbers", pa.binary())])
+    for shard, asked in _by_shard(batches):
+        total: defaultdict[bytes, int] = defaultdict(int)
+        for _, payload in asked:
+            for word, n in zip(*(x if isinstance(x, list) else x.tolist() for x in _read_words(payload)), strict=True):
+                total[word] += n
+        words = sorted(total)
+        numbers = np.fromiter(map(total.__getitem__, words), dtype="<i8", count=len(words))
+        yield _batch([(shard, len(words), int(numbers.sum()), int((numbers > 0).sum()), _packed(b" ".join(words)), _packed(numbers))], schema)
 
 
 def _add_counters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """This task's part of all tables, in blocks of slots."""
-    zeros, ones = ([np.zeros(1 << bits, dtype=np.float32) for bits, *_ in TABLES] for _ in range(2))
+    """This task's part of the common tables, in blocks of slots."""
+    tables = [np.zeros((1 << bits, 2)) for bits in _table_bits()]
     any_words = False
-    for words, numbers in _unit_batches(batches):
+    for row in _rows(batches):
         any_words = True
-        found = Bits(words)
-        weight = numbers[found.owner].astype(np.float64)
-        for k, slots in enumerate(found.slots):
-            size = 1 << TABLES[k][0]
-            up = np.bincount(slots, weight * found.bit, minlength=size)
-            ones[k] += up
-            zeros[k] += np.bincount(slots, weight, minlength=size) - up
+        found = Shard.of(row).bits()
+        for k, table in enumerate(tables):
+            table += _counters(found.slots[k], found, len(table), ~found.deep if k == len(TABLES) else None)
     if any_words:
         span = 1 << BLOCK_BITS
-        for k in range(len(TABLES)):
-            for b in range(len(zeros[k]) // span):
-                part = slice(b * span, (b + 1) * span)
-                yield _block(k << 32 | b, np.concatenate([zeros[k][part], ones[k][part]]))
+        for k, table in enumerate(tables):
+            for b in range(-(-len(table) // span)):
+                yield _block(k << 32 | b, table[b * span : (b + 1) * span].ravel())
+
+
+def _table_bits() -> list[int]:
+    return [*(bits for bits, _ in TABLES), SHORT_BITS]
 
 
 def _block(key: int, values: np.ndarray) -> pa.RecordBatch:
@@ -326,46 +442,39 @@ def _stretch(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
 
 
 class Mixer:
-    """Counters of all predictors, gated weights and the refining map."""
+    """Counters of the common predictors, gated weights and the refining map."""
 
     def __init__(self, blocks: list[tuple[int, bytes]]) -> None:
         #: Per table how often a bit was 0 and 1 in each slot.
-        self.counts = [np.zeros((1 << bits, 2), dtype=np.float32) for bits, *_ in TABLES]
+        self.counts = [np.zeros((1 << bits, 2), dtype=np.float32) for bits in _table_bits()]
         span = 1 << BLOCK_BITS
         for key, packed in blocks:
             k, b = key >> 32, key & 0xFFFFFFFF
-            self.counts[k][b * span : (b + 1) * span] = np.frombuffer(packed, dtype="<f4").reshape(2, span).T
-        self.weights = np.full((GATES, len(TABLES) + 1), 0.25, dtype=np.float32)
+            self.counts[k][b * span : (b + 1) * span] = np.frombuffer(packed, dtype="<f4").reshape(-1, 2)
+        self.weights = np.full((GATES, PREDICTORS + 1), 0.3, dtype=np.float32)
         self.weights[:, -1] = 0
         self.refined: np.ndarray | None = None
-        self.stretched: list[np.ndarray] | None = None
 
-    def inputs(self, found: Bits, leave_out: bool) -> tuple[np.ndarray, np.ndarray]:
+    def seen(self, found: Bits, deep: np.ndarray) -> list[np.ndarray]:
+        """Per predictor how often each bit's context was followed by 0 and by 1."""
+        tables = [*self.counts[:-1], np.concatenate([self.counts[-1], deep])]
+        # Both numbers of a slot in one look-up.
+        return [t.view(np.uint64).ravel().take(s).view(np.float32).reshape(-1, 2) for t, s in zip(tables, found.slots, strict=True)]
+
+    def inputs(self, seen: list[np.ndarray], bit: np.ndarray, leave_out: bool) -> tuple[np.ndarray, np.ndarray]:
         """Stretched predictions with a constant, one row per predictor, and the gate of each bit.
 
-        A predictor counts as met if it leans either way.
+        A predictor counts as met if it leans either way. Left out is one occurrence of the bit itself.
         """
-        n = len(found.bit)
-        x = np.ones((len(TABLES) + 1, n), dtype=np.float32)
-        met = np.zeros(n, dtype=np.int64)
-        if leave_out:
-            bit = found.bit.astype(np.float32)
-            for k, slots in enumerate(found.slots):
-                # Both numbers of a slot in one look-up.
-                both = self.counts[k].view(np.uint64).ravel().take(slots).view(np.float32).reshape(-1, 2)
-                down, up = np.maximum(both[:, 0] - (1 - bit), 0), np.maximum(both[:, 1] - bit, 0)
-                x[k] = _stretch(down, up)
-                met += x[k] != 0
-            often = down + up
-        else:
-            if self.stretched is None:
-                self.stretched = [_stretch(c[:, 0], c[:, 1]) for c in self.counts]
-                self.often = self.counts[-1].sum(axis=1)
-            for k, slots in enumerate(found.slots):
-                x[k] = self.stretched[k].take(slots)
-                met += x[k] != 0
-            often = self.often.take(found.slots[-1])
-        return x, met * (len(SEEN_STEPS) + 1) + np.searchsorted(SEEN_STEPS, often)
+        x = np.ones((PREDICTORS + 1, len(bit)), dtype=np.float32)
+        met = np.zeros(len(bit), dtype=np.int64)
+        for k, both in enumerate(seen):
+            down, up = both[:, 0], both[:, 1]
+            if leave_out:
+                down, up = np.maximum(down - (1 - bit), 0), np.maximum(up - bit, 0)
+            x[k] = _stretch(down, up)
+            met += x[k] != 0
+        return x, met * (len(SEEN_STEPS) + 1) + np.searchsorted(SEEN_STEPS, down + up)
 
     def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
         out = np.zeros(x.shape[1], dtype=np.float32)
@@ -373,17 +482,16 @@ class Mixer:
             out += self.weights[:, k].astype(np.float32).take(gate) * x[k]
         return np.clip(out, -STRETCH, STRETCH)
 
-    def learn(self, found: Bits, numbers: np.ndarray, step: int, state: np.ndarray, tally: np.ndarray) -> None:
-        """One online step, every unit weighing as often as it occurs.
+    def learn(self, found: Bits, deep: np.ndarray, step: int, state: np.ndarray, tally: np.ndarray) -> None:
+        """One online step, every bit weighing as often as it occurs.
 
         ``state`` has the running mean and mean square of the slopes, which scale the step; ``tally`` gains the
         sums of bits and rows by (gate, level).
         """
-        x, gate = self.inputs(found, leave_out=True)
+        x, gate = self.inputs(self.seen(found, deep), found.bit, leave_out=True)
         dot = self.mixed(x, gate)
-        weight = numbers[found.owner].astype(np.float64)
-        error = (found.bit - 1 / (1 + np.exp(-dot))) * weight
-        mass = np.bincount(gate, weight, minlength=GATES) + 1e-9
+        error = (found.bit - 1 / (1 + np.exp(-dot))) * found.weight
+        mass = np.bincount(gate, found.weight, minlength=GATES) + 1e-9
         slope = np.stack([np.bincount(gate, error * row, minlength=GATES) / mass for row in x], axis=1)
         state[0] += 0.1 * (slope - state[0])
         state[1] += 0.01 * (slope * slope - state[1])
@@ -391,18 +499,16 @@ class Mixer:
         self.weights = self.weights + RATE / (1 + step / 100) ** 0.5 * scaled
         level = np.round((dot + STRETCH) * ((LEVELS - 1) / (2 * STRETCH))).astype(np.int64)
         cell = gate * LEVELS + level
-        tally[0] += np.bincount(cell, weight * found.bit, minlength=GATES * LEVELS)
-        tally[1] += np.bincount(cell, weight, minlength=GATES * LEVELS)
+        tally[0] += np.bincount(cell, found.weight * found.bit, minlength=GATES * LEVELS)
+        tally[1] += np.bincount(cell, found.weight, minlength=GATES * LEVELS)
 
     def refine(self, tally: np.ndarray) -> None:
         """Observed frequency by (gate, level), pulled to the level's own probability where little was seen."""
         own = 1 / (1 + np.exp(-np.tile(np.linspace(-STRETCH, STRETCH, LEVELS), GATES)))
         self.refined = ((tally[0] + 20 * own) / (tally[1] + 20)).astype(np.float32)
 
-    def scores(self, units: list[bytes]) -> np.ndarray:
-        """log10 probability of each unit's token."""
-        found = Bits(units)
-        x, gate = self.inputs(found, leave_out=False)
+    def probability(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
+        """Of a 1, refined."""
         dot = self.mixed(x, gate)
         p = 1 / (1 + np.exp(-dot))
         if self.refined is not None:
@@ -411,38 +517,50 @@ class Mixer:
             part = at - low
             cell = gate * LEVELS + low
             p = (p + (1 - part) * self.refined[cell] + part * self.refined[cell + 1]) / 2
-        own = np.clip(np.where(found.bit == 1, p, 1 - p), 1e-6, 1)
-        return np.bincount(found.owner, np.log10(own), minlength=len(units))
-
-
-def train_mixer(units: DataFrame) -> Mixer:
-    """Fit to ``units(unit, n)``: counters summed over all tasks, weights and map learned online in each and averaged."""
-    context = units.sparkSession.sparkContext
-    known = units.where("n > 0").select("unit", "n")
-    tasks = max(1, min(256, -(-known.count() // TASK_WORDS)))
-    dealt = known.coalesce(tasks)
-    parts = dealt.mapInArrow(_add_counters, _BLOCKS)
-    summed = parts.repartition(min(tasks, 32), "block").sortWithinPartitions("block").mapInArrow(_sum_blocks, _BLOCKS)
-    # As many blocks as the tables have, whatever the corpus.
+        return p
+
+    def spelled(self, shard: Shard) -> tuple[np.ndarray, np.ndarray]:
+        """log10 probability of each word of a shard, with all counts and with one occurrence of its own left out."""
+        found = shard.bits()
+        seen = self.seen(found, _deep(found))
+        out = []
+        for leave_out in (False, True):
+            p = self.probability(*self.inputs(seen, found.bit, leave_out))
+            out.append(found.per_word(np.log10(np.clip(np.where(found.bit == 1, p, 1 - p), 1e-6, 1))))
+        return out[0], out[1]
+
+
+def train_mixer(words: DataFrame) -> Mixer:
+    """Fit to the word shards: common counters summed over all tasks, weights and map learned online in each and averaged."""
+    context = words.sparkSession.sparkContext
+    shards = words.count()
+    parts = words.coalesce(max(1, -(-shards // COUNTED_SHARDS))).mapInArrow(_add_counters, _BLOCKS)
+    summed = parts.repartition(8, "block").sortWithinPartitions("block").mapInArrow(_sum_blocks, _BLOCKS)
+    # As many blocks as the common tables have, whatever the corpus.
     mixer = Mixer([(r["block"], bytes(r["counts"])) for r in summed.collect()])
     shared = context.broadcast(mixer)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = copy(shared.value)
         state, tally, seen, step = np.zeros((2, *own.weights.shape)), np.zeros((2, GATES * LEVELS)), 0.0, 0
-        for found, numbers in _unit_batches(batches):
-            size = max(1, len(found) * BATCH_BITS // CHUNK_BITS)
-            for at in range(0, len(found), size):
-                step += 1
-                if step == SETTLED:
-                    tally[:] = 0
-                own.learn(Bits(found[at : at + size]), numbers[at : at + size], step, state, tally)
-                seen += float(numbers[at : at + size].sum())
+        for row in _rows(batches):
+            found = Shard.of(row).bits()
+            deep = _deep(found)
+            for at in range(0, len(found.bit), BATCH_BITS):
+                part = found.part(at, at + BATCH_BITS)
+                mass = float(part.weight.sum())
+                if mass:
+                    step += 1
+                    if step == SETTLED:
+                        tally[:] = 0
+                    own.learn(part, deep, step, state, tally)
+                    seen += mass
         if seen:
             values = np.concatenate([own.weights.ravel() * seen, tally.ravel(), [seen]])
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), pa.array(values)], names=["at", "value"])
 
-    learned = known.coalesce(LEARNERS * tasks).mapInArrow(learn, "at long, value double").groupBy("at").agg(F.sum("value").alias("value")).collect()
+    dealt = words.coalesce(max(1, -(-shards // LEARNED_SHARDS)))
+    learned = dealt.mapInArrow(learn, "at long, value double").groupBy("at").agg(F.sum("value").alias("value")).collect()
     if learned:
         total = np.zeros(mixer.weights.size + 2 * GATES * LEVELS + 1)
         total[[r["at"] for r in learned]] = [r["value"] for r in learned]
@@ -451,97 +569,157 @@ def train_mixer(units: DataFrame) -> Mixer:
     return mixer
 
 
+def _answer_words(shared) -> Callable:
+    """A shard's words, first of its rows, then the leaves' questions: counts and both probabilities of each word asked."""
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index: dict[bytes, int] = {}
+        for row in _rows(batches):
+            if row["leaf"] is None:
+                shard = Shard.of(row)
+                whole, without = (x.astype("<f4") for x in shared.value.spelled(shard))
+                index = dict(zip(shard.words, range(len(shard.words)), strict=True))
+                continue
+            asked, _ = _read_words(row["payload"])
+            at = np.fromiter(map(index.__getitem__, asked), dtype=np.int64, count=len(asked))
+            payload = shard.numbers[at].astype("<i8").tobytes() + whole[at].tobytes() + without[at].tobytes()
+            yield _batch([(row["leaf"], _WORDS, row["shard"], _packed(payload))], _ANSWER_SCHEMA)
+
+    return answer
+
+
+# Texts
+
+
+def online(word_context: np.ndarray, spelled: np.ndarray, known: np.ndarray, sizes: np.ndarray, first: float) -> np.ndarray:
+    """log10 probability of every token of texts that lie one after the other.
+
+    Per token: the probability by its word context, the log10 one by spelling, and how often the token before is
+    known. Each text begins with the estimate ``first`` that a token comes from its word context, and learns its
+    own, overall and by gate, from the share that the word context had in the tokens it has read. All texts are read in step.
+    """
+    out = np.empty(len(spelled))
+    order = np.argsort(-sizes, kind="stable")
+    starts = (np.cumsum(sizes) - sizes)[order]
+    active = np.bincount(sizes, minlength=int(sizes.max(initial=0)) + 1)[::-1].cumsum()[::-1][1:].tolist()
+    n, gates = len(sizes), (len(KNOWN_STEPS) + 1) * RUNS
+    gained, read = np.zeros(n), np.zeros(n)
+    gate_gained, gate_read = np.zeros((n, gates)), np.zeros((n, gates))
+    run = np.zeros(n, dtype=np.int64)
+    bucket = np.searchsorted(KNOWN_STEPS, known, side="right") * RUNS
+    plain = np.power(10.0, np.maximum(spelled, -300))
+    rows = np.arange(n)
+    for step, count in enumerate(active):
+        at = starts[:count] + step
+        own = rows[:count]
+        context, spell = word_context[at], plain[at]
+        gate = bucket[at] + run[:count]
+        overall = (gained[:count] + WORTH * first) / (read[:count] + WORTH)
+        share = (gate_gained[own, gate] + WORTH * overall) / (gate_read[own, gate] + WORTH)
+        share = np.where(known[at] > 0, np.clip(share, 1e-4, 1 - 1e-4), 0.0)
+        by_context, by_spelling = share * context, (1 - share) * spell
+        both = by_context + by_spelling
+        out[at] = np.where(context > 0, np.log10(both), np.log10(1 - share) + spelled[at])
+        part, counts = by_context / both, (known[at] > 0).astype(float)
+        gained[:count] += part * counts
+        read[:count] += counts
+        gate_gained[own, gate] += part * counts
+        gate_read[own, gate] += counts
+        run[:count] = np.where(context > 0, np.minimum(run[:count] + 1, RUNS - 1), 0)
+    return out
+
+
+def _score_leaves(names: list[str], kind: pa.DataType, total: int, distinct: int, first: float, word_shards: int) -> Callable:
+    """A leaf, first of its rows, then the answers to its questions: its texts' scores."""
+    below = log10(total + 0.1 * (distinct + 1))
+
+    def scored(row: dict, answers: dict[int, dict[int, bytes]]) -> pa.RecordBatch:
+        leaf = Leaf.of(row)
+        numbers, whole, without = np.zeros(len(leaf.words), np.int64), np.zeros(len(leaf.words)), np.zeros(len(leaf.words))
+        for shard, own in enumerate(leaf.word_shards(word_shards)):
+            if len(own):
+                data = _unpacked(answers[_WORDS][shard])
+                n = len(own)
+                numbers[own] = np.frombuffer(data, "<i8", n)
+                whole[own], without[own] = np.frombuffer(data, "<f4", n, 8 * n), np.frombuffer(data, "<f4", n, 12 * n)
+        _, pair = leaf.pairs()
+        followed = np.concatenate([_unpacked(answers[_PAIRS][s], "<u4") for s in sorted(answers[_PAIRS])]).astype(np.int64)[pair]
+        own = np.repeat(leaf.training, leaf.sizes)
+        c = numbers[leaf.ids]
+        before = np.empty_like(c)
+        before[1:] = c[:-1]
+        # Every text follows its beginning, and every text has an end.
+        begins = np.cumsum(leaf.sizes) - leaf.sizes
+        before[begins] = numbers[leaf.words.index(END)]
+        known = before - own
+        context = np.where(known > 0, np.maximum(followed - own, 0) / np.maximum(known, 1), 0.0)
+        tokens_lm = online(context, np.where(own, without[leaf.ids], whole[leaf.ids]), known, leaf.sizes, first)
+        score = np.add.reduceat(tokens_lm, begins)
+        base = np.add.reduceat(np.log10(c + 0.1), begins) - leaf.sizes * below
+        n_known = np.add.reduceat((c > 0).astype(np.int64), begins)
+        n_bytes = np.array(row["n_bytes"], dtype=np.int64)
+        columns = [
+            pa.array(row["doc_ids"], kind), pa.array(row["held"], pa.bool_()), pa.array(leaf.sizes), pa.array(n_known), pa.array(np.full(len(score), total)),
+            pa.array(base), pa.array(score), pa.array(-score / log10(2) / n_bytes),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict | None = None
+        answers: dict[int, dict[int, bytes]] = {}
+        for row in _rows(batches):
+            if row["kind"] == 0:
+                if held is not None:
+                    yield scored(held, answers)
+                held, answers = row, {_WORDS: {}, _PAIRS: {}}
+            else:
+                answers[row["kind"]][row["shard"]] = row["payload"]
+        if held is not None:
+            yield scored(held, answers)
+
+    return score
+
+
 def score_documents(docs: DataFrame, held_out_of: int = 10) -> DataFrame:
     """Scores of each row of ``docs(doc_id, text)``, learned from those whose id doesn't hash to 0 modulo ``held_out_of``.
 
     Returns ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte``: ``base_score``
-    is the smoothed unigram log10 probability of the tokens, ``score`` the mixer's, ``bits_per_byte`` the latter
-    over the bytes of the closed tokens. Null and empty texts are the end token alone; rows that repeat are
-    scored each; an empty table gives an empty result; other columns are not read.
+    is the smoothed unigram log10 probability of the tokens, ``score`` the model's, ``bits_per_byte`` the latter
+    over the bytes of the closed tokens. Null and empty texts are the end token alone; texts may have any length;
+    rows that repeat are scored each, equal texts of one part alike; an empty table gives an empty result; other
+    columns are not read.
     """
+    kind = dict(docs.dtypes)["doc_id"]
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
+    fields = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
     context = docs.sparkSession.sparkContext
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     held_out = remainder(F.col("doc_id"), held_out_of) == 0
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), held_out.alias("held_out"))
-    texts = rows.select("text", (~F.col("held_out")).alias("training"))
-    drift = find_drift(texts)
-    counted = texts.mapInArrow(lambda batches: _counted(batches, drift.units), _UNIT_ROWS).withColumn("word", F.substring("unit", 2, 2147483647))
-    # One shuffle by word serves the counts of units and of words.
-    dealt = counted.repartition(F.col("word")).groupBy("word", "unit").agg(F.sum("n").alias("n"))
-    own = Window.partitionBy("word")
-    units = dealt.select("unit", "n", F.sum("n").over(own).alias("c"), (F.col("unit") == F.min("unit").over(own)).alias("first"))
-    # In the order of a hash: online learning should meet words as they come, not by their spelling.
-    units = stage_table(units.sortWithinPartitions(F.xxhash64("unit")), "lm-units")
-    sums = units.agg(F.sum("n").alias("n"), F.count_if(F.col("first") & (F.col("c") > 0)).alias("v")).first()
-    total, distinct = sums["n"] or 0, sums["v"]
-    below = log10(total + 0.1 * (distinct + 1))
-    shared = context.broadcast(train_mixer(units))
-
-    def score_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = batch.column(0).cast(pa.binary()).to_pylist()
-            scores = [shared.value.scores(part) for part, _ in _chunks(found, np.zeros(len(found)))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(scores or [np.zeros(0)]))], names=["unit", "n", "c", "lm"])
-
-    scored = stage_table(units.select("unit", "n", "c").mapInArrow(score_units, "unit string, n long, c long, lm double"), "lm-scored")
-    # The most frequent units: those from a power of two up, the least one that at most HEAVY units reach.
-    short = scored.where(F.octet_length("unit") <= HEAVY_BYTES)
-    digits = F.length(F.bin("n"))
-    by_size = {r["b"]: r["k"] for r in short.groupBy(digits.alias("b")).agg(F.count(F.lit(1)).alias("k")).collect()}
-    bound, kept = 64, 0
-    while bound > 0 and kept + by_size.get(bound, 0) <= HEAVY:
-        kept += by_size.get(bound, 0)
-        bound -= 1
-    often = short.where(digits > bound).select("unit", "c", "lm").toArrow()
-    number = often.column("c").to_numpy()
-    heavy = context.broadcast((
-        {u: k for k, u in enumerate(often.column("unit").cast(pa.binary()).to_pylist())},
-        np.log10(number + 0.1) - below,
-        often.column("lm").to_numpy(),
-        number > 0,
-    ))
-    kind = dict(docs.dtypes)["doc_id"]
-
-    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, base_of, lm_of, known_of = heavy.value
-        get = index.get
-        for part in slices(batches, 1):
-            out: list[list] = [[] for _ in kinds]
-            found = [tokens(t) for t in part.column(1).cast(pa.binary()).to_pylist()]
-            for own, of in zip(found, drift.units(found), strict=True):
-                at = np.array([get(u, -1) for u in of], dtype=np.int64)
-                rare = Counter(of[k] for k in np.flatnonzero(at < 0).tolist())
-                at = at[at >= 0]
-                sums = len(own), int(known_of[at].sum()), float(base_of[at].sum()), float(lm_of[at].sum()), sum(map(len, own)) + len(own) - 1
-                for column, value in zip(out, (*sums, list(rare), list(rare.values())), strict=True):
-                    column.append(value)
-            columns = [pa.array(v, t) for v, t in zip(out, kinds, strict=True)]
-            columns[5] = columns[5].cast(pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), *columns], names=names)
-
-    kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64()))
-    names = ["doc_id", "held_out", "row", "n_tokens", "n_known", "base", "lm", "n_bytes", "units", "numbers"]
-    fields = f"doc_id {kind}, held_out boolean, row long, n_tokens long, n_known long, base double, lm double, n_bytes long, units array<string>, numbers array<long>"
-    looked = rows.select("doc_id", "text", "held_out", F.xxhash64("doc_id", "text").alias("row")).mapInArrow(look_up, fields)
-    looked = stage_table(looked, "lm-documents")
-    rare = looked.select("row", F.explode(F.arrays_zip("units", "numbers")).alias("u")).select("row", F.col("u.units").alias("unit"), F.col("u.numbers").alias("k"))
-    base = F.log10(F.col("c") + F.lit(0.1)) - F.lit(below)
-    per_row = rare.join(scored, "unit").groupBy(F.col("row").alias("_row")).agg(
-        F.sum(F.col("k") * base).alias("more_base"),
-        F.sum(F.col("k") * F.col("lm")).alias("more_lm"),
-        F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("more_known"),
-    )
-    # Rows that repeat wholly were summed together above.
-    same = F.count(F.lit(1)).over(Window.partitionBy("row"))
-    joined = looked.drop("units", "numbers").join(per_row, F.col("row") == F.col("_row"), "left").withColumn("same", same)
-    more = lambda c: F.coalesce(F.col(c) / F.col("same"), F.lit(0.0))
-    score = F.col("lm") + more("more_lm")
-    return joined.select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("n_known") + F.round(more("more_known")).cast("long")).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + more("more_base")).alias("base_score"),
-        score.alias("score"),
-        (-score / F.lit(log10(2)) / F.col("n_bytes")).alias("bits_per_byte"),
-    )
+    make, leaf_fields = _make_leaves(kind)
+    leaves = stage_table(rows.mapInArrow(make, leaf_fields), "lm-leaves")
+    asked = leaves.agg(F.sum("n_words").alias("words"), F.sum("n_tokens").alias("tokens")).first()
+    word_shards = max(1, -(-(asked["words"] or 0) // WORDS_PER_SHARD))
+    pair_bits = max(0, int(asked["tokens"] or 0) // PAIRS_PER_SHARD).bit_length()
+
+    def met(questions: DataFrame, *then: str) -> DataFrame:
+        return questions.repartition(partitions, "shard").sortWithinPartitions("shard", *then)
+
+    lines = leaves.select("leaf", "held", "sizes", "ids", "words")
+    pairs = stage_table(met(lines.mapInArrow(_ask_pairs(pair_bits), _ASKED)).mapInArrow(_count_pairs, _ANSWER), "lm-pairs")
+    said = F.split(F.col("payload").cast("string"), " ")
+    repeats = pairs.where("leaf is null").agg(*[F.sum(said[k].cast("long")).alias(n) for k, n in enumerate(("repeated", "read"))]).first()
+    first = ((repeats["repeated"] or 0) + 1) / ((repeats["read"] or 0) + 2)
+
+    questions = lines.mapInArrow(_ask_words(word_shards), _ASKED)
+    words = stage_table(met(questions).mapInArrow(_count_words, _SHARD_FIELDS), "lm-words")
+    sums = words.agg(F.sum("tokens").alias("tokens"), F.sum("distinct").alias("distinct")).first()
+    total, distinct = sums["tokens"] or 0, sums["distinct"] or 0
+    shared = context.broadcast(train_mixer(words))
+    asks = words.select("shard", "words", "numbers").unionByName(questions, allowMissingColumns=True)
+    spelled = met(asks, "leaf").select("shard", "words", "numbers", "leaf", "payload").mapInArrow(_answer_words(shared), _ANSWER)
+
+    whole = leaves.drop("n_words", "n_tokens").withColumn("kind", F.lit(0))
+    answered = whole.unionByName(pairs.where("leaf is not null"), allowMissingColumns=True).unionByName(spelled, allowMissingColumns=True)
+    together = answered.repartition(partitions, "leaf").sortWithinPartitions("leaf", "kind", "shard")
+    return together.mapInArrow(_score_leaves(names, to_arrow_type(docs.schema["doc_id"].dataType), total, distinct, first, word_shards), fields)
