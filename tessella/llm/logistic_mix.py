@@ -47,17 +47,17 @@ from tessella.llm.arrow import ragged_arange
 from tessella.llm.language_crf import remainder
 from tessella.staging import stage_table
 
-LEAF_BYTES = 12 << 20
+LEAF_BYTES = 6 << 20
 #: Leaf entries that a shard answers, about.
-PAIRS_PER_SHARD = 4 << 20
-WORDS_PER_SHARD = 1 << 18
+PAIRS_PER_SHARD = 2 << 20
+WORDS_PER_SHARD = 1 << 17
 #: Bits of each common table and how many bytes of context it sees; the prefixes of a word up to ``DEEP`` bytes have one more.
 TABLES = ((16, 1), (18, 2), (20, 3), (21, 4))
 SHORT_BITS = 18
 DEEP = 4
 BLOCK_BITS = 16
 #: Shards whose counters one task adds up, and that one task learns from.
-COUNTED_SHARDS, LEARNED_SHARDS = 16, 4
+COUNTED_SHARDS, LEARNED_SHARDS = 32, 8
 PRIOR = 0.4
 RATE = 0.02
 BATCH_BITS = 60_000
@@ -292,7 +292,7 @@ class Bits:
             node *= np.uint64(0xC2B2AE3D27D4EB4F)
 
             hashed = lambda context: ((context[:, None] + node) * np.uint64(0xFF51AFD7ED558CCD)).ravel()
-            slots = lambda context, bits: (hashed(context) >> np.uint64(64 - bits)).astype(np.int64)
+            slots = lambda context, bits: (hashed(context) >> np.uint64(64 - bits)).astype(np.int32)
             self.slots = []
             for k, (bits, order) in enumerate(TABLES):
                 context = np.zeros(len(first), dtype=np.uint64)
@@ -399,7 +399,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _add_counters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """This task's part of the common tables, in blocks of slots."""
-    tables = [np.zeros((1 << bits, 2)) for bits in _table_bits()]
+    tables = [np.zeros((1 << bits, 2), dtype=np.float32) for bits in _table_bits()]
     any_words = False
     for row in _rows(batches):
         any_words = True
