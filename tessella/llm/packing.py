@@ -19,7 +19,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import public_tokenizers
@@ -35,7 +35,7 @@ from tessella.staging import stage_table
 VOCABULARY = "byte_bpe_50k"
 SEQUENCE = 2048
 END_ID = 1
-REMEMBERED = 800_000
+REMEMBERED = 300_000
 BLOCK_ROWS = 4096
 
 # A space between words: a token boundary always lies before it. Others stay inside a unit.
@@ -56,13 +56,16 @@ class UnitIds:
         with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.encode = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.spaced = np.zeros(max(ranks.values()) + 1, dtype=bool)
+        self.spaced[[n for token, n in ranks.items() if token[:1] == b" "]] = True
         self.whole = Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json"))
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.clear()
 
     def clear(self) -> None:
         #: A unit in the middle of a text is a string; a first one or a whole text is a pair, so no text can look like one.
-        self.index: dict[str | tuple[bool, str], int] = {}
+        self.index: defaultdict[str | tuple[bool, str], int] = defaultdict()
+        self.index.default_factory = self.index.__len__
         self.pool = np.zeros(0, dtype="<u4")
         self.starts = self.lengths = self.hits = np.zeros(0, dtype=np.int64)
 
@@ -72,12 +75,24 @@ class UnitIds:
         units, lengths = list(self.index), self.lengths[keep]
         self.pool = self.pool[np.repeat(self.starts[keep], lengths) + ragged_arange(lengths)]
         self.starts, self.lengths, self.hits = np.cumsum(lengths) - lengths, lengths, self.hits[keep] // 2
-        self.index = {units[k]: at for at, k in enumerate(keep.tolist())}
-
-    def _add(self, units: list[str | tuple[bool, str]], ids: list[list[int]]) -> None:
-        lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        fresh = np.fromiter(chain.from_iterable(ids), dtype="<u4", count=int(lengths.sum()))
-        self.index.update(zip(units, range(len(self.index), len(self.index) + len(units)), strict=True))
+        self.index.clear()
+        self.index.update((units[k], at) for at, k in enumerate(keep.tolist()))
+
+    def _add(self, units: list[str | tuple[bool, str]]) -> None:
+        """Ids of new units. Those without a space inside are encoded as one text, whose ids begin a unit where they begin with a space."""
+        lengths, fresh = np.zeros(len(units), dtype=np.int64), [[]] * len(units)
+        plain = [k for k, u in enumerate(units) if isinstance(u, str) and u and " " not in u]
+        for k in set(range(len(units))).difference(plain):
+            fresh[k] = self._encoded(units[k])
+            lengths[k] = len(fresh[k])
+        together = np.array(self.encode("".join(" " + units[k] for k in plain)), dtype="<u4")
+        lengths[plain] = np.diff(np.flatnonzero(self.spaced[together]), append=len(together))
+        rest = np.fromiter(chain.from_iterable(fresh), dtype="<u4")
+        inner = np.zeros(len(units), dtype=bool)
+        inner[plain] = True
+        inner = np.repeat(inner, lengths)
+        fresh = np.empty(len(inner), dtype="<u4")
+        fresh[inner], fresh[~inner] = together, rest
         self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
         self.hits = np.concatenate([self.hits, np.zeros(len(units), dtype=np.int64)])
@@ -105,17 +120,12 @@ class UnitIds:
         if len(self.index) > REMEMBERED:
             self._forget()
         cut = [self.units(t) for t in texts]
-        new = set()
-        for units in cut:
-            new.update(units)
-        new = list(new.difference(self.index))
-        self._add(new, [self._encoded(u) for u in new])
-        get = self.index.__getitem__
-        at = np.array([k for units in cut for k in map(get, units)], dtype=np.int64)
+        known, per_text = len(self.index), np.fromiter(map(len, cut), dtype=np.int64, count=len(cut))
+        at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(cut)), dtype=np.int64, count=int(per_text.sum()))
+        self._add(list(islice(self.index, known, None)))
         self.hits += np.bincount(at, minlength=len(self.hits))
         lengths = self.lengths[at]
         flat = self.pool[np.repeat(self.starts[at], lengths) + ragged_arange(lengths)]
-        per_text = np.fromiter(map(len, cut), dtype=np.int64, count=len(cut))
         ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(per_text)]
         return flat, np.diff(ends, prepend=0)
 
