@@ -36,7 +36,7 @@ VOCABULARY = "byte_bpe_50k"
 SEQUENCE = 2048
 END_ID = 1
 REMEMBERED = 300_000
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 1024
 
 # A space between words: a token boundary always lies before it. Others stay inside a unit.
 _PLAIN = re.compile(r" (?:\s|$)")
