@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.staging import stage_table, unstage
+
 
 def scopes(rows: DataFrame, groups: Sequence[Sequence[str]], counters: dict[str, Column]) -> DataFrame:
     """Conditional counts over several groupings in one pass; ``scope`` names the grouping."""
@@ -34,10 +36,18 @@ def approximate_quantiles(rows: DataFrame, value: str, at: Sequence[float], accu
 
 
 def sequence_digest(rows: DataFrame, order: str, value: str, chunk: int = 1000) -> DataFrame:
-    """SHA-256 over the values in order, chunk by chunk: the digest of the chunks' digests.
+    """SHA-256 over the values in order, chunk by chunk, then over the chunks' digests likewise until one is left.
 
-    Positions must count from 0 without gaps; no task holds more than a chunk, or the list of digests.
+    Positions must count from 0 without gaps; no task holds more than a chunk. ``chunks`` counts those of the first round.
     """
     ordered = lambda k, v: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k, v))), lambda x: x[v]), ",")
-    parts = rows.groupBy(F.floor(F.col(order) / chunk).alias("part")).agg(F.sha2(ordered(order, value), 256).alias("digest"))
-    return parts.agg(F.count(F.lit(1)).alias("chunks"), F.sha2(ordered("part", "digest"), 256).alias("digest"))
+    one_round = lambda df, k, v: stage_table(
+        df.groupBy(F.floor(F.col(k) / chunk).alias("part")).agg(F.sha2(ordered(k, v), 256).alias("digest")), "digests"
+    )
+    parts = one_round(rows, order, value)
+    chunks = left = parts.count()
+    while left > chunk:
+        above = one_round(parts, "part", "digest")
+        unstage(parts)
+        parts, left = above, -(-left // chunk)
+    return parts.agg(F.lit(chunks).cast("long").alias("chunks"), F.sha2(ordered("part", "digest"), 256).alias("digest"))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.operators.ranks import hash_rank
+
 
 def representative(rows: DataFrame, group: str, order: str, tie: str) -> DataFrame:
     """The row with the smallest ``order`` of each group, by an aggregate: no sort, and hot groups combine early."""
@@ -52,6 +54,7 @@ def identity_mismatch(expected: DataFrame, observed: DataFrame, keys: Sequence[s
 
 
 def numbered_representatives(rows: DataFrame, group: str, order: str, tie: str) -> DataFrame:
-    """Rank and population size of each row in its group, over one partitioning."""
-    own = Window.partitionBy(group)
-    return rows.withColumn("rank", F.row_number().over(own.orderBy(order, tie)).cast("long")).withColumn("population", F.count(F.lit(1)).over(own))
+    """Rank and population size of each row in its group; ``order`` is a hex digest, by which large groups are split."""
+    sizes = rows.groupBy(F.col(group).alias("_group")).agg(F.count(F.lit(1)).alias("population"))
+    ranked = hash_rank(rows, [group], order, tie)
+    return ranked.join(sizes, F.col(group).eqNullSafe(F.col("_group"))).drop("_group")

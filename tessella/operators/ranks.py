@@ -11,6 +11,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.staging import stage_table
+
+#: Rows of a range of ``positions``, about.
+RANGE_ROWS = 1_000_000
+
 
 def _ranked(rows: DataFrame, groups: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
     keys = [*groups, "_bucket"]
@@ -29,13 +34,21 @@ def hash_rank(rows: DataFrame, groups: Sequence[str], digest: str, tie: str, nam
     return _ranked(rows.withColumn("_bucket", F.substring(digest, 1, digits)), groups, [F.col(digest), F.col(tie)], name)
 
 
-def positions(rows: DataFrame, key: str, ranges: int = 256, name: str = "position") -> DataFrame:
-    """Zero-based position in the order of a numeric key; ranges come from approximate quantiles."""
-    at = [k / ranges for k in range(1, ranges)]
-    borders = rows.agg(F.percentile_approx(key, at, 10_000).alias("b")).first()["b"] or []
-    table = F.array(*[F.lit(b) for b in sorted(set(borders))]) if borders else F.array().cast("array<long>")
-    bucketed = rows.withColumn("_bucket", F.size(F.filter(table, lambda b: b < F.col(key))))
-    return _ranked(bucketed, [], [F.col(key)], name).withColumn(name, F.col(name) - 1)
+def positions(rows: DataFrame, key: str, ranges: int | None = None, name: str = "position") -> DataFrame:
+    """Zero-based position in the order of a key.
+
+    Rows are dealt into ranges of the key, as many as their number asks for, sorted and staged; a staged row's
+    number says its range and its place there, so only the sizes of the ranges, one row each, are added up.
+    """
+    if ranges is None:
+        ranges = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // RANGE_ROWS))
+    laid = rows.repartitionByRange(ranges, key).sortWithinPartitions(key).withColumn("_at", F.monotonically_increasing_id())
+    laid = stage_table(laid, "positions").withColumn("_range", F.shiftright("_at", 33))
+    before = Window.orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = laid.groupBy(F.col("_range").alias("_of")).agg(F.count(F.lit(1)).alias("_n"))
+    bases = sizes.select("_of", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return laid.join(F.broadcast(bases), F.col("_range") == F.col("_of")).select(*rows.columns, (F.col("_base") + place).alias(name))
 
 
 def shard_of(position: Column, rows: int, shards: int) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.scalars import first_uint64, seeded_hash
 from tessella.operators.near_dup import is_near, prints_near
-from tessella.operators.ranks import hash_rank
+from tessella.operators.ranks import hash_rank, positions
 from tessella.staging import stage_table
 
 
@@ -61,25 +61,32 @@ def banded(rows: DataFrame, score: str, bands: Sequence[tuple[str, float, float]
 
 
 def greedy_buckets(pool: DataFrame, buckets: Sequence[tuple[str, str, int]], key: str, cluster: str) -> DataFrame:
-    """Top-k for each of (name, score column, k) in order, no row and no cluster twice.
+    """Top-k for each of (name, score column, k) in order, no row and no cluster twice; scores are numbers.
 
-    Ranks count skipped rows too: ``bucket_rank`` is the place in the whole pool.
+    Ranks count skipped rows too: ``bucket_rank`` is the place in the whole pool. What a bucket chose, ``k`` rows,
+    passes through the driver, so a bucket's plan has one anti-join however many came before.
     """
-    taken: DataFrame | None = None
+    session, kinds = pool.sparkSession, dict(pool.dtypes)
+    schema = f"{key} {kinds[key]}, {cluster} {kinds[cluster]}, bucket string, score double, bucket_rank long"
+    ledger: list[tuple] = []
     for name, score, quota in buckets:
-        order = [F.col(score).desc(), F.col(key)]
-        # Within a cluster only the best row can be taken; the cut to candidates bounds what is sorted globally.
-        best = pool.withColumn("_nth", F.row_number().over(Window.partitionBy(cluster).orderBy(*order))).where("_nth = 1").drop("_nth")
-        if taken is not None:
-            best = best.join(taken.select(cluster), cluster, "left_anti")
-        chosen = best.orderBy(*order).limit(quota).select(key, cluster, F.lit(name).alias("bucket"), F.col(score).alias("score"))
-        # The place in the whole pool: how many rows of it are before.
-        chosen = F.broadcast(chosen)
-        other = pool.select(F.col(score).alias("_s"), F.col(key).alias("_k"))
-        before = (F.col("_s") > F.col("score")) | ((F.col("_s") == F.col("score")) & (F.col("_k") <= F.col(key)))
-        placed = other.join(chosen, before).groupBy(key, cluster, "bucket", "score").agg(F.count(F.lit(1)).alias("bucket_rank"))
-        taken = placed if taken is None else taken.unionByName(placed)
-    return taken
+        taken = session.createDataFrame([(r[1],) for r in ledger], f"_taken {kinds[cluster]}")
+        free = pool.join(F.broadcast(taken), F.col(cluster) == F.col("_taken"), "left_anti") if ledger else pool
+        # Within a cluster only the best row can be taken; an aggregate finds it without sorting the cluster.
+        down = (-F.col(score)).alias("down")
+        best = free.groupBy(cluster).agg(F.min(F.struct(down, F.col(key).alias("key"))).alias("best")).select(cluster, "best.*")
+        chosen = best.orderBy("down", "key").limit(quota).collect()
+        # The place in the whole pool: a row lies behind as many chosen ones as come before it, and those numbers are counted.
+        ends = session.createDataFrame([(k, r["down"], r["key"]) for k, r in enumerate(chosen)], f"n int, down {dict(best.dtypes)['down']}, key {kinds[key]}")
+        marks = F.broadcast(ends.agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "down", "key"))), lambda x: F.struct(x["down"], x["key"])).alias("_marks")))
+        own = F.struct(down, F.col(key).alias("key"))
+        behind = pool.crossJoin(marks).groupBy(F.size(F.filter("_marks", lambda m: m < own)).alias("n")).agg(F.count(F.lit(1)).alias("rows"))
+        rows = {r["n"]: r["rows"] for r in behind.collect()}
+        rank = 0
+        for k, r in enumerate(chosen):
+            rank += rows.get(k, 0)
+            ledger.append((r["key"], r[cluster], name, float(-r["down"]), rank))
+    return session.createDataFrame(ledger, schema)
 
 
 def greedy_accept(
@@ -117,7 +124,7 @@ def interleave(left: DataFrame, right: DataFrame, order: str, seed: str) -> Data
     heads = F.conv(F.substring(seeded_hash(seed, F.col("n")), 1, 2), 16, 10).cast("int") % 2 == 0
     one = lambda arm, c, first: F.struct((F.col("n") * 2 + F.when(first, 0).otherwise(1)).alias("slot"), F.lit(arm).alias("arm"), F.col(c).alias("id"))
     rows = both.select(F.inline(F.array(one("a", "x", heads), one("b", "y", ~heads)))).where(F.col("id").isNotNull())
-    return rows.select((F.row_number().over(Window.orderBy("slot"))).cast("long").alias("place"), "arm", "id")
+    return positions(rows, "slot", name="place").select((F.col("place") + 1).alias("place"), "arm", "id")
 
 
 def length_batches(rows: DataFrame, length: str, key: str, batch: int, per_bucket: int, seed: str) -> DataFrame:
