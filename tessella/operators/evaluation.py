@@ -8,10 +8,13 @@ true negative, and stays in the denominator of accuracy. Undefined ratios are nu
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import exp, factorial
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions.scalars import seeded_hash
+
 EPSILON = 1e-15
 
 
@@ -170,19 +173,29 @@ def horvitz_thompson_recall(rows: DataFrame, hit: str, inside: str, probability:
     return out.select(_r(F.col("inside")).alias("inside"), _r(F.col("outside")).alias("outside"), _r(F.try_divide(F.col("inside"), F.col("inside") + F.col("outside"))).alias("recall"))
 
 
-def bootstrap_interval(rows: DataFrame, order: str, value: str, replicates: int, seed: str) -> DataFrame:
-    """Percentile interval of the mean from ``replicates`` resamples; draw j of replicate i is hash(seed, i, j) modulo n.
+def poisson_steps() -> list[int]:
+    """32-bit numbers from which a Poisson draw of mean 1 is at least 1, 2, ... 10."""
+    return [int((1 << 32) * sum(exp(-1) / factorial(j) for j in range(k + 1))) for k in range(10)]
+
+
+def bootstrap_interval(rows: DataFrame, key: str, value: str, replicates: int, seed: str) -> DataFrame:
+    """Observed mean of ``value``, for a paired comparison each row's difference, and its percentile interval over resamples.
 
-    The rows should be an evaluation sample: every replicate draws as many rows as there are.
+    In a replicate a row counts as often as a Poisson draw of mean 1 says, which is how often a row is drawn from
+    many. A draw is 32 bits of hash(seed, group, key), eight replicates to a group, so rows make their own draws: nothing is
+    joined, and sums by replicate combine before the shuffle.
     """
-    from tessella.functions.scalars import first_uint64, seeded_hash
-
-    indexed = rows.select((F.row_number().over(Window.orderBy(order)) - 1).cast("long").alias("j"), F.col(value).alias("v"))
-    n = indexed.count()
-    draws = indexed.select("j").join(F.broadcast(rows.sparkSession.range(replicates).withColumnRenamed("id", "i")))
-    pick = F.pmod(first_uint64(seeded_hash(seed, F.col("i"), F.col("j"))), F.lit(n).cast("decimal(20,0)")).cast("long").alias("pick")
-    means = draws.select("i", pick).join(indexed, F.col("pick") == indexed["j"]).groupBy("i").agg(F.avg("v").alias("m"))
-    return means.agg(F.count(F.lit(1)).alias("replicates"), *[_r(F.percentile("m", F.lit(q))).alias(n) for q, n in ((0.025, "low"), (0.5, "middle"), (0.975, "high"))])
+    groups = rows.select(F.col(key).alias("_key"), F.col(value).cast("double").alias("_v"), F.explode(F.sequence(F.lit(0), F.lit(-(-replicates // 8) - 1))).alias("_g"))
+    hashed = groups.withColumn("_d", seeded_hash(seed, F.col("_g"), F.col("_key")))
+    eight = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.conv(F.substr("_d", k * 8 + 1, F.lit(8)), 16, 10).cast("long"))
+    draws = hashed.select("_g", "_v", F.posexplode(eight).alias("_k", "_u"))
+    times = F.lit(0)
+    for step in poisson_steps():
+        times = times + (F.col("_u") >= F.lit(step)).cast("int")
+    weighed = draws.select((F.col("_g") * 8 + F.col("_k")).alias("i"), "_v", times.alias("_w")).where(F.col("i") < replicates)
+    means = weighed.groupBy("i").agg(F.try_divide(F.sum(F.col("_v") * F.col("_w")), F.sum("_w")).alias("m"))
+    ends = [_r(F.percentile("m", F.lit(q))).alias(n) for q, n in ((0.025, "low"), (0.5, "middle"), (0.975, "high"))]
+    return rows.agg(_r(F.avg(value)).alias("observed")).crossJoin(means.agg(F.count("m").alias("replicates"), *ends))
 
 
 def spread_by(rows: DataFrame, group: str, value: str) -> DataFrame:

@@ -34,6 +34,15 @@ def hash_rank(rows: DataFrame, groups: Sequence[str], digest: str, tie: str, nam
     return _ranked(rows.withColumn("_bucket", F.substring(digest, 1, digits)), groups, [F.col(digest), F.col(tie)], name)
 
 
+def value_rank(rows: DataFrame, groups: Sequence[str], value: str, tie: str, name: str = "rank", ranges: int = 64) -> DataFrame:
+    """Rank from 1 by a number, the largest first, within each group; buckets are ranges of the number."""
+    at = [k / ranges for k in range(1, ranges)]
+    borders = sorted(set(rows.agg(F.percentile_approx(value, at, 10_000).alias("b")).first()["b"] or []))
+    table = F.array(*[F.lit(b) for b in borders]) if borders else F.array().cast(f"array<{dict(rows.dtypes)[value]}>")
+    above = F.size(F.filter(table, lambda b: b > F.col(value)))
+    return _ranked(rows.withColumn("_bucket", above), groups, [F.col(value).desc(), F.col(tie)], name)
+
+
 def positions(rows: DataFrame, key: str, ranges: int | None = None, name: str = "position") -> DataFrame:
     """Zero-based position in the order of a key.
 

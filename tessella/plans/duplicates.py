@@ -142,6 +142,13 @@ def c19_document_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(best, "cluster").select("doc_id", "representative")
 
 
+def c23_keep_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class representatives joined with the list of those that stand for their cluster."""
+    prints = _prints(spark, sf_dir)
+    keep = near_dup.near_clusters(prints, near_dup.near_pairs(prints), "order").select(F.col("representative").alias("id")).distinct()
+    return prints.join(keep, "id").select("id", "members", "chars")
+
+
 def _shingled(rows: DataFrame, key: str, text: Column) -> DataFrame:
     words = F.split(surface(text), " ")
     n = F.size("words")
@@ -185,6 +192,7 @@ QUERIES = {
     for f in (
         e1_thread_representative, e2_surface_representative, e3_rank_and_population, c21_duplicate_groups, c21_split_overlap, c11_semi, c13_triple_anti, c14_or_anti,
         c15_excluded_groups, c16_identity_mismatch, c17_exposure_filter, c18_near_dup_pairs, c18_members, c19_near_dup_clusters, c19_document_clusters, c20_jaccard_pairs,
+        c23_keep_list,
     )
 }
 
@@ -222,12 +230,28 @@ SQL = {
         links AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
         reach AS (SELECT id AS a, id AS b FROM rows UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
         SELECT r.a AS id, arg_min(r.b, o."order") AS representative FROM reach r JOIN rows o ON r.b = o.id GROUP BY r.a""",
+    "c18_members": f"WITH {_DOCS} SELECT doc_id, min(doc_id) OVER (PARTITION BY surface) AS id FROM docs",
+    "c19_document_clusters": f"""WITH RECURSIVE {_PRINTS},
+        links AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
+        reach AS (SELECT id AS a, id AS b FROM rows UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+        clusters AS (SELECT a AS id, min(b) AS cluster FROM reach GROUP BY a),
+        members AS (SELECT doc_id, "order", min(doc_id) OVER (PARTITION BY surface) AS id FROM docs),
+        best AS (SELECT cluster, arg_min(doc_id, "order") AS representative FROM members JOIN clusters USING (id) GROUP BY cluster)
+        SELECT doc_id, representative FROM members JOIN clusters USING (id) JOIN best USING (cluster)""",
+    "c23_keep_list": f"""WITH RECURSIVE {_PRINTS},
+        links AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
+        reach AS (SELECT id AS a, id AS b FROM rows UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+        best AS (SELECT DISTINCT arg_min(r.b, o."order") OVER (PARTITION BY r.a) AS id FROM reach r JOIN rows o ON r.b = o.id)
+        SELECT id, count(*) AS members, any_value(c.chars) AS chars FROM best JOIN classes c USING (id) JOIN docs d ON d.surface = c.surface GROUP BY id""",
     "c20_jaccard_pairs": f"""WITH {_DOCS},
-        classes AS (SELECT min(doc_id) AS id, arg_min(source, doc_id) AS source, string_split(surface, ' ') AS w FROM docs GROUP BY surface HAVING length(surface) >= 30),
+        classes AS (
+            SELECT min(doc_id) AS id, bool_or(source < 'src15') AS early, bool_or(source >= 'src15') AS late, surface, string_split(surface, ' ') AS w
+            FROM docs GROUP BY surface HAVING length(surface) >= 30),
         grams AS (
-            SELECT id, source, list_distinct(list_transform(range(1, len(w) - 1), lambda k: w[k] || ' ' || w[k + 1] || ' ' || w[k + 2])) AS g FROM classes WHERE len(w) >= 3),
-        tokens AS (SELECT id, source, len(g) AS n, unnest(g) AS t FROM grams),
+            SELECT id, early, late, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda k: w[k] || ' ' || w[k + 1] || ' ' || w[k + 2])
+                ELSE list_transform(range(1, length(surface) - 3), lambda k: substr(surface, k, 5)) END) AS g FROM classes),
+        tokens AS (SELECT id, early, late, len(g) AS n, unnest(g) AS t FROM grams),
         shared AS (
-            SELECT x.id AS a, y.id AS b, x.n AS xn, y.n AS yn, count(*) AS s FROM tokens x JOIN tokens y ON x.t = y.t AND x.source < 'src15' AND y.source >= 'src15' GROUP BY ALL)
+            SELECT x.id AS a, y.id AS b, x.n AS xn, y.n AS yn, count(*) AS s FROM tokens x JOIN tokens y ON x.t = y.t AND x.early AND y.late AND x.id <> y.id GROUP BY ALL)
         SELECT a, b, round(s / (xn + yn - s), 6) AS jaccard FROM shared WHERE s / (xn + yn - s) >= 0.9""",
 }

@@ -150,7 +150,10 @@ def d41_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def d30_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.bootstrap_interval(rows(spark, sf_dir).select("doc_id", F.col("quality").cast("double").alias("v")), "doc_id", "v", 200, "boot")
+    """How much more often a length rule is right on quality than the states are on theirs, document by document."""
+    right = (F.col("n_chars") >= 2000) == F.col("ref")
+    paired = right.cast("int") - F.coalesce(F.col("said") == F.col("state"), F.lit(False)).cast("int")
+    return evaluation.bootstrap_interval(rows(spark, sf_dir).select("doc_id", paired.alias("v")), "doc_id", "v", 10_000, "boot")
 
 
 def d31_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -325,10 +328,14 @@ SQL = {
             round(sum(v) ** 2 / sum(v * v), 6) AS effective_n, round(max(v) / min(v), 6) AS weight_ratio FROM x GROUP BY lang""",
     "d41_recall": f"""WITH {_ROWS}, s AS (SELECT coalesce(sum(w) FILTER (WHERE toxic = 1 AND lang = 'en'), 0) AS i, coalesce(sum(w) FILTER (WHERE toxic = 1 AND lang <> 'en'), 0) AS o FROM rows)
         SELECT round(i, 6) AS inside, round(o, 6) AS outside, round(i / nullif(i + o, 0), 6) AS recall FROM s""",
-    "d30_bootstrap": f"""WITH {_ROWS}, x AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS j, CAST(quality AS DOUBLE) AS v, count(*) OVER () AS n FROM rows),
-        d AS (SELECT i, CAST(('0x' || left(sha256('boot' || chr(31) || i || chr(31) || j), 16))::UBIGINT % n::UBIGINT AS BIGINT) AS pick FROM x, range(200) t(i)),
-        m AS (SELECT i, avg(v) AS m FROM d JOIN x ON pick = j GROUP BY i)
-        SELECT count(*) AS replicates, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.5), 6) AS middle, round(quantile_cont(m, 0.975), 6) AS high FROM m""",
+    "d30_bootstrap": f"""WITH {_ROWS},
+        x AS (SELECT doc_id, CAST((n_chars >= 2000) = ref AS INTEGER) - CAST(coalesce(said = state, FALSE) AS INTEGER) AS v FROM rows),
+        groups AS (SELECT g, v, sha256('boot' || chr(31) || g || chr(31) || doc_id) AS d FROM x, range(1250) t(g)),
+        draws AS (SELECT 8 * g + k AS i, v, ('0x' || substr(d, CAST(8 * k + 1 AS BIGINT), 8))::UBIGINT AS u FROM groups, range(8) t(k)),
+        weighed AS (SELECT i, v, {' + '.join(f"CAST(u >= {step} AS INTEGER)" for step in evaluation.poisson_steps())} AS w FROM draws),
+        means AS (SELECT i, sum(v * w) / sum(w) AS m FROM weighed GROUP BY i)
+        SELECT (SELECT round(avg(v), 6) FROM x) AS observed, count(m) AS replicates, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.5), 6) AS middle,
+            round(quantile_cont(m, 0.975), 6) AS high FROM means""",
     "d31_spread": "SELECT o_orderpriority, count(*) AS n, round(avg(o_totalprice), 6) AS mean, round(stddev_samp(o_totalprice), 6) AS sd FROM orders GROUP BY 1",
     "d31_paired_deltas": """WITH m AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, o_orderpriority AS arm, CAST(count(*) AS DOUBLE) AS v FROM orders GROUP BY ALL)
         SELECT a.arm, count(*) AS pairs, round(avg(a.v - b.v), 6) AS mean_delta, round(stddev_samp(a.v - b.v), 6) AS sd_delta

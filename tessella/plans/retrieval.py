@@ -25,7 +25,12 @@ def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in the shape of raw records; ages, kinds and ids follow from their other columns."""
     docs = table(spark, sf_dir, "documents")
     comment = F.col("n_chars") % 2 == 0
+    opening = (F.col("doc_id") % 50).cast("string")
     return docs.select(
+        F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("t3_"), opening)).otherwise(opening).alias("link_id"),
+        F.expr("""CASE WHEN doc_id % 29 = 0 THEN concat('t5_', doc_id) WHEN doc_id % 4 = 0 THEN concat('t3_', doc_id % 50) WHEN doc_id % 4 = 1 THEN concat('T1_', doc_id)
+            ELSE concat(' ', doc_id) END""").alias("parent_id"),
+        F.concat(F.lit("/landed/"), "source", F.when(comment, "_comments.zst").otherwise("_submissions.zst")).alias("file"),
         F.when(F.col("n_chars") > 9000, F.concat(F.lit("t9_"), F.col("doc_id"))).otherwise(F.col("doc_id").cast("string")).alias("record_id"),
         F.when(F.col("n_chars") < 300, "true").otherwise((F.lit(1577836800 - 20000000) + F.col("n_chars") * 50000).cast("string")).alias("created"),
         F.col("source").alias("community"),
@@ -39,7 +44,8 @@ def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _RAW = r"""raw AS (
-    SELECT CASE WHEN n_chars > 9000 THEN 't9_' || doc_id ELSE CAST(doc_id AS VARCHAR) END AS record_id,
+    SELECT CASE WHEN n_chars > 9000 THEN 't9_' || doc_id ELSE CAST(doc_id AS VARCHAR) END AS record_id, 't3_' || (doc_id % 50) AS link,
+        CASE WHEN doc_id % 29 = 0 THEN NULL WHEN doc_id % 4 = 0 THEN 't3_' || (doc_id % 50) ELSE 't1_' || doc_id END AS parent,
         CASE WHEN n_chars < 300 THEN NULL ELSE 1577836800 - 20000000 + n_chars * 50000 END AS seconds, source AS community,
         CASE WHEN lang = 'es' AND n_chars > 3000 THEN 'elsewhere' ELSE upper(source) END AS expected_community,
         CASE lang WHEN 'en' THEN 'main' WHEN 'de' THEN 'second' WHEN 'es' THEN 'second' END AS stratum,
@@ -56,7 +62,7 @@ _RAW = r"""raw AS (
             WHEN seconds IS NULL THEN 'missing_required_field'
             WHEN seconds < 1577836800 OR seconds >= 1767225600 THEN 'outside_time_window'
             WHEN coalesce(text, '') = '' AND body = '[deleted]' THEN 'deleted' WHEN coalesce(text, '') = '' AND body = '[removed]' THEN 'removed'
-            WHEN coalesce(text, '') = '' THEN 'empty_text' WHEN NOT regexp_full_match(record_id, '[0-9a-z]+') THEN 'invalid_id' END AS reason
+            WHEN coalesce(text, '') = '' THEN 'empty_text' WHEN NOT regexp_full_match(record_id, '[0-9a-z]+') OR (kind = 'comment' AND parent IS NULL) THEN 'invalid_id' END AS reason
         FROM texts)"""
 
 
@@ -78,10 +84,13 @@ def a4_reject_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("event_type", "reason").agg(F.count(F.lit(1)).alias("n"), F.sum("j.k").alias("k_sum"))
 
 
+# Whole texts that stand for something else, and some that the generated tables have.
+MARKS = ("[deleted]", "[removed]", "That it.", "Reorea. Nd.", "Die tz.")
+
+
 def d13_sentinels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts that occur whole more than twice as marks, by source."""
-    docs = table(spark, sf_dir, "documents")
-    return canonical.sentinel_counts(docs.withColumn("opening", F.substring_index("text", " ", 1)), "opening", ["The", "Of", "Der", "Die", "La", "Le"], "source")
+    """Whole texts that are marks, by source; the scan gets the list of marks."""
+    return canonical.sentinel_counts(table(spark, sf_dir, "documents"), "text", list(MARKS), "source")
 
 
 def b11_lexical_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -249,11 +258,12 @@ QUERIES = {
 
 _HITS = f"SELECT doc_id, {_ids(_low('text'), TERMS)} AS term_ids FROM documents"
 SQL = {
-    "b1_canonical_rows": f"""WITH {_RAW}
-        SELECT CASE WHEN kind = 'comment' THEN 't1_' ELSE 't3_' END || record_id AS record_id, kind, lower(community) AS community, stratum, seconds AS created_utc,
-            CAST(year(to_timestamp(seconds) AT TIME ZONE 'UTC') AS BIGINT) AS year, CAST(month(to_timestamp(seconds) AT TIME ZONE 'UTC') AS BIGINT) AS month,
-            sha256(text) AS text_sha256, length(text) AS n_chars
-        FROM judged WHERE reason IS NULL""",
+    "b1_canonical_rows": f"""WITH {_RAW}, named AS (SELECT *, CASE WHEN kind = 'comment' THEN 't1_' ELSE 't3_' END || record_id AS id FROM judged WHERE reason IS NULL)
+        SELECT '1.0.2' AS schema_version, id AS record_id, id AS source_id, kind AS content_type, community AS subreddit, stratum, seconds AS created_utc,
+            CAST(year(to_timestamp(seconds) AT TIME ZONE 'UTC') AS INTEGER) AS year, CAST(month(to_timestamp(seconds) AT TIME ZONE 'UTC') AS TINYINT) AS month,
+            'unclassified' AS language_status, text, sha256(text) AS text_sha256, CASE WHEN kind = 'comment' THEN link ELSE id END AS submission_id,
+            CASE WHEN kind = 'comment' THEN parent END AS parent_id, community || CASE WHEN kind = 'comment' THEN '_comments.zst' ELSE '_submissions.zst' END AS source_file
+        FROM named""",
     "d12_reason_counts": f"WITH {_RAW} SELECT kind, coalesce(reason, 'retained') AS reason, count(*) AS n FROM judged GROUP BY ALL",
     "a4_reject_reasons": """WITH lines AS (
             SELECT event_type, CASE event_type WHEN 'error' THEN left(props, length(props) - 1) WHEN 'view' THEN '[1]' ELSE props END AS line FROM events),
@@ -261,8 +271,7 @@ SQL = {
         SELECT event_type, CASE WHEN ok THEN 'retained' ELSE 'malformed_json' END AS reason, count(*) AS n,
             CAST(sum(CASE WHEN ok THEN CAST(json_extract(line, '$.k') AS BIGINT) END) AS BIGINT) AS k_sum
         FROM parsed GROUP BY ALL""",
-    "d13_sentinels": """SELECT source, split_part(text, ' ', 1) AS mark, count(*) AS n FROM documents
-        WHERE split_part(text, ' ', 1) IN ('The', 'Of', 'Der', 'Die', 'La', 'Le') GROUP BY ALL""",
+    "d13_sentinels": f"SELECT source, text AS mark, count(*) AS n FROM documents WHERE text IN {MARKS} GROUP BY ALL",
     "b11_lexical_hits": _HITS,
     "b11_lexical_automaton": _HITS,
     "b12_suppressed_hits": f"""WITH low AS (SELECT conv_id, turn, {_low("text")} AS low FROM conversations),

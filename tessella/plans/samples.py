@@ -234,6 +234,16 @@ def _ledger_sql() -> str:
 
 
 SQL = {
+    "f17_early_stop": """WITH RECURSIVE curve AS (
+            SELECT o_custkey, o_orderkey AS epoch, o_totalprice / 1e6::DOUBLE AS score, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS step FROM orders),
+        scan AS (
+            SELECT o_custkey, step, epoch AS best, score AS top, 0 AS idle, FALSE AS over FROM curve WHERE step = 1
+            UNION ALL
+            SELECT c.o_custkey, c.step, CASE WHEN better THEN c.epoch ELSE best END, CASE WHEN better THEN c.score ELSE top END,
+                CASE WHEN better THEN 0 WHEN over THEN idle ELSE idle + 1 END, over OR (NOT better AND idle + 1 >= 3)
+            FROM (SELECT s.*, c.step AS next, NOT s.over AND c.score > s.top + 0.01 AS better FROM scan s JOIN curve c ON c.o_custkey = s.o_custkey AND c.step = s.step + 1) s
+            JOIN curve c ON c.o_custkey = s.o_custkey AND c.step = s.next)
+        SELECT o_custkey, arg_max(best, step) AS epoch, round(arg_max(top, step), 6) AS score, arg_max(over, step) AS stopped FROM scan GROUP BY o_custkey""",
     "d7_strata": f"WITH {_ROWS} SELECT stratum, count(*) AS population FROM rows GROUP BY ALL",
     "f7_quota_min": f"WITH {_ROWS}, {_STRATA}, {_quota_sql(400, 2, 'stratum')} SELECT * FROM quotas",
     "f8_quota_lr": f"WITH {_ROWS}, {_STRATA}, {_quota_sql(300, 0, 'tie')} SELECT * FROM quotas",

@@ -135,9 +135,7 @@ def c22_quota_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most expensive parts of each brand, as many as the brand's quota."""
     parts = table(spark, sf_dir, "part")
     quotas = parts.groupBy("p_brand").agg(F.ceil(F.count(F.lit(1)) / 25).alias("quota"))
-    from pyspark.sql import Window
-
-    ranked = parts.withColumn("rank", F.row_number().over(Window.partitionBy("p_brand").orderBy(F.col("p_retailprice").desc(), "p_partkey")).cast("long"))
+    ranked = ranks.value_rank(parts, ["p_brand"], "p_retailprice", "p_partkey")
     return ranked.join(quotas, "p_brand").where("rank <= quota").select("p_brand", "p_partkey", "rank", "quota")
 
 
@@ -274,6 +272,8 @@ QUERIES = {
 }
 
 SQL = {
+    "d5_quantiles_sketch": """WITH p AS (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey)
+        SELECT count(n) AS n, quantile_disc(n, 0.5) AS q500, quantile_disc(n, 0.9) AS q900, quantile_disc(n, 0.95) AS q950, quantile_disc(n, 0.99) AS q990 FROM p""",
     "d3_validation_row": """SELECT count(*) AS rows, count(DISTINCT l_orderkey) AS orders, count(*) FILTER (WHERE l_orderkey IS NULL) AS null_keys,
         count(*) FILTER (WHERE l_discount < 0 OR l_discount > 1) AS bad_discount, count(*) FILTER (WHERE l_returnflag NOT IN ('A', 'N', 'R')) AS bad_flag,
         count(*) FILTER (WHERE NOT isfinite(l_extendedprice)) AS not_finite, CAST(min(year(l_shipdate)) AS BIGINT) AS first_year, CAST(max(year(l_shipdate)) AS BIGINT) AS last_year,
