@@ -33,7 +33,8 @@ def staging_root(spark: SparkSession) -> str:
     return _own_roots[app]
 
 
-def _file_system(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path in its terms."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
@@ -46,7 +47,7 @@ def stage_table(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{staging_root(spark)}/{label}-{uuid4().hex}"
     df.write.parquet(path)
-    system, at = _file_system(spark, path)
+    system, at = file_system(spark, path)
     system.deleteOnExit(at)
     if _scopes:
         _scopes[-1].append(path)
@@ -60,7 +61,7 @@ def unstage(*tables: DataFrame) -> None:
     for table in tables:
         path = _paths.pop(table, None)
         if path:
-            system, at = _file_system(table.sparkSession, path)
+            system, at = file_system(table.sparkSession, path)
             system.delete(at, True)
 
 
@@ -75,6 +76,6 @@ def stage_result(make: Callable[[], DataFrame], label: str) -> DataFrame:
         _scopes[-1].append(_paths[out])
     for path in inner:
         if path != _paths[out]:
-            system, at = _file_system(out.sparkSession, path)
+            system, at = file_system(out.sparkSession, path)
             system.delete(at, True)
     return out

@@ -1,14 +1,17 @@
 """Closed forms, invariances and fail-closed behaviour of the relational operators."""
 
+import hashlib
 import json
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tessella.functions import scalars
-from tessella.operators import canonical, components, decode, dedup, enrich, evaluation, lexical, near_dup, ranks, ratio, sampling, series, triage
+from tessella.operators import aggregates, canonical, components, decode, dedup, enrich, evaluation, lexical, near_dup, ranks, ratio, sampling, series, triage
 from tessella.plans import duplicates, samples
 from tessella.sources import records, sinks
 from tessella.streaming import ingest
@@ -196,6 +199,206 @@ def test_partitioned_table_round_trip(spark, tmp_path):
     assert any((tmp_path / "t").glob("year=2021/kind=b/*.parquet"))
 
 
+RAW_ROW = "record_id string, created string, community string, expected_community string, stratum string, kind string, title string, body string, malformed boolean, link_id string, parent_id string, file string"
+
+
+def raw_row(**other):
+    base = dict(
+        record_id="A1", created="1600000000", community=" Pics ", expected_community=" pics ", stratum="main", kind="comment", title=None, body=" hello\r\nworld ", malformed=False,
+        link_id="T3_zz", parent_id=" b2 ", file="/landed/pics_comments.zst",
+    )
+    return tuple((base | other).values())
+
+
+def test_canonical_record_has_every_column(spark):
+    rows = [raw_row(), raw_row(record_id="s1", kind="submission", title="[removed]", body="text", link_id=None, parent_id=None, file="x/pics_submissions.zst"), raw_row(parent_id="t3_zz")]
+    out = canonical.canonical(spark.createDataFrame(rows, RAW_ROW))
+    assert [(f.name, f.dataType.simpleString()) for f in out.schema] == list(canonical.RECORD)
+    got = {(r["record_id"], r["parent_id"]): r for r in out.collect()}
+    comment, submission = got["t1_a1", "t1_b2"], got["t3_s1", None]
+    assert (comment["submission_id"], comment["subreddit"], comment["text"], comment["source_file"]) == ("t3_zz", "Pics", "hello\nworld", "pics_comments.zst")
+    assert (submission["submission_id"], submission["content_type"], submission["text"], submission["year"], submission["month"]) == ("t3_s1", "submission", "text", 2020, 9)
+    assert ("t1_a1", "t3_zz") in got and comment["schema_version"] == "1.0.2" and comment["text_sha256"] == hashlib.sha256(b"hello\nworld").hexdigest()
+
+
+def test_contradictory_ids_are_excluded(spark):
+    rows = [raw_row(link_id="t1_zz"), raw_row(parent_id="t5_zz"), raw_row(record_id="t3_a1"), raw_row(parent_id=None), raw_row(link_id="no/id"), raw_row(body="[deleted]", parent_id=None)]
+    out = canonical.with_reasons(spark.createDataFrame(rows, RAW_ROW)).select("reason").collect()
+    assert [r["reason"] for r in out] == ["invalid_id"] * 5 + ["deleted"]
+
+
+def test_sentinel_list_reaches_the_scan(spark, tmp_path):
+    spark.createDataFrame([("[deleted]", "a"), ("[deleted] ", "a"), ("x", "b")], "text string, source string").write.parquet(str(tmp_path / "t"))
+    out = canonical.sentinel_counts(spark.read.parquet(str(tmp_path / "t")), "text", ["[deleted]", "[removed]"], "source")
+    assert [tuple(r) for r in out.collect()] == [("a", "[deleted]", 1)]
+    assert "PushedFilters: [In(text, [[deleted],[removed]])]" in out._jdf.queryExecution().toString()
+
+
+def test_landed_files_are_verified(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    whole = {"a_comments.zst": b"x" * 20_000_000, "b_comments.zst": b"two", "c_comments.zst": b"new"}
+    for name, data in whole.items():
+        (tmp_path / "in" / name).write_bytes(data)
+    manifest = [("a_comments.zst", 20_000_000, hashlib.sha256(whole["a_comments.zst"]).hexdigest()), ("b_comments.zst", 3, "0" * 64), ("d_comments.zst", 1, "0" * 64)]
+    out = records.verify_files(spark, str(tmp_path / "in"), spark.createDataFrame(manifest, "name string, bytes long, sha256 string"))
+    assert {r["name"][0]: r["status"] for r in out.collect()} == {"a": "ok", "b": "differs", "c": "unexpected", "d": "missing"}
+
+
+def test_publish_is_all_or_nothing(spark, tmp_path):
+    rows = spark.createDataFrame([(k, 2020 + k % 2, "a b" if k % 3 else "c") for k in range(30)], "id int, year int, kind string")
+    path = str(tmp_path / "table")
+    with pytest.raises(ValueError, match="30 rows were written, not 31"):
+        sinks.publish(rows, path, ["year", "kind"], 31)
+    assert list(tmp_path.iterdir()) == []
+    receipt = sinks.publish(rows, path, ["year", "kind"], 30, {"source": "s"})
+    assert receipt == sinks.verify_published(spark, path) and receipt["rows"] == 30 and len(receipt["files"]) >= 4
+    for f in receipt["files"]:
+        data = (tmp_path / "table" / f["name"]).read_bytes()
+        assert (f["bytes"], f["sha256"]) == (len(data), hashlib.sha256(data).hexdigest())
+    with pytest.raises(ValueError, match="before"):
+        sinks.publish(rows, path, ["year", "kind"], 30)
+    with pytest.raises(ValueError, match="must not"):
+        sinks.verify_published(spark, path, ["kind"])
+    victim = tmp_path / "table" / receipt["files"][0]["name"]
+    victim.write_bytes(victim.read_bytes() + b"0")
+    (victim.parent / f".{victim.name}.crc").unlink(missing_ok=True)
+    with pytest.raises(ValueError, match="differ from the receipt"):
+        sinks.verify_published(spark, path)
+
+
+def test_export_keeps_the_predecessor(spark, tmp_path):
+    before = spark.createDataFrame([(1, "x"), (2, "y")], "id int, state string")
+    after = before.withColumn("score", F.lit(0.5))
+    assert sinks.export_public(after, str(tmp_path / "a"), before)["columns"] == ["id", "state", "score"]
+    with pytest.raises(ValueError, match="1 rows of the predecessor are gone and 1 are new"):
+        sinks.export_public(after.withColumn("state", F.lit("x")), str(tmp_path / "b"), before)
+    with pytest.raises(ValueError, match="private"):
+        sinks.write_public(after.withColumn("author", F.lit("z")), str(tmp_path / "c"))
+
+
+def test_small_sinks_and_shards(spark, tmp_path):
+    rows = spark.range(23).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    sinks.write_csv(rows, str(tmp_path / "csv"))
+    (part,) = (tmp_path / "csv").glob("*.csv")
+    assert part.read_text().splitlines()[0] == "k,v" and len(part.read_text().splitlines()) == 24
+    sinks.write_sorted(rows.repartition(5), str(tmp_path / "sorted"), "k")
+    assert [r["k"] for r in spark.read.parquet(str(tmp_path / "sorted")).where("k between 5 and 9").orderBy("k").collect()] == [5, 6, 7, 8, 9]
+    sinks.write_shards(rows.repartition(4), str(tmp_path / "shards"), "k", 4)
+    back = spark.read.parquet(str(tmp_path / "shards")).groupBy("shard").agg(F.count("k").alias("n"), F.min("position").alias("a"), F.max("k").alias("b")).orderBy("shard").collect()
+    assert [tuple(r) for r in back] == [(0, 6, 0, 5), (1, 6, 6, 11), (2, 6, 12, 17), (3, 5, 18, 22)]
+
+
+def test_policies_and_sheets(spark, tmp_path):
+    policy = {"version": "1", "terms": [{"id": "us", "pattern": "us"}, {"id": "it", "pattern": "it is"}], "ambiguity_rules": [{"term_ids": ["us"], "phrases": ["contact us"]}], "record_exclusion_rules": [{"texts": ["bot"]}]}
+    lines = ['version = "1"', f'digest = "{records.policy_digest(policy | {"digest": ""}, "digest")}"', "[[terms]]", 'id = "us"', 'pattern = "us"', "[[terms]]", 'id = "it"', 'pattern = "it is"']
+    lines += ["[[ambiguity_rules]]", 'term_ids = ["us"]', 'phrases = ["contact us"]', "[[record_exclusion_rules]]", 'texts = ["bot"]']
+    (tmp_path / "p.toml").write_text("\n".join(lines))
+    keys = ["version", "digest", "terms", "ambiguity_rules", "record_exclusion_rules"]
+    read = records.read_policy(spark, str(tmp_path / "p.toml"), keys, "digest")
+    terms, excluded = records.policy_terms(read)
+    assert terms == [lexical.Term("us", "us", ("contact us",)), lexical.Term("it", "it is")] and excluded == ["bot"]
+    with pytest.raises(ValueError, match="keys"):
+        records.read_policy(spark, str(tmp_path / "p.toml"), keys[1:])
+    (tmp_path / "p.toml").write_text("\n".join(lines).replace("contact us", "call us"))
+    with pytest.raises(ValueError, match="digest"):
+        records.read_policy(spark, str(tmp_path / "p.toml"), keys, "digest")
+    (tmp_path / "s.csv").write_text('a,b\n1,"x\ny"\n , \n,2\n')
+    assert [tuple(r) for r in records.read_sheet(spark, str(tmp_path / "s.csv"), ["a", "b"]).collect()] == [("1", "x\ny"), (None, "2")]
+    with pytest.raises(ValueError, match="header"):
+        records.read_sheet(spark, str(tmp_path / "s.csv"), ["a", "c"])
+
+
+def test_annotations_are_validated_by_schema(spark, tmp_path):
+    schema = {
+        "required": ["id", "label"], "additionalProperties": False,
+        "properties": {"id": {"type": "string", "pattern": "^[a-z]+$", "minLength": 2}, "label": {"enum": ["x", "y"]}, "score": {"type": ["number", "null"], "minimum": 0, "maximum": 1}, "v": {"const": 1}, "n": {"type": "integer"}},
+    }
+    good = [{"id": "ab", "label": "x"}, {"id": "ab", "label": "y", "score": None, "v": 1, "n": -3}, {"label": "y", "id": "abc", "score": 0.5}]
+    bad = ["", "[1]", "{broken", '{"id": "ab"}', '{"id": "A", "label": "z"}', '{"id": 5, "label": "x", "score": 2}', '{"id": "ab", "label": "x", "more": 1, "n": 1.5, "v": 2}', '{"id": null, "label": "x", "score": "0.5"}']
+    (tmp_path / "good.jsonl").write_text("\n".join(map(json.dumps, good)) + "\n")
+    (tmp_path / "bad.jsonl").write_text("\n".join([json.dumps(good[0]), *bad]) + "\n")
+    (tmp_path / "none.jsonl").write_text("")
+    got = {}
+    for r in records.validate_json_lines(spark, str(tmp_path), schema).collect():
+        got.setdefault((r["file"], r["line"]), set()).add(r["problem"])
+    wanted = [{"blank"}, {"malformed"}, {"malformed"}, {"label: required"}, {"id: pattern", "id: minLength", "label: enum"}, {"id: type", "score: maximum"}, {"not allowed: more", "n: type", "v: const"}, {"id: type", "score: type"}]
+    assert got == {("bad.jsonl", k + 2): w for k, w in enumerate(wanted)} | {("none.jsonl", 1): {"empty"}}
+    with pytest.raises(ValueError, match="not checked"):
+        records.validate_json_lines(spark, str(tmp_path), {"properties": {"a": {"format": "date"}}})
+
+
+def test_wire_schema_and_unsigned_numbers(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, None)], "id int, s string")
+    schema = StructType([StructField("id", LongType(), False), StructField("s", StringType(), True)])
+    assert records.wire(rows, schema).schema == schema and records.wire(rows, schema).count() == 2
+    with pytest.raises(Exception, match="nulls in non-null columns"):
+        records.wire(rows, StructType([schema[0], StructField("s", StringType(), False)])).collect()
+    big = spark.createDataFrame([(str((1 << 64) - 1),), (str(1 << 63),), ("5",), (None,)], "u string").select(F.col("u").cast("decimal(20,0)").alias("u"))
+    both = big.select("u", records.signed(F.col("u")).alias("i")).select("u", "i", records.unsigned(F.col("i")).alias("back")).collect()
+    assert [r["i"] for r in both] == [-1, -(1 << 63), 5, None] and all(r["u"] == r["back"] for r in both)
+
+
+def test_views_and_ingest_rate(spark, tmp_path):
+    spark.sql("select 1 as id, timestamp'2020-03-31 23:59:59' as created_utc").write.parquet(str(tmp_path / "y=1"))
+    spark.sql("select 2 as id, timestamp'2021-01-01 00:00:00' as created_utc").write.parquet(str(tmp_path / "y=2"))
+    records.parquet_view(spark, str(tmp_path / "y=*"), "landed")
+    records.register_rows(spark, "wanted", [(1, "one")], "id int, name string")
+    records.register_rows(spark, "arrow_rows", pa.table({"id": [2], "name": ["two"]}))
+    out = spark.sql("select month, name from landed join (select * from wanted union all select * from arrow_rows) using (id) order by month")
+    assert [tuple(r) for r in out.collect()] == [("2020-03-01", "one"), ("2021-01-01", "two")]
+    rate = records.ingest_rate(spark.createDataFrame([raw_row()] * 50, RAW_ROW), canonical.canonical, 20)
+    assert rate["lines"] == 20 and rate["lines_per_second"] > 0
+
+
+def test_windows_close_behind_the_watermark(spark, tmp_path):
+    schema = "ts timestamp, event_type string, value double"
+    made = lambda rows: spark.createDataFrame(rows, "ts string, event_type string, value double").withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1)
+    made([("2024-01-01 00:10:00", "a", 1.0), ("2024-01-01 00:50:00", "a", 2.0), ("2024-01-01 03:00:00", "b", 5.0)]).write.parquet(str(tmp_path / "in"))
+    stream = ingest.event_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema)
+    run = lambda: ingest.windowed_counts(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).outputMode("append").start().awaitTermination(60)
+    run()
+    made([("2024-01-01 00:20:00", "a", 9.0), ("2024-01-01 03:20:00", "b", 1.0)]).write.mode("append").parquet(str(tmp_path / "in"))
+    run()
+    got = spark.read.parquet(str(tmp_path / "out")).select(F.hour("w.start").alias("h"), "event_type", "n", "value").collect()
+    # What comes 2 hours and 40 minutes late is left out of a window that has closed.
+    assert [tuple(r) for r in got] == [(0, "a", 2, 3.0)]
+
+
+def test_bootstrap_interval_brackets_the_mean(spark):
+    rnd = random.Random(8)
+    values = [rnd.choice([-1.0, 0.0, 0.0, 1.0, 1.0]) for _ in range(80)]
+    out = evaluation.bootstrap_interval(spark.createDataFrame(list(enumerate(values)), "k int, v double"), "k", "v", 2000, "s").first()
+    mean = sum(values) / 80
+    error = (sum((v - mean) ** 2 for v in values) / 80) ** 0.5 / 80**0.5
+    assert out["observed"] == pytest.approx(mean, abs=1e-6) and out["replicates"] == 2000 and out["middle"] == pytest.approx(mean, abs=0.02)
+    assert out["low"] == pytest.approx(mean - 1.96 * error, abs=0.05) and out["high"] == pytest.approx(mean + 1.96 * error, abs=0.05)
+
+
+def test_greedy_buckets_match_the_loop(spark):
+    rnd = random.Random(9)
+    pool = [(k, rnd.randrange(12), float(rnd.randrange(6)), float(rnd.randrange(6))) for k in range(60)]
+    buckets = [("one", "x", 4), ("two", "y", 3), ("three", "x", 9)]
+    taken, wanted = set(), []
+    for name, column, quota in buckets:
+        at, n = {"x": 2, "y": 3}[column], 0
+        for place, r in enumerate(sorted(pool, key=lambda r: (-r[at], r[0])), 1):
+            if n < quota and r[1] not in taken:
+                taken.add(r[1])
+                n += 1
+                wanted.append((r[0], r[1], name, r[at], place))
+    out = sampling.greedy_buckets(spark.createDataFrame(pool, "k int, c int, x double, y double"), buckets, "k", "c")
+    assert [tuple(r) for r in out.collect()] == wanted
+
+
+def test_long_sequences_are_digested_in_rounds(spark):
+    rows = spark.range(2500).select(F.col("id").alias("p"), F.concat(F.lit("v"), "id").alias("v"))
+    level = [f"v{k}" for k in range(2500)]
+    while len(level) > 1:
+        level = [hashlib.sha256(",".join(level[k : k + 10]).encode()).hexdigest() for k in range(0, len(level), 10)]
+    out = aggregates.sequence_digest(rows.repartition(7), "p", "v", 10).first()
+    assert (out["chunks"], out["digest"]) == (250, level[0])
+
+
 def test_receipts_conserve(spark):
     rows = spark.createDataFrame([("a", None), ("a", "x"), ("b", "x"), ("b", "y")], "file string, reason string")
     receipts = sinks.receipt(rows, "file")
