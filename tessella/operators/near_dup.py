@@ -8,7 +8,8 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -18,6 +19,9 @@ from tessella.staging import stage_table
 # Fixed values of the near-duplicate rule.
 MIN_CHARS, MAX_BITS, RATIO_LOW, RATIO_HIGH = 80, 3, 0.8, 1.25
 
+#: How many of the most frequent shingles a set join orders by their frequency.
+COMMON = 100_000
+
 
 def simhash_of(surface: str) -> int:
     """64 bits over word trigrams (single words of short texts); a tied bit is set.
@@ -84,30 +88,44 @@ def near_clusters(rows: DataFrame, pairs: DataFrame, order: str) -> DataFrame:
 def jaccard_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     """Pairs of ``left(a, shingles)`` and ``right(b, shingles)`` with Jaccard index at or above the threshold.
 
-    Exact by prefix filtering: with shingles ordered from rare to common, two sets that similar share one of
-    their first n - ceil(threshold n) + 1. Only those are joined, so a common shingle meets nobody unless a
-    text has little else, and whole sets verify the distinct pairs met.
+    Exact by prefix filtering: with all shingles in one order, two sets that similar share one of their first
+    n - ceil(threshold n) + 1. The order puts the ``COMMON`` most frequent shingles last, the rarer of them first,
+    and all others by hash before them, so a common shingle meets nobody unless a text has little else. Prefixes are
+    cut where a set lies; only they are dealt out to be joined, and whole sets verify the distinct pairs met.
     """
 
     def sets(rows: DataFrame, key: str, name: str) -> DataFrame:
         hashed = F.transform(F.array_distinct("shingles"), lambda s: F.xxhash64(s))
         # Filtered after staging: pushed below the projection, the filter would build the shingles again.
-        return stage_table(rows.select(key, hashed.alias(name)), f"jaccard-{name}").where(F.size(name) > 0)
+        return stage_table(rows.select(key, F.array_distinct(hashed).alias(name)), f"jaccard-{name}").where(F.size(name) > 0)
 
     a, b = sets(left, "a", "x"), sets(right, "b", "y")
-    tokens_a = a.select("a", F.size("x").alias("n"), F.explode("x").alias("token"))
-    tokens_b = b.select("b", F.size("y").alias("n"), F.explode("y").alias("token"))
-    common = tokens_a.select("token", F.lit(1).alias("l"), F.lit(0).alias("r")).unionAll(tokens_b.select("token", F.lit(0), F.lit(1)))
-    common = common.groupBy("token").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
-
-    def prefixes(tokens: DataFrame, key: str) -> DataFrame:
-        nth = F.row_number().over(Window.partitionBy(key).orderBy(F.col("l") + F.col("r"), "token"))
-        ranked = tokens.join(common, "token").withColumn("nth", nth)
-        width = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - F.lit(1e-9)) + 1
-        return ranked.where((F.col("nth") <= width) & (F.col("l") > 0) & (F.col("r") > 0)).select(key, "token", F.col("n").alias(f"n_{key}"))
-
+    every = a.select(F.explode("x").alias("token")).unionAll(b.select(F.explode("y").alias("token")))
+    counted = every.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
+    common = counted.orderBy(F.col("n").desc(), "token").limit(COMMON).toArrow()
+    order = np.argsort(common.column("token").to_numpy(), kind="stable")
+    tokens = common.column("token").to_numpy()[order]
+    shared = a.sparkSession.sparkContext.broadcast((tokens, common.column("n").to_numpy()[order]))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, often = shared.value
+        for batch in batches:
+            lists = batch.column(1)
+            flat, sizes = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            at = np.minimum(np.searchsorted(known, flat), max(len(known) - 1, 0))
+            weight = np.where(known[at] == flat, often[at], 0) if len(known) else np.zeros(len(flat), np.int64)
+            ordered = np.lexsort((flat, weight, owner))
+            starts = np.cumsum(sizes) - sizes
+            width = sizes - np.ceil(sizes * threshold - 1e-9).astype(np.int64) + 1
+            kept = ordered[np.arange(len(flat)) - starts[owner] < width[owner]]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner[kept])), pa.array(flat[kept]), pa.array(sizes[owner[kept]].astype(np.int64))], names=names)
+
+    names = ["id", "token", "n"]
+    kind = lambda rows, key: dict(rows.dtypes)[key]
+    prefixes = lambda rows, key, name: rows.select(key, name).mapInArrow(cut, f"id {kind(rows, key)}, token long, n long").toDF(key, "token", f"n_{key}")
     least = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(threshold)
-    met = prefixes(tokens_a, "a").join(prefixes(tokens_b, "b"), "token").where(least).select("a", "b").distinct()
-    shared = F.size(F.array_intersect("x", "y"))
-    out = met.join(a, "a").join(b, "b").select("a", "b", shared.alias("s"), (F.size("x") + F.size("y")).alias("t"))
+    met = prefixes(a, "a", "x").join(prefixes(b, "b", "y"), "token").where(least).select("a", "b").distinct()
+    inner = F.size(F.array_intersect("x", "y"))
+    out = met.join(a, "a").join(b, "b").select("a", "b", inner.alias("s"), (F.size("x") + F.size("y")).alias("t"))
     return out.where(F.col("s") >= (F.col("t") - F.col("s")) * F.lit(threshold)).select("a", "b", F.round(F.col("s") / (F.col("t") - F.col("s")), 6).alias("jaccard"))

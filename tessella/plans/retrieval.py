@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessella.functions.scalars import head_tail
 from tessella.operators import canonical, context, lexical, threads
 from tessella.session import table
+from tessella.sources import records
 
 # Terms that the generated prose has, with phrases that suppress some of them.
 TERMS = (
@@ -18,6 +19,11 @@ TERMS = (
     lexical.Term("es_los", "los"),
     lexical.Term("fr_elle", "elle"),
 )
+# A policy of 114 terms made by rule: two pieces of the generated words, and two words in a row.
+POLICY = {
+    "terms": [{"id": f"{a}{b}", "pattern": f"{a}{b}"} for a in ("th", "er", "on", "an", "re", "he", "in", "en", "le") for b in ("er", "on", "an", "re", "he", "in", "nd", "ea", "or", "st", "ti", "it")]
+    + [{"id": f"{a}_{b}", "pattern": f"{a} {b}"} for a, b in (("of", "the"), ("in", "the"), ("de", "la"), ("und", "der"), ("it", "is"), ("to", "be"))],
+}
 SUPPRESSED = (lexical.Term("en_the", "the", ("of the", "and the", "the to")), lexical.Term("de_der", "der", ("und der",)))
 
 
@@ -103,6 +109,13 @@ def b11_lexical_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.array_join("term_ids", ",").alias("term_ids"))
 
 
+def b11_policy_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A policy's terms, over a hundred, in one pass over each text."""
+    terms, _ = records.policy_terms(POLICY)
+    out = lexical.hits_by_automaton(table(spark, sf_dir, "documents"), "doc_id", "text", terms)
+    return out.select("doc_id", F.array_join("term_ids", ",").alias("term_ids"))
+
+
 def b12_suppressed_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lexical.hits(table(spark, sf_dir, "conversations"), "text", SUPPRESSED)
     return out.select("conv_id", "turn", F.array_join("term_ids", ",").alias("term_ids"))
@@ -250,7 +263,7 @@ _HYDRATED = f"""{_RECORDS},
 QUERIES = {
     f.__name__: f
     for f in (
-        b1_canonical_rows, d12_reason_counts, a4_reject_reasons, d13_sentinels, b11_lexical_hits, b11_lexical_automaton, b12_suppressed_hits, b13_record_exclusion,
+        b1_canonical_rows, d12_reason_counts, a4_reject_reasons, d13_sentinels, b11_lexical_hits, b11_lexical_automaton, b11_policy_hits, b12_suppressed_hits, b13_record_exclusion,
         c9_thread_expansion, c10_reply_expansion, g5_merged_evidence, d37_channel_counts, b16_b17_modes_and_buckets, b18_head_tail, b20_render,
         c7_hydrated_context, c8_join_status, b19_context_condition,
     )
@@ -274,6 +287,8 @@ SQL = {
     "d13_sentinels": f"SELECT source, text AS mark, count(*) AS n FROM documents WHERE text IN {MARKS} GROUP BY ALL",
     "b11_lexical_hits": _HITS,
     "b11_lexical_automaton": _HITS,
+    "b11_policy_hits": f"""WITH low AS (SELECT doc_id, {_low("text")} AS low FROM documents)
+        SELECT doc_id, {_ids("low", tuple(sorted(records.policy_terms(POLICY)[0], key=lambda t: t.term_id)))} AS term_ids FROM low""",
     "b12_suppressed_hits": f"""WITH low AS (SELECT conv_id, turn, {_low("text")} AS low FROM conversations),
         masked AS (SELECT *, {_masked("low", SUPPRESSED[0].unless)} AS m1, {_masked("low", SUPPRESSED[1].unless)} AS m2 FROM low)
         SELECT conv_id, turn, concat_ws(',', CASE WHEN {_hit("m2", "der")} THEN 'de_der' END, CASE WHEN {_hit("m1", "the")} THEN 'en_the' END) AS term_ids FROM masked""",
