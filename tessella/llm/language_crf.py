@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.arrow import ragged_arange, slices
+from tessella.llm.text import unit_interval
 
 PER_LANGUAGE = 300
 SAMPLE = 3000
@@ -261,8 +262,12 @@ def remainder(doc_id: Column, divisor: int) -> Column:
 def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE, sample: int = SAMPLE) -> list[tuple[str, str]]:
     """The bounded sample of (text, lang) from ``docs(doc_id, text, lang)``: rows are chosen by their ids, then their texts are read."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text", F.xxhash64("text").alias("mark"))
+    # One row per language. The border keeps all ids that can be among the first, and few more, from being ranked together.
+    ids = usable.groupBy(F.col("lang").alias("_of")).agg(F.approx_count_distinct("doc_id").alias("ids"))
+    borders = ids.select("_of", ((per_language + 8 * per_language**0.5 + 32) / F.col("ids")).alias("border"))
+    low = usable.join(F.broadcast(borders), F.col("lang") == F.col("_of")).where(unit_interval(F.col("doc_id")) < F.col("border"))
     # Rows that repeat are one.
-    rows = usable.groupBy("lang", "doc_id", "mark").agg(F.first(F.xxhash64("doc_id")).alias("order"))
+    rows = low.groupBy("lang", "doc_id", "mark").agg(F.first(unit_interval(F.col("doc_id"))).alias("order"))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("order", "doc_id", "mark"))
     rows = rows.withColumn("nth", nth).where(F.col("nth") <= per_language).orderBy("nth", "lang").limit(sample)
     rows = rows.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), F.col("mark").alias("_mark"))
