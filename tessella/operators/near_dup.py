@@ -21,6 +21,8 @@ MIN_CHARS, MAX_BITS, RATIO_LOW, RATIO_HIGH = 80, 3, 0.8, 1.25
 
 #: How many of the most frequent shingles a set join orders by their frequency.
 COMMON = 100_000
+#: Shingles that are counted at a time, and the number beyond which one is reported: the order must be one for all sets, not exact.
+STRETCH, SEVERAL = 2_000_000, 2
 
 
 def simhash_of(surface: str) -> int:
@@ -85,12 +87,29 @@ def near_clusters(rows: DataFrame, pairs: DataFrame, order: str) -> DataFrame:
     return labelled.join(best, F.col("root") == F.col("of")).select("id", "representative")
 
 
+def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists of numbers to those that a stretch of them has several times, with how often."""
+    held: list[np.ndarray] = []
+
+    def rows() -> pa.RecordBatch:
+        tokens, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(tokens[n > SEVERAL]), pa.array(n[n > SEVERAL].astype(np.int64))], names=["token", "n"])
+
+    for batch in batches:
+        held.append(batch.column(0).flatten().to_numpy())
+        if sum(map(len, held)) > STRETCH:
+            yield rows()
+            held.clear()
+    if held:
+        yield rows()
+
+
 def jaccard_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     """Pairs of ``left(a, shingles)`` and ``right(b, shingles)`` with Jaccard index at or above the threshold.
 
     Exact by prefix filtering: with all shingles in one order, two sets that similar share one of their first
-    n - ceil(threshold n) + 1. The order puts the ``COMMON`` most frequent shingles last, the rarer of them first,
-    and all others by hash before them, so a common shingle meets nobody unless a text has little else. Prefixes are
+    n - ceil(threshold n) + 1. The order puts the ``COMMON`` shingles that are most frequent in stretches of sets last,
+    the rarer of them first, and all others by hash before them, so a common shingle meets nobody unless a text has little else. Prefixes are
     cut where a set lies; only they are dealt out to be joined, and whole sets verify the distinct pairs met.
     """
 
@@ -100,8 +119,8 @@ def jaccard_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFr
         return stage_table(rows.select(key, F.array_distinct(hashed).alias(name)), f"jaccard-{name}").where(F.size(name) > 0)
 
     a, b = sets(left, "a", "x"), sets(right, "b", "y")
-    every = a.select(F.explode("x").alias("token")).unionAll(b.select(F.explode("y").alias("token")))
-    counted = every.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
+    parts = a.select("x").mapInArrow(_frequent, "token long, n long").unionAll(b.select("y").mapInArrow(_frequent, "token long, n long"))
+    counted = parts.groupBy("token").agg(F.sum("n").alias("n"))
     common = counted.orderBy(F.col("n").desc(), "token").limit(COMMON).toArrow()
     order = np.argsort(common.column("token").to_numpy(), kind="stable")
     tokens = common.column("token").to_numpy()[order]
