@@ -164,6 +164,7 @@ def c20_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     docs = _docs(spark, sf_dir)
     first = docs.groupBy("surface").agg(F.bool_or(F.col("source") < "src15").alias("early"), F.bool_or(F.col("source") >= "src15").alias("late"), F.min("doc_id").alias("doc_id"))
+    first = stage_table(first, "jaccard-classes")
     left = _shingled(first.where("early").select(F.col("doc_id").alias("a"), "surface"), "a", F.col("surface"))
     right = _shingled(first.where("late").select(F.col("doc_id").alias("b"), "surface"), "b", F.col("surface"))
     return near_dup.jaccard_pairs(left, right, 0.9).where("a <> b")
