@@ -7,15 +7,19 @@ true negative, and stays in the denominator of accuracy. Undefined ratios are nu
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from math import exp, factorial
+from collections.abc import Iterator, Sequence
+from math import exp, lgamma, log, sqrt
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.scalars import seeded_hash
 
 EPSILON = 1e-15
+#: Rows that one bootstrap draw stands for, at most.
+CHUNK = 4096
 
 
 def _r(value: Column) -> Column:
@@ -173,26 +177,41 @@ def horvitz_thompson_recall(rows: DataFrame, hit: str, inside: str, probability:
     return out.select(_r(F.col("inside")).alias("inside"), _r(F.col("outside")).alias("outside"), _r(F.try_divide(F.col("inside"), F.col("inside") + F.col("outside"))).alias("recall"))
 
 
-def poisson_steps() -> list[int]:
-    """32-bit numbers from which a Poisson draw of mean 1 is at least 1, 2, ... 10."""
-    return [int((1 << 32) * sum(exp(-1) / factorial(j) for j in range(k + 1))) for k in range(10)]
+def poisson_steps(mean: int, bits: int = 52) -> tuple[int, list[int]]:
+    """The least number of a Poisson draw that matters, and the uniform numbers of ``bits`` bits from which it is one more, and so on."""
+    reach = int(8 * sqrt(mean)) + 8
+    low, total, steps = max(0, mean - reach), 0.0, []
+    for k in range(low, mean + reach):
+        total += exp(k * log(mean) - mean - lgamma(k + 1))
+        steps.append(int(min(total, 1.0) * (1 << bits)))
+    return low, steps
 
 
-def bootstrap_interval(rows: DataFrame, key: str, value: str, replicates: int, seed: str) -> DataFrame:
+def bootstrap_interval(rows: DataFrame, value: str, replicates: int, seed: str, chunk: int = CHUNK) -> DataFrame:
     """Observed mean of ``value``, for a paired comparison each row's difference, and its percentile interval over resamples.
 
     In a replicate a row counts as often as a Poisson draw of mean 1 says, which is how often a row is drawn from
-    many. A draw is 32 bits of hash(seed, group, key), eight replicates to a group, so rows make their own draws: nothing is
-    joined, and sums by replicate combine before the shuffle.
+    many. Rows of one value then count as often as a single draw says whose mean is their number, so draws are made
+    for values, up to ``chunk`` rows at a time, not for rows, and nothing is joined. A draw is a hash of seed, replicate, value and chunk; sums by replicate combine before the shuffle.
     """
-    groups = rows.select(F.col(key).alias("_key"), F.col(value).cast("double").alias("_v"), F.explode(F.sequence(F.lit(0), F.lit(-(-replicates // 8) - 1))).alias("_g"))
-    hashed = groups.withColumn("_d", seeded_hash(seed, F.col("_g"), F.col("_key")))
-    eight = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.conv(F.substr("_d", k * 8 + 1, F.lit(8)), 16, 10).cast("long"))
-    draws = hashed.select("_g", "_v", F.posexplode(eight).alias("_k", "_u"))
-    times = F.lit(0)
-    for step in poisson_steps():
-        times = times + (F.col("_u") >= F.lit(step)).cast("int")
-    weighed = draws.select((F.col("_g") * 8 + F.col("_k")).alias("i"), "_v", times.alias("_w")).where(F.col("i") < replicates)
+    counted = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    parts = counted.select("_v", "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / chunk))).alias("_c"))
+    parts = parts.select("_v", "_c", F.least(F.lit(chunk).cast("long"), F.col("_n") - F.col("_c") * chunk).alias("_m"))
+    means = [r["_m"] for r in parts.select("_m").distinct().collect()]  # at most as many as a chunk has rows
+    steps = {m: (low, np.array(own)) for m in means for low, own in [poisson_steps(m)]}
+    drawn = parts.select("_v", "_c", "_m", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("i"))
+    uniform = F.conv(F.substring(seeded_hash(seed, F.col("i"), F.col("_v"), F.col("_c")), 1, 13), 16, 10).cast("long")
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, drawn_at = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            times = np.zeros(len(of), dtype=np.int64)
+            for m in np.unique(of).tolist():
+                low, own = steps[m]
+                times[of == m] = low + np.searchsorted(own, drawn_at[of == m], side="right")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(times)], names=["i", "_v", "_w"])
+
+    weighed = drawn.select("i", "_v", "_m", uniform.alias("_u")).mapInArrow(weigh, "i int, _v double, _w long")
     means = weighed.groupBy("i").agg(F.try_divide(F.sum(F.col("_v") * F.col("_w")), F.sum("_w")).alias("m"))
     ends = [_r(F.percentile("m", F.lit(q))).alias(n) for q, n in ((0.025, "low"), (0.5, "middle"), (0.975, "high"))]
     return rows.agg(_r(F.avg(value)).alias("observed")).crossJoin(means.agg(F.count("m").alias("replicates"), *ends))

@@ -153,7 +153,7 @@ def d30_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much more often a length rule is right on quality than the states are on theirs, document by document."""
     right = (F.col("n_chars") >= 2000) == F.col("ref")
     paired = right.cast("int") - F.coalesce(F.col("said") == F.col("state"), F.lit(False)).cast("int")
-    return evaluation.bootstrap_interval(rows(spark, sf_dir).select("doc_id", paired.alias("v")), "doc_id", "v", 10_000, "boot")
+    return evaluation.bootstrap_interval(rows(spark, sf_dir).select("doc_id", paired.alias("v")), "v", 10_000, "boot")
 
 
 def d31_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -330,9 +330,15 @@ SQL = {
         SELECT round(i, 6) AS inside, round(o, 6) AS outside, round(i / nullif(i + o, 0), 6) AS recall FROM s""",
     "d30_bootstrap": f"""WITH {_ROWS},
         x AS (SELECT doc_id, CAST((n_chars >= 2000) = ref AS INTEGER) - CAST(coalesce(said = state, FALSE) AS INTEGER) AS v FROM rows),
-        groups AS (SELECT g, v, sha256('boot' || chr(31) || g || chr(31) || doc_id) AS d FROM x, range(1250) t(g)),
-        draws AS (SELECT 8 * g + k AS i, v, ('0x' || substr(d, CAST(8 * k + 1 AS BIGINT), 8))::UBIGINT AS u FROM groups, range(8) t(k)),
-        weighed AS (SELECT i, v, {' + '.join(f"CAST(u >= {step} AS INTEGER)" for step in evaluation.poisson_steps())} AS w FROM draws),
+        counted AS (SELECT CAST(v AS DOUBLE) AS v, count(*) AS n FROM x GROUP BY v),
+        parts AS (SELECT v, c, least(4096, n - 4096 * c) AS m FROM counted, range(1000) t(c) WHERE 4096 * c < n),
+        spans AS (SELECT DISTINCT m, CAST(floor(8 * sqrt(m)) AS BIGINT) + 8 AS reach FROM parts),
+        ks AS (SELECT m, unnest(range(greatest(0, m - reach), m + reach)) AS k, greatest(0, m - reach) AS lowest FROM spans),
+        steps AS (
+            SELECT m, k, lowest, CAST(floor(least(1.0::DOUBLE, sum(exp(k * ln(m) - m - lgamma(k + 1))) OVER (PARTITION BY m ORDER BY k)) * 4503599627370496) AS BIGINT) AS step FROM ks),
+        draws AS (SELECT i, v, m, CAST(('0x' || left(sha256('boot' || chr(31) || i || chr(31) || v || chr(31) || c), 13))::UBIGINT AS BIGINT) AS u FROM parts, range(10000) t(i)),
+        weighed AS (
+            SELECT d.i, d.v, coalesce(t.k + 1, (SELECT min(lowest) FROM steps s WHERE s.m = d.m)) AS w FROM draws d ASOF LEFT JOIN steps t ON d.m = t.m AND d.u >= t.step),
         means AS (SELECT i, sum(v * w) / sum(w) AS m FROM weighed GROUP BY i)
         SELECT (SELECT round(avg(v), 6) FROM x) AS observed, count(m) AS replicates, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.5), 6) AS middle,
             round(quantile_cont(m, 0.975), 6) AS high FROM means""",

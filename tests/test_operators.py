@@ -367,7 +367,10 @@ def test_windows_close_behind_the_watermark(spark, tmp_path):
 def test_bootstrap_interval_brackets_the_mean(spark):
     rnd = random.Random(8)
     values = [rnd.choice([-1.0, 0.0, 0.0, 1.0, 1.0]) for _ in range(80)]
-    out = evaluation.bootstrap_interval(spark.createDataFrame(list(enumerate(values)), "k int, v double"), "k", "v", 2000, "s").first()
+    rows = spark.createDataFrame(list(enumerate(values)), "k int, v double")
+    out = evaluation.bootstrap_interval(rows, "v", 2000, "s").first()
+    apart = evaluation.bootstrap_interval(rows, "v", 2000, "s", chunk=1).first()
+    assert apart["low"] == pytest.approx(out["low"], abs=0.05) and apart["high"] == pytest.approx(out["high"], abs=0.05)
     mean = sum(values) / 80
     error = (sum((v - mean) ** 2 for v in values) / 80) ** 0.5 / 80**0.5
     assert out["observed"] == pytest.approx(mean, abs=1e-6) and out["replicates"] == 2000 and out["middle"] == pytest.approx(mean, abs=0.02)
