@@ -11,7 +11,7 @@ from tessella.functions.scalars import line_ends
 WINDOW_START, WINDOW_END = "2020-01-01 00:00:00", "2026-01-01 00:00:00"
 MALFORMED = "malformed_json"
 SCHEMA_VERSION, LANGUAGE_STATUS = "1.0.2", "unclassified"
-#: A canonical record's columns in order with their types.
+# A canonical record's columns in order with their types.
 RECORD = (
     ("schema_version", "string"), ("record_id", "string"), ("source_id", "string"), ("content_type", "string"), ("subreddit", "string"), ("stratum", "string"),
     ("created_utc", "timestamp"), ("year", "int"), ("month", "tinyint"), ("language_status", "string"), ("text", "string"), ("text_sha256", "string"),

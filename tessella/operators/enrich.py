@@ -20,7 +20,11 @@ def enrich(rows: DataFrame, lookup: DataFrame, key: str, lookup_key: str, add: S
 
 def integrity(rows: DataFrame, lookup: DataFrame, key: str, lookup_key: str, agree: Column | None = None) -> DataFrame:
     """One row of counters: input rows, null keys, unmatched rows, repeated lookup keys, mismatches among matches."""
-    per = lookup.groupBy(F.col(lookup_key).alias("_key")).agg(F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(f"_{c}") for c in lookup.columns if c != lookup_key])
+    others = [c for c in lookup.columns if c != lookup_key]
+    # Of rows that repeat a key the smallest speaks, in whatever order they lie.
+    least = [F.min(F.struct(*others)).alias("_row")] if others else []
+    per = lookup.groupBy(F.col(lookup_key).alias("_key")).agg(F.count(F.lit(1)).alias("_n"), *least)
+    per = per.select("_key", "_n", *[F.col("_row")[c].alias(f"_{c}") for c in others])
     joined = rows.join(per, F.col(key) == F.col("_key"), "left")
     wrong = ~F.coalesce(agree, F.lit(False)) & F.col("_n").isNotNull() if agree is not None else F.lit(False)
     return joined.agg(

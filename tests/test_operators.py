@@ -4,12 +4,14 @@ import hashlib
 import json
 import random
 from collections import Counter
+from pathlib import Path
 
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from tessella import staging
 from tessella.functions import scalars
 from tessella.operators import aggregates, canonical, components, decode, dedup, enrich, evaluation, lexical, near_dup, ranks, ratio, sampling, series, triage
 from tessella.plans import duplicates, samples
@@ -157,6 +159,28 @@ def test_checks_fail_closed(spark):
         triage.assert_public(rows.select(F.struct(F.col("id").alias("author")).alias("x")))
 
 
+def test_integrity_does_not_depend_on_the_order_of_rows(spark):
+    rows = spark.createDataFrame([(1, "x"), (2, "y"), (3, "z"), (None, "x")], "k int, v string")
+    lookup = spark.createDataFrame([(1, "x"), (1, "a"), (2, "y")], "id int, w string")
+    for own in (lookup.coalesce(1), lookup.orderBy("w").coalesce(1)):
+        assert tuple(enrich.integrity(rows, own, "k", "id", F.col("v") == F.col("_w")).first()) == (4, 1, 2, 1, 1)
+
+
+def test_staged_tables_go(spark):
+    kept = staging.stage_table(spark.range(5), "kept")
+    folder = Path(staging.staging_root(spark).removeprefix("file://"))
+    names = lambda: {p.name.split("-")[0] for p in folder.iterdir()}
+
+    def made():
+        inner = staging.stage_table(kept, "inner")
+        return inner.join(staging.stage_result(lambda: staging.stage_table(inner, "deeper"), "deep"), "id")
+
+    out = staging.stage_result(made, "whole")
+    assert out.count() == 5 and {"kept", "whole"} <= names() and not names() & {"inner", "deep", "deeper"}
+    staging.unstage(out, kept, spark.range(1))
+    assert not names() & {"kept", "whole"}
+
+
 def test_unchanged_counts_differences(spark):
     a = spark.createDataFrame([(1, "x"), (1, "x"), (2, None)], "k int, v string")
     b = spark.createDataFrame([(1, "x"), (2, None), (3, "y")], "k int, v string")
