@@ -73,7 +73,7 @@ def hash_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Crf:
-    """Weights of a trained model; ``scores`` remembers words it has met, up to a bound."""
+    """Weights of a trained model; ``table`` remembers the potentials of words it has met, up to a bound."""
 
     languages: list[str]
     lexicon: dict[str, int]
@@ -105,7 +105,7 @@ class Crf:
             new.update(words)
         new = list(new.difference(self.known))
         if new:
-            fresh = np.concatenate([self.word_scores(new[k : k + 50_000]) for k in range(0, len(new), 50_000)])
+            fresh = np.concatenate([_potentials(self.word_scores(new[k : k + 50_000])) for k in range(0, len(new), 50_000)])
             self.known.update(zip(new, range(len(self.table), len(self.table) + len(new)), strict=True))
             self.table = np.concatenate([self.table, fresh])
         get = self.known.__getitem__
@@ -122,14 +122,14 @@ class Crf:
         rank = np.empty(len(order), dtype=np.int64)
         rank[order] = np.arange(len(order))
         at = offsets[ragged_arange(lengths)] + np.repeat(rank, lengths)
-        score = np.empty((len(at), len(self.languages)), dtype=np.float32)
-        score[at] = flat
-        joint = _forward_backward(score, offsets.tolist(), active.tolist(), self.moves, self.first)
-        return [joint[at[s : s + n]] for s, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
+        local = np.empty((len(at), len(self.languages)), dtype=np.float32)
+        local[at] = flat
+        joint = _forward_backward(local, offsets.tolist(), active.tolist(), self.moves, self.first)
+        return [joint.take(at[s : s + n], axis=0) for s, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
 
     def table_rows(self, texts: list[list[str]]) -> np.ndarray:
         at = self.lookup(texts)
-        return self.table[at]
+        return self.table.take(at, axis=0)
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         cut = [words_of(t) if t else [] for t in texts]
@@ -143,27 +143,32 @@ class Crf:
         return out
 
 
-def _forward_backward(score: np.ndarray, offsets: list[int], active: list[int], moves: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Posteriors of ragged sequences laid out step by step, longest sequence first within a step."""
-    local = np.exp(score - score.max(axis=1, keepdims=True))
+def _potentials(score: np.ndarray) -> np.ndarray:
+    """Scores as factors, the largest of a word 1; taken once a distinct word, as there are far fewer of them than words."""
+    return np.exp(score - score.max(axis=1, keepdims=True))
+
+
+def _forward_backward(local: np.ndarray, offsets: list[int], active: list[int], moves: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Posteriors of ragged sequences, given potentials laid out step by step, longest sequence first within a step."""
+    ones = np.ones((local.shape[1], 1), dtype=local.dtype)  # a product with it adds up short rows faster than a sum does
     step = np.exp(moves - moves.max()).astype(np.float32)
     ahead = np.empty_like(local)
     a = local[: active[0]] * np.exp(first - first.max()).astype(np.float32)
-    ahead[: active[0]] = a = a / a.sum(axis=1, keepdims=True)
+    ahead[: active[0]] = a = a / (a @ ones)
     for o, n in zip(offsets[1:], active[1:], strict=True):
         a = (a[:n] @ step) * local[o : o + n]
-        a /= a.sum(axis=1, keepdims=True)
+        a /= a @ ones
         ahead[o : o + n] = a
     back, joint = step.T.copy(), ahead
     b = np.ones((active[-1], local.shape[1]), dtype=np.float32)
     for t in range(len(active) - 2, -1, -1):
         n, o, after = active[t], offsets[t], active[t + 1]
         b = (b * local[o + n : o + n + after]) @ back
-        b /= b.sum(axis=1, keepdims=True)
+        b /= b @ ones
         joint[o : o + after] *= b
         if n > after:
             b = np.concatenate([b, np.ones((n - after, local.shape[1]), dtype=np.float32)])
-    joint /= joint.sum(axis=1, keepdims=True)
+    joint /= joint @ ones
     return joint
 
 
@@ -213,8 +218,8 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Crf:
     steps = offsets.tolist(), active.tolist()
     for step in range(1, STEPS + 1):
         emitted = np.stack([np.bincount(of, model.grams[features, k], minlength=len(vocabulary)) for k in range(n)], axis=1) + member @ model.listed
-        score = emitted.astype(np.float32)[word]
-        joint, first_moves = _expectations(score, *steps, model.moves, model.first)
+        local = _potentials(emitted.astype(np.float32)).take(word, axis=0)
+        joint, first_moves = _expectations(local, *steps, model.moves, model.first)
         error = truth - np.stack([np.bincount(word, joint[:, k], minlength=len(vocabulary)) for k in range(n)], axis=1)
         slopes = [
             np.stack([np.bincount(features, error[of, k], minlength=WIDTH) for k in range(n)], axis=1),
@@ -230,27 +235,27 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Crf:
     return model
 
 
-def _expectations(score: np.ndarray, offsets: list[int], active: list[int], moves: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word posteriors, as precise as the scores, and the expected number of each transition."""
-    local = np.exp(score - score.max(axis=1, keepdims=True))
-    step = np.exp(moves).astype(score.dtype)
+def _expectations(local: np.ndarray, offsets: list[int], active: list[int], moves: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word posteriors, as precise as the potentials, and the expected number of each transition."""
+    ones = np.ones((local.shape[1], 1), dtype=local.dtype)
+    step = np.exp(moves).astype(local.dtype)
     ahead, behind = np.empty_like(local), np.ones_like(local)
-    a = local[: active[0]] * np.exp(first).astype(score.dtype)
-    ahead[: active[0]] = a = a / a.sum(axis=1, keepdims=True)
+    a = local[: active[0]] * np.exp(first).astype(local.dtype)
+    ahead[: active[0]] = a = a / (a @ ones)
     for o, n in zip(offsets[1:], active[1:], strict=True):
         a = (a[:n] @ step) * local[o : o + n]
-        ahead[o : o + n] = a = a / a.sum(axis=1, keepdims=True)
+        ahead[o : o + n] = a = a / (a @ ones)
     expected = np.zeros_like(moves)
     for t in range(len(active) - 2, -1, -1):
         o, after, p = offsets[t], active[t + 1], offsets[t + 1]
         right = behind[p : p + after] * local[p : p + after]
         b = right @ step.T
         # The pair's joint posterior is ahead * step * right, each row scaled to sum to 1.
-        total = (ahead[o : o + after] * b).sum(axis=1, keepdims=True)
+        total = (ahead[o : o + after] * b) @ ones
         expected += step * (ahead[o : o + after].T @ (right / total))
-        behind[o : o + after] = b / b.sum(axis=1, keepdims=True)
+        behind[o : o + after] = b / (b @ ones)
     ahead *= behind
-    ahead /= ahead.sum(axis=1, keepdims=True)
+    ahead /= ahead @ ones
     return ahead, expected
 
 

@@ -130,9 +130,9 @@ def test_forward_backward_matches_enumeration():
         for t, y in enumerate(path):
             mass[t, y] += p
     wanted = mass / mass.sum(axis=1, keepdims=True)
-    got = language_crf._forward_backward(score.astype(np.float32), [0, 1, 2, 3], [1, 1, 1, 1], moves, first)
+    got = language_crf._forward_backward(language_crf._potentials(score.astype(np.float32)), [0, 1, 2, 3], [1, 1, 1, 1], moves, first)
     assert np.allclose(got, wanted, atol=1e-4)
-    joint, pairs = language_crf._expectations(score, [0, 1, 2, 3], [1, 1, 1, 1], moves, first)
+    joint, pairs = language_crf._expectations(language_crf._potentials(score), [0, 1, 2, 3], [1, 1, 1, 1], moves, first)
     assert np.allclose(joint, wanted, atol=1e-6) and pairs.sum() == pytest.approx(3)
 
 
