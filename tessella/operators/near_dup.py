@@ -23,6 +23,8 @@ MIN_CHARS, MAX_BITS, RATIO_LOW, RATIO_HIGH = 80, 3, 0.8, 1.25
 COMMON = 100_000
 #: Shingles that are counted at a time, and the number beyond which one is reported: the order must be one for all sets, not exact.
 STRETCH, SEVERAL = 2_000_000, 2
+#: Buckets of at most so many rows are compared at once, larger ones breadth first.
+FEW = 16
 
 
 def simhash_of(surface: str) -> int:
@@ -57,6 +59,17 @@ def prints_near(a: tuple[int, int], b: tuple[int, int]) -> bool:
     return ((a[0] ^ b[0]) & ((1 << 64) - 1)).bit_count() <= MAX_BITS
 
 
+def _keyed(rows: DataFrame, blocks: int) -> DataFrame:
+    """``rows(id, print, chars)`` under each of their join keys ``band, value``."""
+    edges = [64 * k // blocks for k in range(blocks + 1)]
+    masks = []
+    for choice in combinations(range(blocks), blocks - MAX_BITS):
+        mask = sum(((1 << (edges[k + 1] - edges[k])) - 1) << edges[k] for k in choice)
+        masks.append(mask - (1 << 64) if mask >> 63 else mask)
+    keys = F.transform(F.array(*[F.lit(m) for m in masks]), lambda m: F.col("print").bitwiseAND(m))
+    return rows.select("id", "print", "chars", F.posexplode(keys).alias("band", "value"))
+
+
 def near_pairs(rows: DataFrame, blocks: int = 6) -> DataFrame:
     """Pairs ``(a, b)``, a < b, within ``MAX_BITS`` of each other, from ``rows(id, print, chars)``.
 
@@ -64,14 +77,7 @@ def near_pairs(rows: DataFrame, blocks: int = 6) -> DataFrame:
     that differ in 3 bits agree in all but 3 of them, so every choice of ``blocks - 3`` is a join key. Six
     blocks make 20 keys of about 32 bits, which stay selective for billions of rows; four make 4 keys of 16.
     """
-    edges = [64 * k // blocks for k in range(blocks + 1)]
-    masks = []
-    for choice in combinations(range(blocks), blocks - MAX_BITS):
-        mask = sum(((1 << (edges[k + 1] - edges[k])) - 1) << edges[k] for k in choice)
-        masks.append(mask - (1 << 64) if mask >> 63 else mask)
-    long_enough = rows.where(F.col("chars") >= MIN_CHARS)
-    keys = F.transform(F.array(*[F.lit(m) for m in masks]), lambda m: F.col("print").bitwiseAND(m))
-    keyed = long_enough.select("id", "print", "chars", F.posexplode(keys).alias("band", "value"))
+    keyed = _keyed(rows.where(F.col("chars") >= MIN_CHARS), blocks)
     other = keyed.select(F.col("id").alias("id2"), F.col("print").alias("print2"), F.col("chars").alias("chars2"), "band", "value")
     ratio = F.col("chars") / F.col("chars2")
     near = (F.bit_count(F.col("print").bitwiseXOR(F.col("print2"))) <= MAX_BITS) & ratio.between(RATIO_LOW, RATIO_HIGH)
@@ -79,9 +85,81 @@ def near_pairs(rows: DataFrame, blocks: int = 6) -> DataFrame:
     return met.select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
 
 
-def near_clusters(rows: DataFrame, pairs: DataFrame, order: str) -> DataFrame:
+def _near_rows(prints: np.ndarray, chars: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    ratio = chars[a] / chars[b]
+    return (np.bitwise_count((prints[a] ^ prints[b]).view(np.uint64)) <= MAX_BITS) & (ratio >= RATIO_LOW) & (ratio <= RATIO_HIGH)
+
+
+def _reached(prints: np.ndarray, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a bucket breadth first; rows that were reached are compared with no further ones."""
+    free, left, right = np.arange(len(prints)), [], []
+    while len(free):
+        front, free = [free[0]], free[1:]
+        while front and len(free):
+            own = front.pop()
+            hit = _near_rows(prints, chars, np.array([own]), free)
+            found, free = free[hit], free[~hit]
+            left.append(np.full(len(found), own))
+            right.append(found)
+            front.extend(found.tolist())
+    none = np.zeros(0, dtype=np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
+
+
+def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links within buckets, from rows ``band, value, id, print, chars`` sorted by the first two."""
+
+    def links(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
+        band, value, ids, prints, chars = (np.concatenate(c) for c in zip(*parts, strict=True))
+        starts = np.flatnonzero(np.concatenate([[True], (band[1:] != band[:-1]) | (value[1:] != value[:-1])]))
+        sizes = np.diff(np.append(starts, len(ids)))
+        # Rows of small buckets are compared with those that follow, all buckets at once.
+        later = np.repeat(starts + sizes, sizes) - np.arange(len(ids)) - 1
+        later[np.repeat(sizes > FEW, sizes)] = 0
+        a = np.repeat(np.arange(len(ids)), later)
+        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(later) - later, later)
+        near = _near_rows(prints, chars, a, b)
+        left, right = [a[near]], [b[near]]
+        for k in np.flatnonzero(sizes > FEW).tolist():
+            whole = slice(starts[k], starts[k] + sizes[k])
+            x, y = _reached(prints[whole], chars[whole])
+            left.append(x + starts[k])
+            right.append(y + starts[k])
+        return pa.RecordBatch.from_arrays([pa.array(ids[np.concatenate(left)]), pa.array(ids[np.concatenate(right)])], names=["a", "b"])
+
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [c.to_numpy() for c in batch.columns]
+        band, value = columns[:2]
+        cut = int(np.argmax((band == band[-1]) & (value == value[-1])))
+        if held and (cut or held[-1][0][-1] != band[-1] or held[-1][1][-1] != value[-1]):
+            yield links([*held, [c[:cut] for c in columns]])
+            held, columns = [], [c[cut:] for c in columns]
+        held.append(columns)
+    if held:
+        yield links(held)
+
+
+def near_links(rows: DataFrame, blocks: int = 6) -> DataFrame:
+    """Links ``(a, b)`` that connect whatever ``near_pairs`` connects, without all pairs of a group.
+
+    Rows equal in print and length, near by rule, are linked to the smallest id of them and only that goes on. What
+    shares a key of ``near_pairs`` is searched breadth first, so a dense group costs about its size and gives fewer links
+    than it has rows, or ``FEW`` / 2 a row at most if it is small. A key's distinct prints and lengths meet in one task.
+    """
+    long_enough = rows.where(F.col("chars") >= MIN_CHARS)
+    entries = stage_table(long_enough.groupBy("print", "chars").agg(F.min("id").alias("id")), "near-entries")
+    copies = long_enough.select(F.col("id").alias("b"), "print", "chars").join(entries.withColumnRenamed("id", "a"), ["print", "chars"])
+    dealt = _keyed(entries, blocks).select("band", "value", "id", "print", "chars").repartition("band", "value").sortWithinPartitions("band", "value")
+    kind = dict(rows.dtypes)["id"]
+    return dealt.mapInArrow(_bucket_links, f"a {kind}, b {kind}").unionByName(copies.where("a <> b").select("a", "b"))
+
+
+def near_clusters(rows: DataFrame, links: DataFrame, order: str) -> DataFrame:
     """``(id, representative)`` for all ``rows(id, <order>)``: of each component the member with the smallest ``order``."""
-    roots = connected_components(pairs)
+    roots = connected_components(links)
     labelled = rows.join(roots, F.col("id") == F.col("node"), "left").select("id", order, F.coalesce("root", "id").alias("root"))
     best = labelled.groupBy(F.col("root").alias("of")).agg(F.min_by("id", order).alias("representative"))
     return labelled.join(best, F.col("root") == F.col("of")).select("id", "representative")

@@ -129,13 +129,13 @@ def c18_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def c19_near_dup_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = _prints(spark, sf_dir)
-    return near_dup.near_clusters(prints, near_dup.near_pairs(prints), "order")
+    return near_dup.near_clusters(prints, near_dup.near_links(prints), "order")
 
 
 def c19_document_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row per document: of its cluster, all copies included, the document that is first by hash."""
     prints = _prints(spark, sf_dir)
-    clusters = near_dup.near_clusters(prints, near_dup.near_pairs(prints), "order").withColumnRenamed("representative", "cluster")
+    clusters = near_dup.near_clusters(prints, near_dup.near_links(prints), "order").withColumnRenamed("representative", "cluster")
     rows = stage_table(c18_members(spark, sf_dir).join(clusters, "id").select("doc_id", "cluster"), "members")
     ordered = rows.withColumn("order", seeded_hash(SEED, F.col("doc_id")))
     best = ordered.groupBy("cluster").agg(F.min_by("doc_id", F.struct("order", "doc_id")).alias("representative"))
@@ -145,7 +145,7 @@ def c19_document_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def c23_keep_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class representatives joined with the list of those that stand for their cluster."""
     prints = _prints(spark, sf_dir)
-    keep = near_dup.near_clusters(prints, near_dup.near_pairs(prints), "order").select(F.col("representative").alias("id")).distinct()
+    keep = near_dup.near_clusters(prints, near_dup.near_links(prints), "order").select(F.col("representative").alias("id")).distinct()
     return prints.join(keep, "id").select("id", "members", "chars")
 
 

@@ -86,6 +86,47 @@ def test_near_pairs_match_brute_force(spark):
         assert {(r["a"], r["b"]) for r in got.collect()} == brute and brute
 
 
+def test_near_links_connect_what_pairs_connect(spark):
+    """Dense and sparse groups, equal prints of equal and different lengths, buckets over several batches."""
+    rnd = random.Random(6)
+    words = [rnd.getrandbits(64) for _ in range(20)]
+    words += [words[0] ^ sum(1 << x for x in rnd.sample(range(12), rnd.randrange(4))) for _ in range(150)]
+    words += [w ^ sum(1 << x for x in rnd.sample(range(64), k)) for w in words[1:20] for k in (0, 2, 4)] + [words[5]] * 60
+    rows = [(i * 7, w - (1 << 64) if w >> 63 else w, rnd.choice([70, 90, 100, 115, 200, 320])) for i, w in enumerate(words)]
+    near = lambda a, b: near_dup.prints_near((a[1], a[2]), (b[1], b[2]))
+    graph = {a[0]: {b[0] for b in rows if a[0] != b[0] and near(a, b)} for a in rows}
+
+    def groups(links):
+        seen, out = set(), set()
+        for start in links:
+            if start not in seen:
+                group, front = {start}, [start]
+                while front:
+                    new = links[front.pop()] - group
+                    group |= new
+                    front += new
+                seen |= group
+                out.add(frozenset(group))
+        return out
+
+    frame = spark.createDataFrame(rows, "id long, print long, chars int")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for batch in ("7", before):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+            for blocks in (4, 6):
+                got = {k: set() for k in graph}
+                found = near_dup.near_links(frame, blocks).collect()
+                for r in found:
+                    assert r["b"] in graph[r["a"]]
+                    got[r["a"]].add(r["b"])
+                    got[r["b"]].add(r["a"])
+                assert groups(got) == groups(graph) and max(map(len, groups(got))) > 16
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert near_dup.near_links(frame.limit(0)).count() == 0
+
+
 def test_jaccard_matches_brute_force(spark):
     rnd = random.Random(2)
     base = [[str(rnd.randrange(30)) for _ in range(20)] for _ in range(5)]
