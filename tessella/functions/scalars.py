@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def rounded(value: Column, digits: int = 6) -> Column:
@@ -26,6 +30,39 @@ def surface(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
 
 
+def casefolded(text: Column) -> Column:
+    """Full Unicode case folding, so that the sharp s is ss and a final sigma a sigma; without a UDF.
+
+    Lower case of upper case, with what that leaves apart. Equal to Python's ``casefold`` for every code point of one
+    Unicode version but the dotless i, which becomes i, and Cherokee, which folds to its small letters (``fold_phrase`` does the same).
+    """
+    ascii_only = F.octet_length(text) == F.char_length(text)
+    # The inner translations also keep the optimiser from merging the two case mappings into one.
+    upper = F.translate(F.upper(F.translate(text, "\u1e9e", "\u00df")), "\u0345", "\u0399")
+    return F.when(ascii_only, F.lower(text)).otherwise(F.translate(F.lower(upper), "\u03c2", "\u03c3"))
+
+
+def fold_phrase(phrase: str) -> str:
+    """``casefolded`` for a phrase given in code."""
+    return phrase.casefold().lower()
+
+
+@F.pandas_udf(StringType())
+def _compatible(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+
+
+def nfkc(text: Column) -> Column:
+    """Unicode normal form KC. ASCII texts are in it already and never leave the JVM; the others go in Arrow batches."""
+    other = F.octet_length(text) != F.char_length(text)
+    return F.coalesce(_compatible(F.when(other, text)), text)
+
+
+def folded_surface(text: Column) -> Column:
+    """Compatible characters as one, case folded, runs of Unicode white space as one space, ends stripped."""
+    return F.trim(F.regexp_replace(casefolded(nfkc(text)), r"(?U)\s+", " "))
+
+
 def seeded_hash(seed: str, *parts: Column) -> Column:
     """Hex SHA-256 of the seed and the parts, joined by the unit separator."""
     return F.sha2(F.concat_ws("\x1f", F.lit(seed), *[p.cast("string") for p in parts]), 256)

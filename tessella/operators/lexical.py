@@ -9,12 +9,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions.scalars import casefolded, fold_phrase
+
 _EDGE = "A-Za-z0-9_"
 
 
@@ -27,9 +29,14 @@ class Term:
     unless: tuple[str, ...] = ()
 
 
-def folded(text: Column) -> Column:
-    """Lower case with dotted and dotless I as i, white space as single spaces."""
-    return F.trim(F.regexp_replace(F.lower(F.translate(text, "İı", "ii")), r"(?U)\s+", " "))
+def folded(text: Column, full: bool = False) -> Column:
+    """Lower case, or ``full`` case folding, with dotted and dotless I as i, white space as single spaces."""
+    plain = F.translate(text, "İı", "ii")
+    return F.trim(F.regexp_replace(casefolded(plain) if full else F.lower(plain), r"(?U)\s+", " "))
+
+
+def _folded_terms(terms: Sequence[Term]) -> list[Term]:
+    return [replace(t, phrase=fold_phrase(t.phrase), unless=tuple(map(fold_phrase, t.unless))) for t in terms]
 
 
 def _literal(phrase: str) -> str:
@@ -53,9 +60,11 @@ def matches(text: Column, term: Term) -> Column:
     return masked.rlike(_bounded(term.phrase))
 
 
-def hits(rows: DataFrame, text: str, terms: Sequence[Term], excluded: Sequence[str] = ()) -> DataFrame:
+def hits(rows: DataFrame, text: str, terms: Sequence[Term], excluded: Sequence[str] = (), full: bool = False) -> DataFrame:
     """``rows`` with ``term_ids``, the sorted ids of matching terms; none for a text equal to an excluded one."""
-    low = folded(F.col(text))
+    low = folded(F.col(text), full)
+    if full:
+        terms, excluded = _folded_terms(terms), [fold_phrase(e) for e in excluded]
     found = F.array_compact(F.array(*[F.when(matches(F.col("_folded"), t), F.lit(t.term_id)) for t in terms]))
     ids = F.array_sort(F.array_distinct(found))
     if excluded:
@@ -63,10 +72,13 @@ def hits(rows: DataFrame, text: str, terms: Sequence[Term], excluded: Sequence[s
     return rows.withColumn("_folded", low).withColumn("term_ids", ids).drop("_folded")
 
 
-def hits_by_automaton(rows: DataFrame, key: str, text: str, terms: Sequence[Term]) -> DataFrame:
+def hits_by_automaton(rows: DataFrame, key: str, text: str, terms: Sequence[Term], full: bool = False) -> DataFrame:
     """``(key, term_ids)`` by one Aho-Corasick pass over each text: for hundreds of terms."""
     import ahocorasick
 
+    if full:
+        terms = _folded_terms(terms)
+
     automaton = ahocorasick.Automaton()
     by_phrase: dict[str, list[Term]] = {}
     for t in terms:
@@ -95,4 +107,4 @@ def hits_by_automaton(rows: DataFrame, key: str, text: str, terms: Sequence[Term
             yield pd.DataFrame({key: batch[key], "term_ids": [found(t) for t in batch["low"]]})
 
     kind = dict(rows.dtypes)[key]
-    return rows.select(key, F.coalesce(folded(F.col(text)), F.lit("")).alias("low")).mapInPandas(match, f"{key} {kind}, term_ids array<string>")
+    return rows.select(key, F.coalesce(folded(F.col(text), full), F.lit("")).alias("low")).mapInPandas(match, f"{key} {kind}, term_ids array<string>")

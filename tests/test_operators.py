@@ -3,6 +3,7 @@
 import hashlib
 import json
 import random
+import unicodedata
 from collections import Counter
 from pathlib import Path
 
@@ -137,6 +138,30 @@ def test_jaccard_matches_brute_force(spark):
     assert {(r["a"], r["b"]) for r in got.collect()} == brute
 
 
+def test_case_folding_is_full(spark):
+    points = [chr(c) for c in range(1, 0x30000) if unicodedata.category(chr(c)) not in ("Cs", "Cn")]  # the JVM may know newer letters
+    rows = spark.createDataFrame([(c,) for c in [*points, "Straße ΟΔΟΣ ﬁn", "", None]], "s string")
+    for r in rows.select("s", scalars.casefolded(F.col("s")).alias("got")).collect():
+        if r["s"] is None:
+            assert r["got"] is None
+        elif r["s"] != "\u0131":
+            assert r["got"] == scalars.fold_phrase(r["s"]), hex(ord(r["s"][0]))
+
+
+def test_compatible_surface(spark):
+    texts = ["Ｆｕｌｌ  ｗｉｄｔｈ", "ﬁ ① x²", " plain\tASCII ", "e\u0301\u00a0Ä", "", None]
+    got = [r[0] for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, s string").orderBy("k").select(scalars.folded_surface(F.col("s"))).collect()]
+    assert got == [None if t is None else " ".join(unicodedata.normalize("NFKC", t).casefold().split()) for t in texts]
+
+
+def test_terms_match_folded_text(spark):
+    rows = spark.createDataFrame([(1, "Die STRASSE"), (2, "die Straße"), (3, "die Strase")], "id long, text string")
+    for term in ("Straße", "strasse"):
+        terms = [lexical.Term("s", term)]
+        for out in (lexical.hits(rows, "text", terms, full=True), lexical.hits_by_automaton(rows, "id", "text", terms, full=True)):
+            assert [r["term_ids"] for r in out.orderBy("id").collect()] == [["s"], ["s"], []]
+
+
 def test_lexical_edges(spark):
     terms = [lexical.Term("it", "it is"), lexical.Term("us", "us", ("contact us",)), lexical.Term("zh", "zh")]
     texts = ["It \n IS", "it_is it is9", "contact us", "contact us or us", "你zh好", None, "", "İT is"]
