@@ -43,7 +43,7 @@ def value_rank(rows: DataFrame, groups: Sequence[str], value: str, tie: str, nam
     return _ranked(rows.withColumn("_bucket", above), groups, [F.col(value).desc(), F.col(tie)], name)
 
 
-def positions(rows: DataFrame, key: str, ranges: int | None = None, name: str = "position") -> DataFrame:
+def positions(rows: DataFrame, key: str | Column, ranges: int | None = None, name: str = "position") -> DataFrame:
     """Zero-based position in the order of a key.
 
     Rows are dealt into ranges of the key, as many as their number asks for, sorted and staged; a staged row's

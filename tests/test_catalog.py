@@ -36,6 +36,15 @@ def test_matches_duckdb(spark, duck, name):
     assert got == sorted(map(repr, wanted))
 
 
+@pytest.mark.parametrize("keys", ["CASE WHEN id % 400 > 0 THEN (id * 700001) % 1003007 END AS o_orderkey FROM range(1003007) t(id)", "id AS o_orderkey FROM range(0) t(id)"])
+def test_sequence_digest_of_more_than_a_thousand_chunks(spark, tmp_path, keys):
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT {keys}) TO '{tmp_path}/orders.parquet'")
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet'")
+    got = QUERIES["d36_sequence_digest"](spark, str(tmp_path)).select("chunks", "digest").collect()
+    assert [tuple(r) for r in got] == con.sql(f"SELECT chunks, digest FROM ({SQL['d36_sequence_digest']})").fetchall()
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, name):
     assert QUERIES[name](spark, str(DATA)).count() > 0

@@ -492,6 +492,16 @@ def test_long_sequences_are_digested_in_rounds(spark):
     assert (out["chunks"], out["digest"]) == (250, level[0])
 
 
+def test_digests_of_chunks_meet_in_one_digest(spark):
+    values = [None if 40 <= k < 60 or k == 7 else f"v{k}" for k in range(2500)]
+    sha = lambda found: hashlib.sha256(",".join(found).encode()).hexdigest()
+    chunks = [[v for v in values[k : k + 10] if v] for k in range(0, 2500, 10)]
+    rows = spark.createDataFrame(list(enumerate(values)), "p long, v string").repartition(7)
+    assert tuple(aggregates.two_level_digest(rows, "p", "v", 10).first()) == (250, sha([sha(c) for c in chunks if c]))
+    assert tuple(aggregates.two_level_digest(rows.where("v IS NULL AND p >= 50 AND p < 60"), "p", "v", 10).first()) == (1, None)
+    assert tuple(aggregates.two_level_digest(rows.where("p < 0"), "p", "v", 10).first()) == (0, None)
+
+
 def test_receipts_conserve(spark):
     rows = spark.createDataFrame([("a", None), ("a", "x"), ("b", "x"), ("b", "y")], "file string, reason string")
     receipts = sinks.receipt(rows, "file")
