@@ -118,20 +118,23 @@ def binary_entropy(p: Column) -> Column:
 
 
 def entropy(distribution: Column) -> Column:
-    """Entropy of a distribution divided by the log of its width."""
-    terms = F.aggregate(distribution, F.lit(0.0), lambda a, x: a + F.when(x > 0, x * F.ln(x)).otherwise(0.0))
+    """Entropy of a distribution divided by the log of its width; null if a part is null."""
+    terms = F.aggregate(distribution, F.lit(0.0), lambda a, x: a + F.when(x <= 0, 0.0).otherwise(x * F.ln(x)))
     return -terms / F.ln(F.size(distribution))
 
 
 def jensen_shannon(distributions: Column) -> Column:
-    """Jensen-Shannon divergence of an array of distributions over its largest possible value."""
+    """Jensen-Shannon divergence of an array of distributions over its largest possible value.
+
+    A part so small that its mean underflows to zero adds nothing.
+    """
     n, width = F.size(distributions), F.size(F.get(distributions, F.lit(0)))
     means = F.transform(
         F.sequence(F.lit(0), width - 1),
         lambda k: F.aggregate(distributions, F.lit(0.0), lambda a, d: a + F.get(d, k)) / n,
     )
     one = lambda d: F.aggregate(
-        F.zip_with(d, means, lambda x, m: F.when(x > 0, x * F.ln(x / m)).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x
+        F.zip_with(d, means, lambda x, m: F.when((x > 0) & (m > 0), x * F.ln(x / m)).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x
     )
     total = F.aggregate(distributions, F.lit(0.0), lambda a, d: a + one(d))
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), total / n / F.ln(F.least(n, width))))

@@ -45,6 +45,22 @@ def test_sequence_digest_of_more_than_a_thousand_chunks(spark, tmp_path, keys):
     assert [tuple(r) for r in got] == con.sql(f"SELECT chunks, digest FROM ({SQL['d36_sequence_digest']})").fetchall()
 
 
+def test_uncertainty_of_certain_and_of_missing_scores(spark, tmp_path):
+    """The SQL takes 0 * ln(0), which is NaN, where a probability is exactly 0 or 1; the entropy there is 0."""
+    lengths = "[NULL, 0, 2000, 5000, 57000, 61746, 600000, 800000, 1119200, 5000000]"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW given AS SELECT generate_subscripts({lengths}, 1) AS doc_id, unnest({lengths})::BIGINT AS n_chars")
+    con.execute(f"COPY (SELECT doc_id, 'x' AS text, 'en' AS lang, 's' AS source, n_chars FROM given) TO '{tmp_path}/documents.parquet'")
+    con.execute(f"COPY (SELECT doc_id, 1 AS quality, 0 AS toxic FROM given) TO '{tmp_path}/labels.parquet'")
+    for name in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    relation = con.sql(SQL["d40_uncertainty"])
+    got = sorted(tuple(r) for r in QUERIES["d40_uncertainty"](spark, str(tmp_path)).select(*relation.columns).collect())
+    wanted = sorted(tuple(0.0 if v != v else v for v in r) for r in relation.fetchall())
+    assert got == wanted
+    assert got[0][1:3] == (None, None) and got[5][1:3] == (0.0, 0.0)
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, name):
     assert QUERIES[name](spark, str(DATA)).count() > 0
