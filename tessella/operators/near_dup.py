@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import sha256
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
@@ -23,6 +24,16 @@ MIN_CHARS, MAX_BITS, RATIO_LOW, RATIO_HIGH = 80, 3, 0.8, 1.25
 COMMON = 100_000
 #: Shingles that are counted at a time, and the number beyond which one is reported: the order must be one for all sets, not exact.
 STRETCH, SEVERAL = 2_000_000, 2
+#: Tokens of an array of texts or lists, and the row of each.
+Tokens = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
+#: Shorter texts have no shingles.
+MIN_SHINGLED = 30
+#: Texts are made into sets in slices of about this many bytes.
+SLICE_BYTES = 2 << 20
+#: Ids and tokens of a block, of which two make a tile.
+TILE_ROWS, TILE_TOKENS = 512, 250_000
+#: A bitmap of ids has 2 to this many slots.
+SLOT_BITS = 25
 #: Buckets of at most so many rows are compared at once, larger ones breadth first.
 FEW = 16
 
@@ -165,16 +176,74 @@ def near_clusters(rows: DataFrame, links: DataFrame, order: str) -> DataFrame:
     return labelled.join(best, F.col("root") == F.col("of")).select("id", "representative")
 
 
-def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lists of numbers to those that a stretch of them has several times, with how often."""
+def _slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that texts or lists of ``column`` come to about ``SLICE_BYTES``; a longer one stands alone."""
+    for batch in batches:
+        held = batch.column(column)
+        widths = pc.multiply(pc.list_value_length(held), 8) if pa.types.is_list(held.type) else pc.binary_length(held)
+        ends = np.cumsum(pc.fill_null(widths, 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, side="right")))
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def text_tokens(surfaces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of word trigrams, or of five characters of texts under three words, and the row of each.
+
+    Texts of under ``MIN_SHINGLED`` characters have none; repeats stay.
+    """
+    words = pc.split_pattern(surfaces, " ")
+    counts = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    kept = pc.fill_null(pc.greater_equal(pc.utf8_length(surfaces), MIN_SHINGLED), False).to_numpy(zero_copy_only=False)
+    flat = words.flatten().dictionary_encode()
+    hashes = pd.util.hash_array(flat.dictionary.to_numpy(zero_copy_only=False), categorize=False)[flat.indices.to_numpy()]
+    sizes = np.where(kept & (counts >= 3), counts - 2, 0)
+    owner = np.repeat(np.arange(len(counts)), sizes)
+    at = np.arange(len(owner)) + np.repeat(np.cumsum(counts) - counts - np.cumsum(sizes) + sizes, sizes)
+    tokens = _mixed(hashes[at])
+    for k in (1, 2):
+        tokens = _mixed(tokens * np.uint64(0x9E3779B97F4A7C15) + hashes[at + k])
+    owners, parts = [owner], [tokens]
+    for row in np.flatnonzero(kept & (counts < 3)).tolist():
+        text = surfaces[row].as_py()
+        pieces = np.array([text[k : k + 5] for k in range(len(text) - 4)], dtype=object)
+        owners.append(np.full(len(pieces), row))
+        parts.append(pd.util.hash_array(pieces, categorize=False))
+    return np.concatenate(parts).view(np.int64), np.concatenate(owners)
+
+
+def list_tokens(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of lists and the row of each."""
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    return lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(lists)), sizes)
+
+
+def _sets(tokens: np.ndarray, owner: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's distinct tokens in order, and their number."""
+    order = np.lexsort((tokens, owner))
+    tokens, owner = tokens[order], owner[order]
+    new = np.concatenate([[True], (tokens[1:] != tokens[:-1]) | (owner[1:] != owner[:-1])])[: len(tokens)]
+    return tokens[new], np.bincount(owner[new], minlength=rows)
+
+
+def _frequent(batches: Iterator[pa.RecordBatch], tokens_of: Tokens) -> Iterator[pa.RecordBatch]:
+    """Tokens that a stretch of them has several times, with how often."""
     held: list[np.ndarray] = []
 
     def rows() -> pa.RecordBatch:
         tokens, n = np.unique(np.concatenate(held), return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(tokens[n > SEVERAL]), pa.array(n[n > SEVERAL].astype(np.int64))], names=["token", "n"])
 
-    for batch in batches:
-        held.append(batch.column(0).flatten().to_numpy())
+    for batch in _slices(batches, 0):
+        held.append(tokens_of(batch.column(0))[0])
         if sum(map(len, held)) > STRETCH:
             yield rows()
             held.clear()
@@ -182,47 +251,121 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows()
 
 
-def jaccard_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of ``left(a, shingles)`` and ``right(b, shingles)`` with Jaccard index at or above the threshold.
-
-    Exact by prefix filtering: with all shingles in one order, two sets that similar share one of their first
-    n - ceil(threshold n) + 1. The order puts the ``COMMON`` shingles that are most frequent in stretches of sets last,
-    the rarer of them first, and all others by hash before them, so a common shingle meets nobody unless a text has little else. Prefixes are
-    cut where a set lies; only they are dealt out to be joined, and whole sets verify the distinct pairs met.
+def _alike(batches: Iterator[pa.RecordBatch], tokens_of: Tokens, threshold: float) -> Iterator[pa.RecordBatch]:
+    """Similar pairs of ``tile, id, others, held`` sorted by tile: a row with ``others`` is held against these rows of its tile."""
+
+    def compared(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        tile, ids, others, held = (c.combine_chunks() for c in pa.Table.from_batches(parts).columns)
+        flat, sizes = _sets(*tokens_of(held), len(held))
+        distinct, place = np.unique(flat, return_inverse=True)
+        starts, mark = np.cumsum(sizes) - sizes, np.zeros(len(distinct), dtype=bool)
+        asking = others.is_valid().to_numpy(zero_copy_only=False)
+        left, right = np.flatnonzero(asking), np.flatnonzero(~asking)
+        met = pc.index_in(others.flatten(), value_set=ids.take(pa.array(right))).to_numpy()
+        ends = np.cumsum(pc.list_value_length(others.take(pa.array(left))).to_numpy())
+        seen, found = set(), []
+        for row, key, begin, end in zip(left.tolist(), zip(tile.take(pa.array(left)).to_pylist(), ids.take(pa.array(left)).to_pylist(), strict=True), [0, *ends[:-1]], ends, strict=True):
+            if key in seen:  # a repeated row
+                continue
+            seen.add(key)
+            own = place[starts[row] : starts[row] + sizes[row]]
+            mark[own] = True
+            for other in right[met[begin:end]].tolist():
+                shared = int(np.count_nonzero(mark[place[starts[other] : starts[other] + sizes[other]]]))
+                total = int(sizes[row] + sizes[other])
+                if shared / (total - shared) >= threshold:
+                    found.append((row, other, shared, total))
+            mark[own] = False
+        a, b, s, t = np.array(found, dtype=np.int64).reshape(-1, 4).T
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(a)), ids.take(pa.array(b)), pa.array(s), pa.array(t)], names=["a", "b", "s", "t"])
+
+    parts: list[pa.RecordBatch] = []
+    for batch in _slices(batches, 3):
+        tile = batch.column(0).to_numpy()
+        cut = int(np.argmax(tile == tile[-1]))
+        if parts and (cut or parts[-1].column(0)[-1].as_py() != tile[-1]):
+            yield compared([*parts, batch.slice(0, cut)])
+            parts, batch = [], batch.slice(cut)
+        parts.append(batch)
+    if parts:
+        yield compared(parts)
+
+
+def _among(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose id may be one of ``ids(id)``: all that are and, by a bitmap of bounded size, few others, dropped where they lie."""
+    slot = F.xxhash64("id").bitwiseAND(F.lit((1 << SLOT_BITS) - 1))
+    word, bit = F.shiftright(slot, 6), F.expr("shiftleft(1L, CAST(xxhash64(id) & 63 AS INT))")
+    bits = ids.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))
+    return rows.join(F.broadcast(bits), word == F.col("word")).where(F.col("bits").bitwiseAND(bit) != 0).drop("word", "bits")
+
+
+def similar_pairs(rows: DataFrame, sides: DataFrame, tokens_of: Tokens, threshold: float) -> DataFrame:
+    """Pairs ``(a, b, jaccard)`` of different ids, ``a`` on the left and ``b`` on the right by ``sides(id, left, right)``, at or above the threshold.
+
+    The sets are what ``tokens_of`` makes of ``rows(id, held)``, where an id has one value; other ids than those of ``sides`` are left out.
+
+    Exact by prefix filtering: with all tokens in one order, two sets that similar share one of their first
+    p = n - ceil(threshold n) + 1. The order puts the ``COMMON`` tokens that are most frequent in stretches of rows last,
+    the rarer of them first, and all others by hash before them, so a common token meets nobody unless a set has little else. Prefixes are
+    cut where a row lies; only they are dealt out to be joined. What two prefixes share is counted: the tokens behind the prefix that
+    ends first add n - p at most, so few pairs are left. These are verified in tiles: ids of one smallest token are a block, cut to
+    ``TILE_ROWS`` and ``TILE_TOKENS``, and a value goes once to each pair of blocks that needs it, not once to each pair. Whole sets are
+    neither staged nor dealt out: they are made again from what ``rows`` holds.
     """
-
-    def sets(rows: DataFrame, key: str, name: str) -> DataFrame:
-        hashed = F.transform(F.array_distinct("shingles"), lambda s: F.xxhash64(s))
-        # Filtered after staging: pushed below the projection, the filter would build the shingles again.
-        return stage_table(rows.select(key, F.array_distinct(hashed).alias(name)), f"jaccard-{name}").where(F.size(name) > 0)
-
-    a, b = sets(left, "a", "x"), sets(right, "b", "y")
-    parts = a.select("x").mapInArrow(_frequent, "token long, n long").unionAll(b.select("y").mapInArrow(_frequent, "token long, n long"))
-    counted = parts.groupBy("token").agg(F.sum("n").alias("n"))
-    common = counted.orderBy(F.col("n").desc(), "token").limit(COMMON).toArrow()
-    order = np.argsort(common.column("token").to_numpy(), kind="stable")
-    tokens = common.column("token").to_numpy()[order]
-    shared = a.sparkSession.sparkContext.broadcast((tokens, common.column("n").to_numpy()[order]))
+    kind = dict(rows.dtypes)["id"]
+    known_rows = _among(rows, sides.select("id"))
+    parts = known_rows.select("held").mapInArrow(lambda batches: _frequent(batches, tokens_of), "token long, n long")
+    common = parts.groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "token").limit(COMMON).toArrow()
+    tokens = common.column("token").to_numpy()
+    order = np.argsort(tokens, kind="stable")
+    shared = rows.sparkSession.sparkContext.broadcast((tokens[order], common.column("n").to_numpy()[order]))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, often = shared.value
-        for batch in batches:
-            lists = batch.column(1)
-            flat, sizes = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+        for batch in _slices(batches, 1):
+            flat, sizes = _sets(*tokens_of(batch.column(1)), batch.num_rows)
             owner = np.repeat(np.arange(len(sizes)), sizes)
             at = np.minimum(np.searchsorted(known, flat), max(len(known) - 1, 0))
             weight = np.where(known[at] == flat, often[at], 0) if len(known) else np.zeros(len(flat), np.int64)
-            ordered = np.lexsort((flat, weight, owner))
+            ordered = np.lexsort((weight, owner))
             starts = np.cumsum(sizes) - sizes
-            width = sizes - np.ceil(sizes * threshold - 1e-9).astype(np.int64) + 1
-            kept = ordered[np.arange(len(flat)) - starts[owner] < width[owner]]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner[kept])), pa.array(flat[kept]), pa.array(sizes[owner[kept]].astype(np.int64))], names=names)
-
-    names = ["id", "token", "n"]
-    kind = lambda rows, key: dict(rows.dtypes)[key]
-    prefixes = lambda rows, key, name: rows.select(key, name).mapInArrow(cut, f"id {kind(rows, key)}, token long, n long").toDF(key, "token", f"n_{key}")
-    least = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(threshold)
-    met = prefixes(a, "a", "x").join(prefixes(b, "b", "y"), "token").where(least).select("a", "b").distinct()
-    inner = F.size(F.array_intersect("x", "y"))
-    out = met.join(a, "a").join(b, "b").select("a", "b", inner.alias("s"), (F.size("x") + F.size("y")).alias("t"))
-    return out.where(F.col("s") >= (F.col("t") - F.col("s")) * F.lit(threshold)).select("a", "b", F.round(F.col("s") / (F.col("t") - F.col("s")), 6).alias("jaccard"))
+            width = np.where(sizes > 0, sizes - np.ceil(sizes * threshold - 1e-9).astype(np.int64) + 1, 0)
+            prefix = flat[ordered[np.arange(len(flat)) - starts[owner] < width[owner]]]
+            some = np.flatnonzero(sizes)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(width[some])]).astype(np.int32)), pa.array(prefix))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), pa.array(sizes[some]), pa.array(flat[starts[some]]), lists], names=["id", "n", "least", "prefix"])
+
+    prefixes = known_rows.select("id", "held").mapInArrow(cut, f"id {kind}, n long, least long, prefix array<long>")
+    prefixes = stage_table(prefixes.join(sides, "id"), "jaccard-prefixes")
+    dealt = lambda side, key: prefixes.where(side).select(F.col("id").alias(key), F.col("n").alias(f"n_{key}"), F.explode("prefix").alias("token"))
+    met = dealt("left", "a").join(dealt("right", "b"), "token").where("a <> b").where(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(threshold))
+    behind = F.ceil(F.greatest("n_a", "n_b") * F.lit(threshold) - 1e-9) - 1
+    enough = F.count(F.lit(1)) + behind >= (F.col("n_a") + F.col("n_b")) * F.lit(threshold / (1 + threshold)) - 1e-6
+    met = stage_table(met.groupBy("a", "b", "n_a", "n_b").agg(enough.alias("enough")).where("enough").select("a", "b"), "jaccard-met")
+
+    ends = met.select(F.col("a").alias("id")).unionAll(met.select("b")).distinct()
+    ends = ends.join(prefixes.select("id", "n", "least"), "id").groupBy("id").agg(F.max("n").alias("n"), F.min("least").alias("least"))
+    wide = ends.groupBy("least").agg(F.greatest(F.count(F.lit(1)) / TILE_ROWS, F.sum("n") / TILE_TOKENS).alias("wide"))
+    blocks = ends.join(wide, "least").select("id", F.xxhash64("least", F.pmod(F.xxhash64("id"), F.ceil("wide"))).alias("block"))
+    blocks = stage_table(blocks, "jaccard-blocks")
+    block = lambda key: blocks.select(F.col("id").alias(key), F.col("block").alias(f"block_{key}"))
+    tiles = stage_table(met.join(block("a"), "a").join(block("b"), "b").select("a", "b", F.xxhash64("block_a", "block_b").alias("tile")), "jaccard-tiles")
+    asked = tiles.groupBy("tile", F.col("a").alias("id")).agg(F.collect_set("b").alias("others"))
+    asked = asked.unionByName(tiles.select("tile", F.col("b").alias("id")).distinct().withColumn("others", F.lit(None)))
+    placed = _among(rows, blocks.select("id")).join(asked, "id").select("tile", "id", "others", "held").repartition("tile").sortWithinPartitions("tile")
+    alike = placed.mapInArrow(lambda batches: _alike(batches, tokens_of, threshold), f"a {kind}, b {kind}, s long, t long")
+    return alike.select("a", "b", F.round(F.col("s") / (F.col("t") - F.col("s")), 6).alias("jaccard"))
+
+
+def jaccard_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of ``left(a, shingles)`` and ``right(b, shingles)`` with Jaccard index at or above the threshold, by ``similar_pairs``."""
+
+    def rows(given: DataFrame, key: str) -> DataFrame:
+        hashed = F.transform("shingles", lambda s: F.xxhash64(s))
+        return given.select(F.concat(F.lit(key), F.col(key).cast("string")).alias("id"), hashed.alias("held"))
+
+    both = stage_table(rows(left, "a").unionAll(rows(right, "b")).where("id IS NOT NULL"), "jaccard-sets")
+    is_left = F.col("id").startswith("a")
+    pairs = similar_pairs(both, both.select("id", is_left.alias("left"), (~is_left).alias("right")), list_tokens, threshold)
+    given = lambda frame, key: F.substring(key, 2, 1 << 30).cast(dict(frame.dtypes)[key]).alias(key)
+    return pairs.select(given(left, "a"), given(right, "b"), "jaccard")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions.scalars import seeded_hash, surface
@@ -149,25 +149,17 @@ def c23_keep_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prints.join(keep, "id").select("id", "members", "chars")
 
 
-def _shingled(rows: DataFrame, key: str, text: Column) -> DataFrame:
-    words = F.split(surface(text), " ")
-    n = F.size("words")
-    grams = F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda k: F.concat_ws(" ", F.get("words", k), F.get("words", k + 1), F.get("words", k + 2))))
-    pieces = F.transform(F.sequence(F.lit(1), F.length("whole") - 4), lambda k: F.substring("whole", k, F.lit(5)))
-    return rows.where(F.length(text) >= 30).select(key, words.alias("words"), surface(text).alias("whole")).select(key, F.coalesce(grams, pieces).alias("shingles"))
-
-
 def c20_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of early sources against those of later ones, equal texts set aside; classes are smallest ids.
 
     By word trigrams, or five characters of texts under three words. A class stands on each side where it has a member.
     """
     docs = _docs(spark, sf_dir)
-    first = docs.groupBy("surface").agg(F.bool_or(F.col("source") < "src15").alias("early"), F.bool_or(F.col("source") >= "src15").alias("late"), F.min("doc_id").alias("doc_id"))
-    first = stage_table(first, "jaccard-classes")
-    left = _shingled(first.where("early").select(F.col("doc_id").alias("a"), "surface"), "a", F.col("surface"))
-    right = _shingled(first.where("late").select(F.col("doc_id").alias("b"), "surface"), "b", F.col("surface"))
-    return near_dup.jaccard_pairs(left, right, 0.9).where("a <> b")
+    sides = docs.groupBy(F.sha2("surface", 256).alias("digest")).agg(
+        F.min("doc_id").alias("id"), F.bool_or(F.col("source") < "src15").alias("left"), F.bool_or(F.col("source") >= "src15").alias("right")
+    )
+    sides = stage_table(sides.where("digest IS NOT NULL AND id IS NOT NULL").select("id", "left", "right"), "jaccard-classes")
+    return near_dup.similar_pairs(docs.select(F.col("doc_id").alias("id"), F.col("surface").alias("held")), sides, near_dup.text_tokens, 0.9)
 
 
 _ORDERS_USED = """(EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o.o_orderkey AND l_returnflag = 'R' AND l_quantity > 45)

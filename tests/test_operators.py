@@ -3,6 +3,7 @@
 import hashlib
 import json
 import random
+import time
 import unicodedata
 from collections import Counter
 from pathlib import Path
@@ -570,6 +571,69 @@ def test_jaccard_pairs_see_late_copies_and_long_words(spark, tmp_path):
     assert got == {(3, 1), (4, 5)}
 
 
+def near_copies(rnd, n, words):
+    """Texts that differ from one another in a few of their words."""
+    base = [f"word{rnd.randrange(10**6)}" for _ in range(words)]
+    return [" ".join([*base[:at], f"new{k}", *base[at + 1 :]]) for k, at in enumerate(rnd.sample(range(words), n))]
+
+
+def shuffled_bytes(spark):
+    time.sleep(1)  # the store is brought up to date ten times a second
+    found = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(found.apply(k).totalShuffleWrite() for k in range(found.size()))
+
+
+def test_jaccard_pairs_of_a_group_deal_out_its_texts_not_its_pairs(spark, tmp_path):
+    texts = near_copies(random.Random(5), 160, 2000)
+    folder = documents(spark, tmp_path, [(k, t, f"src{1 + k % 2 * 15}") for k, t in enumerate(texts)])
+    limit, before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), shuffled_bytes(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables that are large
+    try:
+        got = duplicates.c20_jaccard_pairs(spark, folder).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert {(r["a"], r["b"]) for r in got} == {(a, b) for a in range(0, 160, 2) for b in range(1, 160, 2)}
+    # A set for each of the 6,400 pairs would be 102 MB (54.7 MB as compressed), the texts are 3.5 MB.
+    assert shuffled_bytes(spark) - before < 4 * sum(map(len, texts))
+
+
+def test_jaccard_pairs_match_brute_force_whatever_the_tiles(spark, tmp_path, monkeypatch):
+    rnd = random.Random(6)
+    texts = near_copies(rnd, 20, 140) + near_copies(rnd, 6, 25) + ["", "x" * 29, "\u00e9" * 30, "\u00e9" * 31, "two " + "abcdefghij" * 4, "two " + "abcdefghij" * 5, None, "a b c", "a  b " * 20]
+    texts += [" ".join(["same"] * k) for k in (10, 11, 40)] + [t + " more words here" for t in texts[:8]] + [texts[0].upper()]
+    rows = [(k, t, rnd.choice(["src1", "src16", None])) for k, t in enumerate(texts)]
+    frame = spark.createDataFrame([(d, t, "en", s, 0) for d, t, s in [*rows, *rows[:5]]], "doc_id long, text string, lang string, source string, n_chars long")
+    frame.write.parquet(str(tmp_path / "documents.parquet"))  # some rows twice
+    classes = {}
+    for d, t, s in rows:
+        if t is not None:
+            at = classes.setdefault(" ".join(t.lower().split()), [d, set()])
+            at[0] = min(at[0], d)
+            at[1].add(s and s < "src15")
+
+    def shingles(t):
+        w = t.split(" ")
+        return set() if len(t) < 30 else {tuple(w[k : k + 3]) for k in range(len(w) - 2)} if len(w) >= 3 else {t[k : k + 5] for k in range(len(t) - 4)}
+
+    sets = [(d, sides, shingles(t)) for t, (d, sides) in classes.items()]
+    like = lambda x, y: len(x & y) / max(1, len(x | y))
+    wanted = {(a, b, round(like(x, y), 6)) for a, p, x in sets for b, q, y in sets if a != b and True in p and False in q and like(x, y) >= 0.9}
+    assert len(wanted) > 30
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for batch, tile_rows, slots in ((before, near_dup.TILE_ROWS, near_dup.SLOT_BITS), ("3", 2, 6)):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+            monkeypatch.setattr(near_dup, "TILE_ROWS", tile_rows)
+            monkeypatch.setattr(near_dup, "SLOT_BITS", slots)
+            got = [tuple(r) for r in duplicates.c20_jaccard_pairs(spark, str(tmp_path)).select("a", "b", "jaccard").collect()]
+            assert len(got) == len(set(got)) and set(got) == wanted
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    (tmp_path / "none").mkdir()
+    frame.limit(0).write.parquet(str(tmp_path / "none/documents.parquet"))
+    assert duplicates.c20_jaccard_pairs(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_greedy_accept_sees_copies_and_the_reference(spark, tmp_path):
     text = lambda seed: " ".join(random.Random(seed).choice("lorem ipsum dolor sit amet elit sed do".split()) + str(seed) for _ in range(30))
     rows = [(k, text(0), "src1") for k in range(4)] + [(9, text(1), "src2"), (10, text(2), "src2"), (11, "tiny", "src2"), (12, "tiny", "src2")]
