@@ -252,35 +252,35 @@ def _frequent(batches: Iterator[pa.RecordBatch], tokens_of: Tokens) -> Iterator[
 
 
 def _alike(batches: Iterator[pa.RecordBatch], tokens_of: Tokens, threshold: float) -> Iterator[pa.RecordBatch]:
-    """Similar pairs of ``tile, id, others, held`` sorted by tile: a row with ``others`` is held against these rows of its tile."""
+    """Similar pairs of ``tile, id, mark, others, held`` sorted by tile: a row with ``others`` is held against these ids of its tile."""
 
     def compared(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        tile, ids, others, held = (c.combine_chunks() for c in pa.Table.from_batches(parts).columns)
+        tile, ids, marks, others, held = (c.combine_chunks() for c in pa.Table.from_batches(parts).columns)
         flat, sizes = _sets(*tokens_of(held), len(held))
         distinct, place = np.unique(flat, return_inverse=True)
-        starts, mark = np.cumsum(sizes) - sizes, np.zeros(len(distinct), dtype=bool)
-        asking = others.is_valid().to_numpy(zero_copy_only=False)
-        left, right = np.flatnonzero(asking), np.flatnonzero(~asking)
-        met = pc.index_in(others.flatten(), value_set=ids.take(pa.array(right))).to_numpy()
-        ends = np.cumsum(pc.list_value_length(others.take(pa.array(left))).to_numpy())
-        seen, found = set(), []
-        for row, key, begin, end in zip(left.tolist(), zip(tile.take(pa.array(left)).to_pylist(), ids.take(pa.array(left)).to_pylist(), strict=True), [0, *ends[:-1]], ends, strict=True):
-            if key in seen:  # a repeated row
-                continue
-            seen.add(key)
+        starts, common = np.cumsum(sizes) - sizes, np.zeros(len(distinct), dtype=bool)
+        keys = list(zip(tile.to_pylist(), ids.to_pylist(), marks.to_pylist(), others.to_pylist(), strict=True))
+        # By dictionary, so that repeated rows count once.
+        left = {(k, own, mark): row for row, (k, own, mark, asked) in enumerate(keys) if asked is not None}
+        right: dict[tuple, dict[int, int]] = {}
+        for row, (k, own, mark, asked) in enumerate(keys):
+            if asked is None:
+                right.setdefault((k, own), {})[mark] = row
+        found = []
+        for (k, _, _), row in left.items():
             own = place[starts[row] : starts[row] + sizes[row]]
-            mark[own] = True
-            for other in right[met[begin:end]].tolist():
-                shared = int(np.count_nonzero(mark[place[starts[other] : starts[other] + sizes[other]]]))
+            common[own] = True
+            for other in (x for key in keys[row][3] for x in right.get((k, key), {}).values()):
+                shared = int(np.count_nonzero(common[place[starts[other] : starts[other] + sizes[other]]]))
                 total = int(sizes[row] + sizes[other])
                 if shared / (total - shared) >= threshold:
                     found.append((row, other, shared, total))
-            mark[own] = False
+            common[own] = False
         a, b, s, t = np.array(found, dtype=np.int64).reshape(-1, 4).T
         return pa.RecordBatch.from_arrays([ids.take(pa.array(a)), ids.take(pa.array(b)), pa.array(s), pa.array(t)], names=["a", "b", "s", "t"])
 
     parts: list[pa.RecordBatch] = []
-    for batch in _slices(batches, 3):
+    for batch in _slices(batches, 4):
         tile = batch.column(0).to_numpy()
         cut = int(np.argmax(tile == tile[-1]))
         if parts and (cut or parts[-1].column(0)[-1].as_py() != tile[-1]):
@@ -300,9 +300,10 @@ def _among(rows: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def similar_pairs(rows: DataFrame, sides: DataFrame, tokens_of: Tokens, threshold: float) -> DataFrame:
-    """Pairs ``(a, b, jaccard)`` of different ids, ``a`` on the left and ``b`` on the right by ``sides(id, left, right)``, at or above the threshold.
+    """Pairs ``(a, b, jaccard)`` of different ids, ``a`` on the left and ``b`` on the right by ``sides(id, mark, left, right)``, at or above the threshold.
 
-    The sets are what ``tokens_of`` makes of ``rows(id, held)``, where an id has one value; other ids than those of ``sides`` are left out.
+    The sets are what ``tokens_of`` makes of ``rows(id, mark, held)``; rows that ``sides`` doesn't name are left out. Rows of one id and
+    ``mark`` are the same; an id with several marks stands for each of them.
 
     Exact by prefix filtering: with all tokens in one order, two sets that similar share one of their first
     p = n - ceil(threshold n) + 1. The order puts the ``COMMON`` tokens that are most frequent in stretches of rows last,
@@ -322,8 +323,8 @@ def similar_pairs(rows: DataFrame, sides: DataFrame, tokens_of: Tokens, threshol
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, often = shared.value
-        for batch in _slices(batches, 1):
-            flat, sizes = _sets(*tokens_of(batch.column(1)), batch.num_rows)
+        for batch in _slices(batches, 2):
+            flat, sizes = _sets(*tokens_of(batch.column(2)), batch.num_rows)
             owner = np.repeat(np.arange(len(sizes)), sizes)
             at = np.minimum(np.searchsorted(known, flat), max(len(known) - 1, 0))
             weight = np.where(known[at] == flat, often[at], 0) if len(known) else np.zeros(len(flat), np.int64)
@@ -333,10 +334,11 @@ def similar_pairs(rows: DataFrame, sides: DataFrame, tokens_of: Tokens, threshol
             prefix = flat[ordered[np.arange(len(flat)) - starts[owner] < width[owner]]]
             some = np.flatnonzero(sizes)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(width[some])]).astype(np.int32)), pa.array(prefix))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), pa.array(sizes[some]), pa.array(flat[starts[some]]), lists], names=["id", "n", "least", "prefix"])
+            ids, marks = (batch.column(k).take(pa.array(some)) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([ids, marks, pa.array(sizes[some]), pa.array(flat[starts[some]]), lists], names=["id", "mark", "n", "least", "prefix"])
 
-    prefixes = known_rows.select("id", "held").mapInArrow(cut, f"id {kind}, n long, least long, prefix array<long>")
-    prefixes = stage_table(prefixes.join(sides, "id"), "jaccard-prefixes")
+    prefixes = known_rows.select("id", "mark", "held").mapInArrow(cut, f"id {kind}, mark long, n long, least long, prefix array<long>")
+    prefixes = stage_table(prefixes.join(sides, ["id", "mark"]), "jaccard-prefixes")
     dealt = lambda side, key: prefixes.where(side).select(F.col("id").alias(key), F.col("n").alias(f"n_{key}"), F.explode("prefix").alias("token"))
     met = dealt("left", "a").join(dealt("right", "b"), "token").where("a <> b").where(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(threshold))
     behind = F.ceil(F.greatest("n_a", "n_b") * F.lit(threshold) - 1e-9) - 1
@@ -352,7 +354,9 @@ def similar_pairs(rows: DataFrame, sides: DataFrame, tokens_of: Tokens, threshol
     tiles = stage_table(met.join(block("a"), "a").join(block("b"), "b").select("a", "b", F.xxhash64("block_a", "block_b").alias("tile")), "jaccard-tiles")
     asked = tiles.groupBy("tile", F.col("a").alias("id")).agg(F.collect_set("b").alias("others"))
     asked = asked.unionByName(tiles.select("tile", F.col("b").alias("id")).distinct().withColumn("others", F.lit(None)))
-    placed = _among(rows, blocks.select("id")).join(asked, "id").select("tile", "id", "others", "held").repartition("tile").sortWithinPartitions("tile")
+    named = asked.join(prefixes.select("id", "mark", "left", "right"), "id").where("CASE WHEN others IS NULL THEN right ELSE left END")
+    named = named.select("tile", "id", "mark", "others")
+    placed = _among(rows, blocks.select("id")).join(named, ["id", "mark"]).select("tile", "id", "mark", "others", "held").repartition("tile").sortWithinPartitions("tile")
     alike = placed.mapInArrow(lambda batches: _alike(batches, tokens_of, threshold), f"a {kind}, b {kind}, s long, t long")
     return alike.select("a", "b", F.round(F.col("s") / (F.col("t") - F.col("s")), 6).alias("jaccard"))
 
@@ -362,10 +366,10 @@ def jaccard_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFr
 
     def rows(given: DataFrame, key: str) -> DataFrame:
         hashed = F.transform("shingles", lambda s: F.xxhash64(s))
-        return given.select(F.concat(F.lit(key), F.col(key).cast("string")).alias("id"), hashed.alias("held"))
+        return given.select(F.concat(F.lit(key), F.col(key).cast("string")).alias("id"), F.xxhash64("shingles").alias("mark"), hashed.alias("held"))
 
     both = stage_table(rows(left, "a").unionAll(rows(right, "b")).where("id IS NOT NULL"), "jaccard-sets")
     is_left = F.col("id").startswith("a")
-    pairs = similar_pairs(both, both.select("id", is_left.alias("left"), (~is_left).alias("right")), list_tokens, threshold)
+    pairs = similar_pairs(both, both.select("id", "mark", is_left.alias("left"), (~is_left).alias("right")), list_tokens, threshold)
     given = lambda frame, key: F.substring(key, 2, 1 << 30).cast(dict(frame.dtypes)[key]).alias(key)
     return pairs.select(given(left, "a"), given(right, "b"), "jaccard")

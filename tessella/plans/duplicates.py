@@ -154,12 +154,12 @@ def c20_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     By word trigrams, or five characters of texts under three words. A class stands on each side where it has a member.
     """
-    docs = _docs(spark, sf_dir)
+    docs = _docs(spark, sf_dir).withColumn("mark", F.xxhash64("surface"))
     sides = docs.groupBy(F.sha2("surface", 256).alias("digest")).agg(
-        F.min("doc_id").alias("id"), F.bool_or(F.col("source") < "src15").alias("left"), F.bool_or(F.col("source") >= "src15").alias("right")
+        F.min("doc_id").alias("id"), F.first("mark").alias("mark"), F.bool_or(F.col("source") < "src15").alias("left"), F.bool_or(F.col("source") >= "src15").alias("right")
     )
-    sides = stage_table(sides.where("digest IS NOT NULL AND id IS NOT NULL").select("id", "left", "right"), "jaccard-classes")
-    return near_dup.similar_pairs(docs.select(F.col("doc_id").alias("id"), F.col("surface").alias("held")), sides, near_dup.text_tokens, 0.9)
+    sides = stage_table(sides.where("digest IS NOT NULL AND id IS NOT NULL").select("id", "mark", "left", "right"), "jaccard-classes")
+    return near_dup.similar_pairs(docs.select(F.col("doc_id").alias("id"), "mark", F.col("surface").alias("held")), sides, near_dup.text_tokens, 0.9)
 
 
 _ORDERS_USED = """(EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o.o_orderkey AND l_returnflag = 'R' AND l_quantity > 45)

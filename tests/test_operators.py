@@ -597,6 +597,15 @@ def test_jaccard_pairs_of_a_group_deal_out_its_texts_not_its_pairs(spark, tmp_pa
     assert shuffled_bytes(spark) - before < 4 * sum(map(len, texts))
 
 
+def test_jaccard_pairs_of_ids_with_several_texts(spark, tmp_path):
+    (x, x2), (y, y2) = near_copies(random.Random(7), 2, 200), near_copies(random.Random(8), 2, 240)
+    # Id 5 has two texts on the left and one on the right that is near nothing there; the class of x3 is named by id 4.
+    x3 = x + " x3"
+    rows = [(5, x, "src1"), (5, y, "src1"), (5, "z " * 40, "src16"), (7, x2, "src16"), (8, y2, "src16"), (5, x3, "src1"), (4, x3, "src1"), (9, "z " * 41 + "end", "src1")]
+    got = [tuple(r) for r in duplicates.c20_jaccard_pairs(spark, documents(spark, tmp_path, rows)).select("a", "b").collect()]
+    assert sorted(got) == [(4, 7), (5, 7), (5, 8)]
+
+
 def test_jaccard_pairs_match_brute_force_whatever_the_tiles(spark, tmp_path, monkeypatch):
     rnd = random.Random(6)
     texts = near_copies(rnd, 20, 140) + near_copies(rnd, 6, 25) + ["", "x" * 29, "\u00e9" * 30, "\u00e9" * 31, "two " + "abcdefghij" * 4, "two " + "abcdefghij" * 5, None, "a b c", "a  b " * 20]
